@@ -20,8 +20,8 @@ def hot_keys(df: DataFrame, keys: Sequence[str], rows_per_task: int = ROWS_PER_T
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_task).select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_parts"))
 
 
-def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread: Column, condition=None, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Inner join on keys in which a hot key of `many` is dealt over several tasks.
+def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread: Column, condition=None, rows_per_task: int = ROWS_PER_TASK, how: str = "inner") -> DataFrame:
+    """Join on keys (inner, or left from `many`) in which a hot key of `many` is dealt over several tasks.
 
     spread: an expression over `many` that varies within a key (its id). A row of `few` with a hot key is repeated
     once for each part, every other row stays single. condition(joined) gives a further predicate of the join itself.
@@ -30,12 +30,12 @@ def salted_join(many: DataFrame, few: DataFrame, keys: Sequence[str], spread: Co
     keys = list(keys)
     hot = hot_keys(many, keys, rows_per_task)
     if not (hot := [tuple(r) for r in hot.collect()]):  # at most rows / rows_per_task rows, see hot_keys
-        out = many.join(few, keys)
+        out = many.join(few, keys, how)
         return out.filter(condition) if condition is not None else out
     fields = [f for f in many.select(*keys).schema.fields]
     spark = many.sparkSession
     parts = spark.createDataFrame(hot, schema=", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _parts int")
     salted = many.join(F.broadcast(parts), keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     repeated = few.join(F.broadcast(parts), keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts") - 1, F.lit(0))))).drop("_parts")
-    out = salted.join(repeated, [*keys, "_salt"]).drop("_salt")
+    out = salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
     return out.filter(condition) if condition is not None else out

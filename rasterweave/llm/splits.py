@@ -8,27 +8,27 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.operators.skew import salted_join
-from rasterweave.session import broadcast_if_small, cut_lineage
+from rasterweave.session import cut_lineage
 
-#: Rows of a contraction map up to which it is broadcast (16 bytes each).
-BROADCAST_MAP = 100_000
+#: Edges up to which the degrees and the collapses of a round are broadcast (at most two rows of 16 bytes per edge).
+BROADCAST_EDGES = 100_000
 
 
-def _coin(vertex: str, degree: str, other_degree: str, round_no: int, seed: int) -> Column:
-    """True for heads. A function of the vertex in this round: all its edges agree.
+def _coin(vertex: str, degree: str, other_degree: str, seed: int) -> Column:
+    """True for heads. A function of the vertex and the round: all edges of a vertex agree.
 
     A vertex with one edge to a larger one is always tails, so that stars go at once; others are heads the more
     likely the more neighbours they have, and for two neighbours or less the coin is fair.
     """
     d = F.col(degree)
     share = F.greatest(F.lit(0.5), d / (d + 2.0))
-    toss = F.pmod(F.xxhash64(F.col(vertex), F.lit(round_no), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
+    toss = F.pmod(F.xxhash64(F.col(vertex), F.col("round"), F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     return F.when((d == 1) & (F.col(other_degree) > 1), F.lit(False)).otherwise(toss < share)
 
 
 def _distinct_edges(edges: DataFrame) -> DataFrame:
     low, high = F.least("u", "v"), F.greatest("u", "v")
-    return edges.filter(F.col("u") != F.col("v")).select(low.alias("u"), high.alias("v")).distinct()
+    return edges.filter(F.col("u") != F.col("v")).select(low.alias("u"), high.alias("v"), "round").distinct()
 
 
 def components(edges: DataFrame, *, seed: int = 42, max_rounds: int = 200) -> DataFrame:
@@ -37,41 +37,42 @@ def components(edges: DataFrame, *, seed: int = 42, max_rounds: int = 200) -> Da
     In each round every vertex tosses a coin that is a hash of its id; a tail with a head among its neighbours
     collapses into the least such head, the edges are renamed by joins and loops and repeats vanish. A constant share
     of the vertices goes in each round, so the rounds are logarithmic whatever the shape: long chains and huge stars
-    alike. When no edge is left, the collapses are unwound from the last round to the first. The component's name is
-    the id of one of its vertices. Edges with a null end and loops are ignored (a vertex with loops only has no row).
+    alike. When no edge is left, the collapses are unwound: a vertex collapsed in one round takes the name that its head
+    gets in a later one. The component's name is the id of one of its vertices. Edges with a null end and loops are
+    ignored (a vertex with loops only has no row).
 
-    Edges are written to the checkpoint folder each round; coins depend on ids alone, so recomputed tasks agree.
+    Edges and collapses are written to the checkpoint folder each round; coins depend on ids alone, so recomputed tasks
+    agree. A round's tables are broadcast only if the number of its edges proves them small. The round is a
+    column, not a constant, so all rounds run the same generated code.
     """
-    edges = cut_lineage(_distinct_edges(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL")))
+    edges = cut_lineage(_distinct_edges(edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v", F.lit(0).alias("round"))))
     collapses: list[DataFrame] = []
-    for round_no in range(max_rounds):
-        if edges.isEmpty():
-            break
-        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
-        degrees = both.groupBy("u").agg(F.count(F.lit(1)).alias("d"))
-        rich = edges.join(degrees.withColumnRenamed("d", "du"), "u").join(degrees.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
-        tossed = rich.select("u", "v", _coin("u", "du", "dv", round_no, seed).alias("hu"), _coin("v", "dv", "du", round_no, seed).alias("hv")).filter(F.col("hu") != F.col("hv"))
-        collapse = cut_lineage(tossed.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("tail"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("head")).groupBy("tail").agg(F.min("head").alias("head")))
-        collapses.append(collapse)
-        small = broadcast_if_small(collapse, BROADCAST_MAP)
+    while n := edges.count():
+        if len(collapses) == max_rounds:
+            raise RuntimeError(f"edges are left after {max_rounds} rounds")
+        small = F.broadcast if n <= BROADCAST_EDGES else (lambda df: df)
+        ends = edges.select(F.explode(F.array("u", "v")).alias("x"))
+        degrees = small(ends.groupBy("x").agg(F.count(F.lit(1)).alias("d")))
+        rich = edges.join(degrees.select(F.col("x").alias("u"), F.col("d").alias("du")), "u").join(degrees.select(F.col("x").alias("v"), F.col("d").alias("dv")), "v")
+        tossed = rich.select("u", "v", _coin("u", "du", "dv", seed).alias("hu"), _coin("v", "dv", "du", seed).alias("hv")).filter(F.col("hu") != F.col("hv"))
+        tails = tossed.select(F.when(F.col("hu"), F.col("v")).otherwise(F.col("u")).alias("tail"), F.when(F.col("hu"), F.col("u")).otherwise(F.col("v")).alias("head"))
+        collapse = cut_lineage(tails.groupBy("tail").agg(F.min("head").alias("head")))
+        collapses.append(small(collapse))
         for end in ("u", "v"):
-            edges = edges.join(small.select(F.col("tail").alias(end), F.col("head").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
-        edges = cut_lineage(_distinct_edges(edges))
-    else:
-        raise RuntimeError(f"edges are left after {max_rounds} rounds")
-    labels: DataFrame | None = None
-    for collapse in reversed(collapses):
-        step = collapse.select(F.col("tail").alias("vertex"), F.col("head").alias("component"))
-        if labels is None:
-            labels = step
-        else:
-            later = labels.select(F.col("vertex").alias("component"), F.col("component").alias("_later"))
-            # Written at once: the labels so far stand in the plan twice.
-            labels = cut_lineage(step.join(later, "component", "left").select("vertex", F.coalesce("_later", "component").alias("component"))).unionByName(labels)
-    if labels is None:
+            edges = edges.join(collapses[-1].select(F.col("tail").alias(end), F.col("head").alias(f"_{end}")), end, "left").withColumn(end, F.coalesce(f"_{end}", end)).drop(f"_{end}")
+        edges = cut_lineage(_distinct_edges(edges.withColumn("round", F.col("round") + 1)))
+    if not collapses:
         return edges.select(F.col("u").alias("vertex"), F.col("v").alias("component"))
-    roots = labels.select(F.col("component").alias("vertex"), "component").distinct()
-    return labels.unionByName(roots)
+    labels = collapses[0]
+    for collapse in collapses[1:]:
+        labels = labels.unionByName(collapse)
+    labels = labels.select(F.col("tail").alias("vertex"), F.col("head").alias("component"))
+    # A head can only have collapsed in a later round than its tail, so one pass in the order of the rounds is enough.
+    for collapse in collapses[1:]:
+        later = collapse.select(F.col("tail").alias("component"), F.col("head").alias("_later"))
+        labels = labels.join(later, "component", "left").select("vertex", F.coalesce("_later", "component").alias("component"))
+    labels = cut_lineage(labels)
+    return labels.unionByName(labels.select(F.col("component").alias("vertex"), "component").distinct())
 
 
 def key_hash(kind: int, *columns: Column, seed: int = 0) -> Column:

@@ -27,6 +27,12 @@ def r6(*names: str) -> list[Column]:
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def fixed(c: Column, digits: int = 6) -> Column:
+    """c cut to so many decimals in double arithmetic; round() goes through BigDecimal and would dominate wide projections."""
+    k = F.lit(float(10**digits))
+    return F.floor(c * k + 0.5) / k
+
+
 # --- time series and dieback ------------------------------------------------
 
 
@@ -87,18 +93,18 @@ PIXEL = ["image_id", "i"]
 
 @query
 def band_normalize(s, d):
-    return X.raw_pixels(s, d).select(*PIXEL, *[F.round(B.normalize(F.col(b.lower()), *p), 8).alias(b.lower()) for b, p in B.BANDS.items()])
+    return X.raw_pixels(s, d).select(*PIXEL, *[fixed(B.normalize(F.col(b.lower()), *p), 8).alias(b.lower()) for b, p in B.BANDS.items()])
 
 
 @query
 def band_denormalize(s, d):
     norm = X.raw_pixels(s, d).select(*PIXEL, *[B.normalize(F.col(b.lower()), *p).alias(b.lower()) for b, p in B.BANDS.items()])
-    return norm.select(*PIXEL, *[F.round(B.denormalize(F.col(b), *B.BANDS[b.upper()]), 6).alias(b) for b in ("b2", "b8a", "b12")])
+    return norm.select(*PIXEL, *[fixed(B.denormalize(F.col(b), *B.BANDS[b.upper()])).alias(b) for b in ("b2", "b8a", "b12")])
 
 
 @query
 def vegetation_indices(s, d):
-    return X.raw_pixels(s, d).select(*PIXEL, *[F.round(B.index_scaled(n), 6).alias(n.lower()) for n in B.INDICES])
+    return X.raw_pixels(s, d).select(*PIXEL, *[fixed(B.index_scaled(n)).alias(n.lower()) for n in B.INDICES])
 
 
 @query
@@ -109,7 +115,7 @@ def index_values(s, d):
 @query
 def final_bands(s, d):
     out = B.final_bands(X.raw_pixels(s, d), PIXEL)
-    return out.select(*PIXEL, *[F.round(c, 8).alias(c) for c in out.columns if c not in PIXEL])
+    return out.select(*PIXEL, *[fixed(F.col(c), 8).alias(c) for c in out.columns if c not in PIXEL])
 
 
 @query

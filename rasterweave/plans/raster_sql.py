@@ -39,6 +39,10 @@ def _r(expr: str, name: str) -> str:
     return f"round({expr}, 6) AS {name}"
 
 
+def _fixed(expr: str, name: str, digits: int = 6) -> str:
+    return f"floor(({expr}) * 1e{digits}::DOUBLE + 0.5::DOUBLE) / 1e{digits}::DOUBLE AS {name}"
+
+
 _RAWD = f"WITH q AS ({X.RAW_SQL}), p AS (SELECT image_id, i, scl, {', '.join(f'CAST({b} AS DOUBLE) AS {b}' for b in _P)} FROM q)"
 _DENORM = {b: f"trunc({_norm(b)}) * {_P[b][1] - _P[b][0]} + {_P[b][0]}" for b in _P}
 _SERIES = f"WITH s AS ({X.SERIES_SQL}), g AS ({X.PARTITION_SQL}), r AS (SELECT s.*, grid, cluster_id FROM s JOIN g USING (i, j))"
@@ -76,11 +80,11 @@ ORACLE = {
     "anomaly_degree": f"{_DEV} {_DEGREE.format(2)}",
     "predict_dieback": f"{_DEV} {_DEGREE.format(3)}".replace(f"WITH s AS ({X.SERIES_SQL})", f"WITH s AS (SELECT * FROM ({X.SERIES_SQL}) WHERE date BETWEEN DATE '2022-04-16' - 90 AND DATE '2022-04-16')"),
     "cluster_medians": f"{_SERIES} SELECT date, grid, cluster_id, c, {_r('median(v)', 'median')} FROM r GROUP BY date, grid, cluster_id, c",
-    "band_normalize": f"{_RAWD} SELECT image_id, i, {', '.join(f'round({_norm(b)}, 8) AS {b}' for b in _P)} FROM p",
-    "band_denormalize": f"{_RAWD} SELECT image_id, i, {', '.join(_r(_DENORM[b], b) for b in ('b2', 'b8a', 'b12'))} FROM p",
-    "vegetation_indices": f"{_RAWD} SELECT image_id, i, {', '.join(_r(_scaled(n), n) for n in _I)} FROM p",
+    "band_normalize": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_norm(b), b, 8) for b in _P)} FROM p",
+    "band_denormalize": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_DENORM[b], b) for b in ('b2', 'b8a', 'b12'))} FROM p",
+    "vegetation_indices": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_scaled(n), n) for n in _I)} FROM p",
     "index_values": f"{_RAWD} SELECT image_id, i, {', '.join(_r(_I[n][0], n) for n in ('ndvi', 'ndwi', 'cvi', 'drs'))} FROM p",
-    "final_bands": f"{_RAWD} SELECT image_id, i, {', '.join(f'round({_norm(b)}, 8) AS {b}_norm' for b in _P)}, {', '.join(f'round({_scaled(n)}, 8) AS {n}' for n in _I)} FROM p",
+    "final_bands": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_norm(b), b + '_norm', 8) for b in _P)}, {', '.join(_fixed(_scaled(n), n, 8) for n in _I)} FROM p",
     "cr_swir": f"{_RAWD}, n AS (SELECT image_id, i, {_DENORM['b8a']} AS x, {_DENORM['b11']} AS y, {_DENORM['b12']} AS z FROM p) SELECT image_id, i, {_r('90 * y / nullif(x + 749.0::DOUBLE * (z - x) / 1336, 0)', 'cr_swir')} FROM n",
     "rescale": f"{_RAWD} SELECT image_id, i, {_r(_norm('b8') + ' / 255', 'v')} FROM p",
     "scl_masks": f"WITH q AS ({X.RAW_SQL}) SELECT image_id, i, CASE WHEN scl IN (4, 5) THEN b4 END AS b4, CASE WHEN scl IN (3, 7, 8, 9, 10) THEN 1 ELSE 0 END AS cloud FROM q",

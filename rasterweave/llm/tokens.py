@@ -44,8 +44,11 @@ def _encoding(path: str):
 
 
 def boundaries(pattern: regex.Pattern, text: str, start: int) -> list[int]:
-    """Ends of the pre-tokens of a chunk, counted from the beginning of its document."""
-    return [start + m.end() for m in pattern.finditer(text)]
+    """Ends of the pre-tokens of a chunk that end without white space, counted from the beginning of its document.
+
+    White space before a cut is split by what follows it, so a piece that ended there would be encoded otherwise alone.
+    """
+    return [start + m.end() for m in pattern.finditer(text) if not text[m.end() - 1].isspace()]
 
 
 def _chunk_batches(chunk: int, overlap: int, id_col: str):
@@ -106,8 +109,8 @@ def encode_corpus(docs: DataFrame, id_col: str, text: str, *, path: str | None =
 
     Texts of up to `chunk` characters are encoded where they are read. A longer one becomes overlapping chunks that
     are dealt over the tasks and split into pre-tokens there. Two neighbouring chunks are stitched at the first
-    pre-token boundary that both have in their overlap: the pattern reads forward only, so from a common boundary on
-    both agree. The pieces between the stitches are then encoded on their own, and their ids joined in order; the
+    pre-token boundary after a visible character that both have in their overlap: the pattern reads forward only, so
+    from a common boundary on both agree. The pieces between the stitches are then encoded on their own, and their ids joined in order; the
     result equals encoding the whole text. A text with a pair of chunks that never agree (a pre-token longer than the
     overlap) is encoded whole instead. Rows that repeat an id are rows of their own when short; ids of longer texts
     must be single. Extra columns are not read.

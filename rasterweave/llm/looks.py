@@ -14,6 +14,7 @@ from pyspark.sql.types import BinaryType, StringType
 
 from rasterweave.functions.tiles import one_row_per_id
 from rasterweave.operators.skew import ROWS_PER_TASK, salted_join
+from rasterweave.session import cut_lineage
 
 # Letters drawn alike, each with the characters that take its shape in common upright fonts. The first of
 # a line is the consistent form. Shapes that are only similar (Greek alpha and a, 0 and O, 1 and l and I) are not here.
@@ -197,11 +198,12 @@ def same_look(docs: DataFrame, id_col: str, text: str, rows_per_task: int = ROWS
     """Pairs of ids with <id>_a < <id>_b whose texts look the same but are not the same string.
 
     Texts without a letter or digit, null and empty texts and null ids are in no pair; rows that repeat an id count
-    once. Texts travel as digests of 128 bits. Looks with a single string (all plain copies) are dropped by an
+    once. Texts are read and brought to their form once; from there on they are digests
+    of 128 bits, written to the checkpoint folder. Looks with a single string (all plain copies) are dropped by an
     aggregation that combines before the shuffle; a look with very many documents is dealt over several tasks.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    looks = rows.select("_id", F.xxhash64("_text").alias("_raw"), F.unhex(F.md5("_text")).alias("_md5"), _look("_text").alias("_look")).filter(F.col("_look").isNotNull())
+    looks = cut_lineage(rows.select("_id", F.xxhash64("_text").alias("_raw"), F.unhex(F.md5("_text")).alias("_md5"), _look("_text").alias("_look")).filter(F.col("_look").isNotNull()))
     varied = looks.groupBy("_look").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).filter("_lo <> _hi").select("_look")
     found = one_row_per_id(looks.join(varied, "_look", "left_semi"), "_id", "_look", "_md5")
     a = found.select("_look", F.col("_id").alias("_a"), F.col("_md5").alias("_ma"))

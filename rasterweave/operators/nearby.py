@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.operators.skew import ROWS_PER_TASK, salted_join
+from rasterweave.session import cut_lineage
 
 EARTH_RADIUS_M = 6_371_008.8
 
@@ -27,7 +28,8 @@ def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
 def _pairs(points: DataFrame, id_col: str, axes: Sequence[str], cell: float, exact, within: Sequence[str], rows_per_task: int) -> DataFrame:
     """Pairs of rows in the same or in neighbouring cells for which exact(a, b) holds, each once."""
     keys = [*within, *[f"_c{i}" for i in range(len(axes))]]
-    celled = points.select("*", *[F.floor(F.col(a) / F.lit(cell)).cast("long").alias(f"_c{i}") for i, a in enumerate(axes)])
+    # Read by the count of hot cells and by both sides of the join.
+    celled = cut_lineage(points.select("*", *[F.floor(F.col(a) / F.lit(cell)).cast("long").alias(f"_c{i}") for i, a in enumerate(axes)]))
     rest = [c for c in points.columns if c not in within]
     left = celled.select(*keys, F.struct(*rest).alias("_a"))
     # Half of the neighbourhood is enough: of two neighbouring cells one is the other's forward neighbour.

@@ -12,7 +12,7 @@ from rasterweave.operators.regular_grid import MISSING, regular_grid
 #: A reading is carried over at most so many periods of five days.
 MAX_GAP = 3
 FIVE_DAYS_S = 5 * 86400
-RADIUS_M, REGION_CELL_M = 800.0, 25_000.0
+RADIUS_M, REGION_CELL_M = 800.0, 50_000.0
 
 
 def _grid(spark: SparkSession, d: str, images: DataFrame, values: list[str]) -> DataFrame:

@@ -91,3 +91,8 @@ def softmax(scores: Column) -> Column:
 def argmax(scores: Column) -> Column:
     """Position from 0 of the first maximum; null for null or an empty array."""
     return F.when(F.size(scores) > 0, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+
+
+def shown(value: Column, is_black: Column, fill: float) -> Column:
+    """What a map shows: the value, or `fill` where nothing was recorded (a class of its own, or a probability or count)."""
+    return F.when(is_black, F.lit(fill)).otherwise(value)

@@ -239,3 +239,26 @@ def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 6
     else:
         raise RuntimeError(f"regions still change after {max_rounds} rounds")
     return marked.join(names.withColumnRenamed("u", "_run"), "_run").select("i", "j", F.col("_v").alias(value), F.col("name").alias("region"))
+
+
+def outlines(regions_of: DataFrame, value: str = "region") -> DataFrame:
+    """value, x1, y1, x2, y2: the straight segments of the outline of every region, holes included.
+
+    Cell (i, j) is the unit square from (j, i). A side between two cells belongs to the outline of each if they differ;
+    sides on a line are joined to segments by gaps and islands. No region is gathered anywhere, however large it is.
+    """
+    cells = regions_of.select("i", "j", F.col(value).alias("_v"))
+    row, column = Window.partitionBy("i").orderBy("j"), Window.partitionBy("j").orderBy("i")
+
+    def other(f, w, key: str, step: int) -> Column:
+        return F.when(f(key, 1).over(w) == F.col(key) + step, f("_v", 1).over(w))
+
+    near = cells.select("i", "j", "_v", other(F.lag, row, "j", -1).alias("left"), other(F.lead, row, "j", 1).alias("right"), other(F.lag, column, "i", -1).alias("up"), other(F.lead, column, "i", 1).alias("down"))
+    # A side: does it run along a row (h), on which line, and from where.
+    sides = F.array(*[F.when(~F.col(n).eqNullSafe(F.col("_v")), F.struct(F.lit(h).alias("h"), line.alias("line"), at.alias("at"), F.lit(n).alias("n"))) for n, h, line, at in (("up", True, F.col("i"), F.col("j")), ("down", True, F.col("i") + 1, F.col("j")), ("left", False, F.col("j"), F.col("i")), ("right", False, F.col("j") + 1, F.col("i")))])
+    open_sides = near.select("_v", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("_v", "s.*")
+    along = Window.partitionBy("_v", "h", "line", "n").orderBy("at")
+    joined = open_sides.withColumn("_g", F.col("at") - F.row_number().over(along)).groupBy("_v", "h", "line", "n", "_g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    x = lambda end: F.when(F.col("h"), F.col(end)).otherwise(F.col("line"))
+    y = lambda end: F.when(F.col("h"), F.col("line")).otherwise(F.col(end))
+    return joined.select(F.col("_v").alias(value), x("a").alias("x1"), y("a").alias("y1"), x("b").alias("x2"), y("b").alias("y2"))

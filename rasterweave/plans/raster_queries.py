@@ -14,6 +14,8 @@ from rasterweave.operators import catalog as C
 from rasterweave.operators import inference, labels, metrics, pixel_graph, splitting, tiling, zones
 from rasterweave.operators import series as S
 from rasterweave.plans import fixtures as X
+from rasterweave.plans import pipelines
+from rasterweave.sources.params import FordeadRequest, PredictionRequest, TrainingRequest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -567,3 +569,67 @@ def connected_components(s, d):
 def region_sizes(s, d):
     found = pixel_graph.regions(X.grid_pixels(s, d).filter("k <> 2"), "k")
     return found.groupBy("region", "k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
+
+
+@query
+def region_outlines(s, d):
+    return pixel_graph.outlines(pixel_graph.regions(X.grid_pixels(s, d).filter("k <> 2"), "k"))
+
+
+# --- models and pipelines ---------------------------------------------------
+
+
+def _stub(x):
+    """A model of two bands, for the tests: three linear scores."""
+    import numpy as np
+
+    return np.stack([x[:, 0] / 100, x[:, 1], (x[:, 0] + x[:, 1]) / 150], axis=1)
+
+
+@query
+def scene_prediction(s, d):
+    p = X.grid_pixels(s, d).withColumn("w", F.col("v") % 7)
+    return inference.predict_scene(p, ["v", "w"], _stub, X.grid_height(p), X.GRID_WIDTH, 16, 6, 2).select("i", "j", "pred", *r6("best"))
+
+
+@query
+def prediction_map(s, d):
+    rows = X.cube_pixels(s, d)
+    return rows.select("cube_id", "r", "c", M.shown(F.col("label"), M.black([F.col(b) for b in X.BAND_COLUMNS]), 9).alias("k"))
+
+
+@query
+def ring_confidence(s, d):
+    return metrics.ring_confidence(metrics.ring_accuracy(X.seg_pixels(s, d), 8, 3)).select("zone", *r6("half_width"))
+
+
+@query
+def dieback_by_zones(s, d):
+    return pipelines.detect_dieback(S.historical_window(X.series(s, d), channels=[1, 7]), "2022-04-16")
+
+
+@query
+def dieback_by_graph(s, d):
+    return pipelines.detect_dieback(S.historical_window(X.series(s, d), channels=[1, 7]), "2022-04-16", method="graph", resolution=2.0)
+
+
+def _aoi(s, d):
+    return one_row_per_id(X.read(s, d, "aoi"), "aoi_id", "name", "geometry")
+
+
+@query
+def training_selection(s, d):
+    request = TrainingRequest(d, 2560, "2024-05-01", "2024-08-01")
+    return pipelines.select_for_training(X.catalog(s, d).filter("cloud_pct >= 0"), _aoi(s, d), request, n_min=2, n_max=2).select("aoi_id", "tile_id", "image_id", "rung")
+
+
+@query
+def prediction_selection(s, d):
+    request = PredictionRequest(d, 2560, "2024-08-01", 10)
+    return pipelines.select_for_prediction(X.catalog(s, d), _aoi(s, d), request).select("aoi_id", "tile_id", "image_id")
+
+
+@query
+def fordead_selection(s, d):
+    request = FordeadRequest(d, 2560, "2024-08-01", 20)
+    return pipelines.select_for_fordead(X.catalog(s, d), _aoi(s, d), request).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), F.max("nr").alias("nr"))

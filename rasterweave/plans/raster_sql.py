@@ -157,3 +157,19 @@ ORACLE = {
 _FLOOD = "WITH RECURSIVE p AS ({0}), f AS (SELECT i, j, k, i AS i2, j AS j2 FROM p UNION SELECT f.i, f.j, f.k, q.i, q.j FROM f JOIN p q ON q.k = f.k AND abs(q.i - f.i2) + abs(q.j - f.j2) = 1 AND q.i BETWEEN f.i2 - 1 AND f.i2 + 1 AND q.j BETWEEN f.j2 - 1 AND f.j2 + 1), m AS (SELECT i, j, k, min(CAST(i2 AS BIGINT) * 4294967296 + j2) AS region FROM f GROUP BY i, j, k)"
 ORACLE["connected_components"] = f"{_FLOOD.format(X.GRID_SQL)} SELECT i, j, k, region FROM m"
 ORACLE["region_sizes"] = f"{_FLOOD.format('SELECT * FROM (' + X.GRID_SQL + ') WHERE k <> 2')} SELECT region, k, count(*) AS n, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM m GROUP BY region, k"
+
+_SIDES = ", ".join(f"({k})" for k in ("'up', -1, 0", "'down', 1, 0", "'left', 0, -1", "'right', 0, 1"))
+ORACLE["region_outlines"] = (
+    f"{_FLOOD.format('SELECT * FROM (' + X.GRID_SQL + ') WHERE k <> 2')}, d AS (SELECT * FROM (VALUES {_SIDES}) AS d(n, di, dj)), "
+    "s AS (SELECT m.region, n, CASE n WHEN 'up' THEN m.i WHEN 'down' THEN m.i + 1 WHEN 'left' THEN m.j ELSE m.j + 1 END AS line, CASE WHEN n IN ('up', 'down') THEN m.j ELSE m.i END AS at_ FROM m CROSS JOIN d LEFT JOIN m o ON o.i = m.i + di AND o.j = m.j + dj WHERE o.region IS DISTINCT FROM m.region), "
+    "g AS (SELECT *, at_ - row_number() OVER (PARTITION BY region, n, line ORDER BY at_) AS g FROM s), e AS (SELECT region, n, line, min(at_) AS a, max(at_) + 1 AS b FROM g GROUP BY region, n, line, g) "
+    "SELECT region, CASE WHEN n IN ('up', 'down') THEN a ELSE line END AS x1, CASE WHEN n IN ('up', 'down') THEN line ELSE a END AS y1, CASE WHEN n IN ('up', 'down') THEN b ELSE line END AS x2, CASE WHEN n IN ('up', 'down') THEN line ELSE b END AS y2 FROM e"
+)
+ORACLE["scene_prediction"] = f"{_GRID}, sc AS (SELECT i, j, unnest([0, 1, 2]) AS k, unnest([v / 100, v % 7, (v + v % 7) / 150]) AS s FROM p), so AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY i, j) AS q FROM sc) SELECT i, j, k AS pred, {_r('q', 'best')} FROM so QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY q DESC, k) = 1"
+ORACLE["prediction_map"] = f"{_CUBE} SELECT cube_id, r, c, CASE WHEN {_ALLBLACK} THEN 9 ELSE label END AS k FROM s"
+_Z = 2.5758293035489004
+ORACLE["ring_confidence"] = f"{_SEG}, o AS (SELECT CASE {_RING} WHEN 0 THEN 1 ELSE 2 END AS zone, CASE WHEN label = pred THEN 1.0 ELSE 0.0 END AS x FROM s WHERE label <> 255), z AS (SELECT zone, count(*) AS n, greatest(count(*) - 1, 1) AS v, stddev_pop(x) AS sd FROM o GROUP BY zone) SELECT zone, {_r(f'({_Z}::DOUBLE + {(_Z**3 + _Z) / 4}::DOUBLE / v + {(5 * _Z**5 + 16 * _Z**3 + 3 * _Z) / 96}::DOUBLE / (v * v) + {(3 * _Z**7 + 19 * _Z**5 + 17 * _Z**3 - 15 * _Z) / 384}::DOUBLE / (v * v * v)) * sd / sqrt(n)', 'half_width')} FROM z"
+_MET = f"{_CAT}, {_POINTS}, f AS (SELECT a.*, aoi_id FROM a JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax)"
+ORACLE["training_selection"] = f"{_MET}, l AS (SELECT * FROM f WHERE cloud_pct >= 0 AND ts >= TIMESTAMP '2024-05-01' AND ts < TIMESTAMP '2024-08-01'), u AS (SELECT CAST(cc AS DOUBLE) AS cc FROM range(0, 21) x(cc)), nn AS (SELECT aoi_id, tile_id, cc, count(*) FILTER (cloud_pct < cc) AS n FROM l, u GROUP BY ALL), b AS (SELECT aoi_id, tile_id, coalesce(min(cc) FILTER (n >= 2), 20) AS rung FROM nn GROUP BY ALL) SELECT aoi_id, tile_id, image_id, rung FROM l JOIN b USING (aoi_id, tile_id) WHERE cloud_pct < rung QUALIFY row_number() OVER (PARTITION BY aoi_id, tile_id ORDER BY cloud_pct, ts, image_id) <= 2"
+ORACLE["prediction_selection"] = f"{_MET}, l AS (SELECT * FROM f WHERE ts >= TIMESTAMP '2024-07-22' AND ts < TIMESTAMP '2024-08-02' QUALIFY row_number() OVER (PARTITION BY aoi_id ORDER BY ts DESC, image_id DESC) <= 10) SELECT aoi_id, tile_id, image_id FROM l QUALIFY row_number() OVER (PARTITION BY aoi_id, tile_id ORDER BY ts DESC, image_id DESC) = 1"
+ORACLE["fordead_selection"] = f"{_CAT}, {_POINTS}, w AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts, image_id) AS nr FROM a WHERE ts >= TIMESTAMP '2024-08-01' AND ts < TIMESTAMP '2024-08-21') SELECT aoi_id, count(*) AS n, CAST(max(nr) AS INT) AS nr FROM w JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax GROUP BY aoi_id"

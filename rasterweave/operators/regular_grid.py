@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterweave.session import cut_lineage
+
 OBSERVED, CARRIED, MISSING = "observed", "carried", "missing"
 
 
@@ -32,8 +34,8 @@ def regular_grid(readings: DataFrame, source: str, ts: str, values: Sequence[str
     values are carried as nulls. An empty input gives an empty result with the same columns. Other columns are not
     read, so clashing names don't matter unless they are among source, ts, values and tie.
 
-    Readings are first combined by (source, period), before the shuffle; a source or a bucket with a third of all
-    rows is thus no more than its periods. The sequence of a source is cut into chunks of `chunk` periods; each also
+    Readings are first combined by (source, period), before the shuffle, and these buckets are written to the checkpoint
+    folder; a source or a bucket with a third of all rows is thus no more than its periods. The sequence of a source is cut into chunks of `chunk` periods; each also
     sees the max_gap periods before it, so every chunk is filled on its own and no task ever holds a whole source.
     """
     chunk = max(chunk, 8 * max_gap, 1)
@@ -43,7 +45,8 @@ def regular_grid(readings: DataFrame, source: str, ts: str, values: Sequence[str
     if end is not None:
         rows = rows.filter(F.col(ts) < F.lit(end).cast(readings.schema[ts].dataType))
     state = F.struct(F.col(ts).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)])
-    buckets = rows.select(F.col(source).alias("_source"), period_of(F.col(ts), origin, width_s).alias("_period"), state.alias("_state")).groupBy("_source", "_period").agg(F.count(F.lit(1)).alias("n_readings"), F.max("_state").alias("_state"))
+    # Both the spans and the join need them; the readings are read once.
+    buckets = cut_lineage(rows.select(F.col(source).alias("_source"), period_of(F.col(ts), origin, width_s).alias("_period"), state.alias("_state")).groupBy("_source", "_period").agg(F.count(F.lit(1)).alias("n_readings"), F.max("_state").alias("_state")))
     # The sequence of each source, chunk by chunk; a chunk's rows begin max_gap periods early.
     spans = buckets.groupBy("_source").agg(F.min("_period").alias("_first"), F.max("_period").alias("_last"))
     chunks = spans.withColumn("_chunk", F.explode(F.sequence(F.floor(F.col("_first") / chunk), F.floor(F.col("_last") / chunk))))

@@ -44,7 +44,8 @@ def regular_grid(readings: DataFrame, source: str, ts: str, values: Sequence[str
         rows = rows.filter(F.col(ts) >= F.lit(start).cast(readings.schema[ts].dataType))
     if end is not None:
         rows = rows.filter(F.col(ts) < F.lit(end).cast(readings.schema[ts].dataType))
-    state = F.struct(F.col(ts).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)])
+    # The time alone is aggregated by hash; a struct needs a sort.
+    state = F.struct(F.col(ts).alias("_t"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(tie)], *[F.col(c).alias(f"_v{i}") for i, c in enumerate(values)]) if values else F.col(ts)
     # Both the spans and the join need them; the readings are read once.
     buckets = cut_lineage(rows.select(F.col(source).alias("_source"), period_of(F.col(ts), origin, width_s).alias("_period"), state.alias("_state")).groupBy("_source", "_period").agg(F.count(F.lit(1)).alias("n_readings"), F.max("_state").alias("_state")))
     # The sequence of each source, chunk by chunk; a chunk's rows begin max_gap periods early.

@@ -16,6 +16,9 @@ from rasterweave.session import cut_lineage
 # The four neighbours that give every pair of an 8-neighbourhood once, and those of a 4-neighbourhood.
 FORWARD_8, FORWARD_4 = ((1, 0), (0, 1), (1, 1), (-1, 1)), ((1, 0), (0, 1))
 
+#: Links between runs up to which a round's tables are broadcast (two rows of 16 bytes per link at most).
+BROADCAST_LINKS = 200_000
+
 
 def pixel_vectors(series: DataFrame) -> DataFrame:
     """i, j, x: the series of each pixel as an array of dates, each an array of channels."""
@@ -224,21 +227,25 @@ def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 6
     marked = cut_lineage(marked.drop("_s"))
     pairs = neighbours(marked, ["_v", "_run"], [o for o in offsets if o != (0, 1)]).filter("_v = _v2 AND _run <> _run2").select(F.col("_run").alias("u"), F.col("_run2").alias("v"))
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    names = cut_lineage(marked.select(F.col("_run").alias("u"), F.col("_run").alias("name")).distinct())
+    # Only runs that have neighbours take part; the number of their links proves whether a round's tables are small.
+    small = F.broadcast if both.count() <= BROADCAST_LINKS else (lambda df: df)
+    names = cut_lineage(both.select("u", F.col("u").alias("name")).distinct())
     for _ in range(max_rounds):
-        near = both.join(names.withColumnRenamed("u", "v"), "v").groupBy("u").agg(F.min("name").alias("least"))
-        hooked = names.join(near, "u", "left").select("u", "name", F.least("name", F.coalesce("least", "name")).alias("new"))
-        # A run whose name's owner has found a better one takes that, twice per round.
+        near = both.join(small(names.withColumnRenamed("u", "v")), "v").groupBy("u").agg(F.min("name").alias("least"))
+        hooked = names.join(small(near), "u").select("u", "name", F.least("name", "least").alias("new"))
+        # A run takes the best name that any run of its name has found, and then the name which that one has itself.
         better = hooked.groupBy("name").agg(F.min("new").alias("best"))
-        jumped = hooked.join(better, "name").select("u", F.col("name").alias("old"), F.least("new", "best").alias("new"))
-        to = jumped.select(F.col("u").alias("new"), F.col("new").alias("next"))
-        jumped = cut_lineage(jumped.join(to, "new").select("u", "old", F.least("new", "next").alias("name")))
-        names = jumped.select("u", "name")
-        if jumped.filter("old <> name").isEmpty():
+        joined = cut_lineage(hooked.join(small(better), "name").select("u", F.col("name").alias("old"), F.least("new", "best").alias("name")))
+        to = small(joined.select(F.col("u").alias("name"), F.col("name").alias("next")))
+        names = joined.join(to, "name").select("u", F.least("name", "next").alias("name"), "old")
+        names = cut_lineage(names)
+        if names.filter("old <> name").isEmpty():
             break
+        names = names.drop("old")
     else:
         raise RuntimeError(f"regions still change after {max_rounds} rounds")
-    return marked.join(names.withColumnRenamed("u", "_run"), "_run").select("i", "j", F.col("_v").alias(value), F.col("name").alias("region"))
+    out = marked.join(small(names.select(F.col("u").alias("_run"), "name")), "_run", "left")
+    return out.select("i", "j", F.col("_v").alias(value), F.coalesce("name", "_run").alias("region"))
 
 
 def outlines(regions_of: DataFrame, value: str = "region") -> DataFrame:

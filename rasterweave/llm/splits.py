@@ -91,13 +91,14 @@ def related_records(records: DataFrame, id_col: str, keys: Sequence[Sequence[str
     """records with `component`: equal for records that share the value of one of the keys, directly or through others.
 
     A key is one or more columns; a null in one of them makes it no key of that record. A record without any key is a
-    component of its own. One row per id is expected; other columns are kept, `component` must not be among them.
+    component of its own. One row per id is expected (repeated rows stay, in the same component); other columns are
+    kept, whatever their names, but an older `component` is replaced.
 
     Each record ties its keys together (an edge from its first key to each other one), so vertices are key values and
     a key with a third of all records is one vertex, whose edges are made distinct before they are shuffled. Key values have 64-bit
     names; names given to two different values are looked for and the naming is repeated with another seed.
     """
-    records = cut_lineage(records)
+    records = cut_lineage(records.drop("component"))
     for seed in range(8):
         names = [key_hash(k, *[F.col(c) for c in cols], seed=seed) for k, cols in enumerate(keys)]
         named = [F.struct(n.alias("name"), F.concat_ws("\u0001", F.lit(str(k)), *[F.col(c).cast("string") for c in cols]).alias("value")) for k, (n, cols) in enumerate(zip(names, keys, strict=True))]
@@ -108,11 +109,12 @@ def related_records(records: DataFrame, id_col: str, keys: Sequence[Sequence[str
     ties = F.filter(F.array(*names), lambda n: n.isNotNull() & (n != first))
     edges = records.select(first.alias("u"), F.explode(ties).alias("v"))
     found = components(edges)
-    own = F.xxhash64(F.lit("alone"), F.col(id_col))
-    keyed = records.withColumn("_first", first)
-    labels = salted_join(keyed.filter("_first IS NOT NULL"), found.withColumnRenamed("vertex", "_first"), ["_first"], F.col(id_col), how="left")
+    own = F.xxhash64(F.lit("alone"), F.col(f"_r.{id_col}"))
+    # The records' own columns travel as one struct, so none of them can clash with a helper column.
+    keyed = records.select(F.struct(*records.columns).alias("_r"), first.alias("_first"))
+    labels = salted_join(keyed.filter("_first IS NOT NULL"), found.withColumnRenamed("vertex", "_first"), ["_first"], F.col(f"_r.{id_col}"), how="left")
     alone = keyed.filter("_first IS NULL").withColumn("component", F.lit(None).cast("long"))
-    return labels.unionByName(alone).withColumn("component", F.coalesce("component", "_first", own)).drop("_first")
+    return labels.unionByName(alone).select("_r.*", F.coalesce("component", "_first", own).alias("component"))
 
 
 def split_components(records: DataFrame, component: str, shares: dict[str, float], *, seed: int = 42, heavy_share: float = 0.005, buckets: int = 1024) -> DataFrame:
@@ -155,7 +157,7 @@ def split_components(records: DataFrame, component: str, shares: dict[str, float
 
 
 def split_related(records: DataFrame, id_col: str, keys: Sequence[Sequence[str]], shares: dict[str, float], *, seed: int = 42, heavy_share: float = 0.005) -> DataFrame:
-    """records with component and assigned_split; see related_records and split_components."""
-    tied = cut_lineage(related_records(records, id_col, keys))
+    """records with component and assigned_split (older columns of these names are replaced); see related_records and split_components."""
+    tied = cut_lineage(related_records(records.drop("assigned_split"), id_col, keys))
     chosen = split_components(tied, "component", shares, seed=seed, heavy_share=heavy_share).withColumnRenamed("split", "assigned_split")
     return tied.join(chosen, "component")

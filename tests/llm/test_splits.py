@@ -67,7 +67,8 @@ def test_records_are_related_through_any_key(spark):
     expected = defaultdict(set)
     for r in rows:
         expected[want.get(("r", r[0]), ("alone", r[0]))].add(r[0])
-    got = {r["id"]: r["component"] for r in related_records(df.drop("_first"), "id", [["author"], ["source"]]).collect()}
+    got = {r["id"]: r["component"] for r in related_records(df.withColumn("component", F.lit("old")), "id", [["author"], ["source"]]).collect()}
+    assert set(related_records(df, "id", [["author"]]).columns) == {*df.columns, "component"}
     assert groups(got) == sorted(map(sorted, expected.values())) and len(got) == 300
 
 
@@ -106,3 +107,9 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, g int")
     assert split_related(df, "id", [["g"]], {"a": 0.5, "b": 0.5}).collect() == []
     assert split_components(df.withColumn("component", F.col("id")), "component", {"a": 1.0}).collect() == []
+
+
+def test_older_columns_of_the_same_names_are_replaced_and_repeats_stay(spark):
+    df = spark.createDataFrame([(1, 7, "x", "y", "z"), (1, 7, "x", "y", "z"), (2, None, None, None, None)], "id long, g int, component string, assigned_split string, w string")
+    out = split_related(df, "id", [["g"]], {"a": 1.0}).collect()
+    assert sorted((r["id"], r["assigned_split"]) for r in out) == [(1, "a"), (1, "a"), (2, "a")] and len({r["component"] for r in out}) == 2

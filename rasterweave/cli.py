@@ -48,21 +48,45 @@ def parser() -> argparse.ArgumentParser:
 
     prepare = commands.add_parser("preprocess-data").add_subparsers(dest="sub", required=True)
     labelize = prepare.add_parser("labelize")
-    labelize.add_argument("-s", "--source", required=True)
-    labelize.add_argument("-d", "--destination", required=True)
-    labelize.add_argument("-g", "--geometry", required=True)
+    labelize.add_argument("-s", "--source-folder", required=True)
+    labelize.add_argument("-d", "--destination-folder", help="default: the source folder with the suffix")
+    labelize.add_argument("-g", "--gdf-path", required=True)
     labelize.add_argument("-y", "--year", type=int, required=True)
     labelize.add_argument("-n", "--num-classes", type=int, required=True)
-    labelize.add_argument("-i", "--insects", nargs="*", choices=INSECTS, default=[])
-    labelize.add_argument("--severity-map", required=True)
+    labelize.add_argument("-i", "--insects", nargs="*", choices=INSECTS, default=list(INSECTS))
+    labelize.add_argument("-suf", "--suffix", default="annotated")
+    labelize.add_argument("--severity-map", required=True, help="Parquet with n_steps, severity, step")
     cubify = prepare.add_parser("cubify")
-    cubify.add_argument("-s", "--source", required=True)
-    cubify.add_argument("-d", "--destination", required=True)
+    cubify.add_argument("-s", "--source-folder", required=True)
+    cubify.add_argument("-d", "--destination-folder", help="default: beside the source")
     cubify.add_argument("-c", "--cube-size", type=int, default=256)
+    cubify.add_argument("-f", "--filename", default="cubes")
     keep = prepare.add_parser("filter")
-    keep.add_argument("-s", "--source", required=True)
-    keep.add_argument("-d", "--destination", required=True)
+    keep.add_argument("-s", "--source-file", required=True)
+    keep.add_argument("-d", "--destination-path", required=True)
     keep.add_argument("-t", "--threshold", type=float, default=0.8)
+
+    show = commands.add_parser("visualize").add_subparsers(dest="sub", required=True)
+    tif = show.add_parser("tif", help="write the stretched and shrunk values that a viewer shows")
+    tif.add_argument("-s", "--source", required=True)
+    tif.add_argument("-d", "--destination", required=True)
+    tif.add_argument("-c", "--compression", type=int, default=512)
+    tif.add_argument("--colors", choices=("rgb", "nir"), default="rgb")
+    tif.add_argument("--suffix", default=".tif")
+    for one in (labelize, cubify, tif):
+        one.add_argument("-r", "--recursive", action=argparse.BooleanOptionalAction, default=True)
+    h5 = show.add_parser("h5-cubes", help="write the cubes with the page that each is shown on")
+    h5.add_argument("-s", "--source-file", required=True)
+    h5.add_argument("-d", "--destination", required=True)
+    h5.add_argument("-n", "--nb-per-grid", type=int, default=9)
+
+    utils = commands.add_parser("utils").add_subparsers(dest="sub", required=True)
+    for name in ("download-from-gcs", "upload-to-gcs"):
+        one = utils.add_parser(name)
+        one.add_argument("-b", "--gcs-bucket-name", required=True)
+        one.add_argument("-s", "--source-path", required=True)
+        one.add_argument("-d", "--destination-path", required=True)
+        one.add_argument("-e", "--extension", nargs="*", default=[])
     return top
 
 
@@ -72,7 +96,8 @@ def run(spark: SparkSession, argv: Sequence[str]) -> None:
     from rasterweave.functions.bands import BANDS
     from rasterweave.operators import tiling
     from rasterweave.plans import pipelines
-    from rasterweave.sources.files import write_layout
+    from rasterweave.sources.files import chunk_pixels, read_cubes, read_rasters, write_layout
+    from rasterweave.sources.transfer import copy_files
 
     a = parser().parse_args(argv)
     if a.command == "load-data":
@@ -85,17 +110,27 @@ def run(spark: SparkSession, argv: Sequence[str]) -> None:
         else:
             chosen = pipelines.select_for_fordead(images, areas, P.FordeadRequest(a.source, a.buffer, a.before_date, a.date_diff_in_days, a.filter, a.threshold))
         write_layout(chosen.withColumn("date", F.to_date("ts")), a.destination, ["tile_id"])
+    elif a.command == "utils":
+        bucket = lambda path: f"gs://{a.gcs_bucket_name}/{path.lstrip('/')}"
+        down = a.sub == "download-from-gcs"
+        copy_files(spark, bucket(a.source_path) if down else a.source_path, a.destination_path if down else bucket(a.destination_path), a.extension)
+    elif a.sub == "tif":
+        pixels = chunk_pixels(read_rasters(spark, a.source, a.suffix, a.recursive))
+        write_layout(pipelines.display_values(pixels, a.colors, a.compression), a.destination, [])
+    elif a.sub == "h5-cubes":
+        write_layout(tiling.pages(read_cubes(spark, a.source_file), ["cube_id"], a.nb_per_grid), a.destination, [])
     elif a.sub == "labelize":
         steps = {r["severity"]: r["step"] for r in spark.read.parquet(a.severity_map).filter(F.col("n_steps") == a.num_classes).collect()}  # the caller's table of a few steps
-        write_layout(pipelines.labelize(spark.read.parquet(a.source), spark.read.parquet(a.geometry), a.year, a.num_classes, a.insects, steps), a.destination, [])
+        pixels = spark.read.option("recursiveFileLookup", str(a.recursive).lower()).parquet(a.source_folder)
+        write_layout(pipelines.labelize(pixels, spark.read.parquet(a.gdf_path), a.year, a.num_classes, a.insects, steps), a.destination_folder or f"{a.source_folder.rstrip('/')}_{a.suffix}", [])
+    elif a.sub == "cubify":
+        pixels = spark.read.option("recursiveFileLookup", str(a.recursive).lower()).parquet(a.source_folder)
+        size = pixels.agg(F.max("i"), F.max("j")).first()
+        out = tiling.cubify(pixels, (size[0] or 0) + 1, (size[1] or 0) + 1, a.cube_size)
+        write_layout(out, f"{(a.destination_folder or a.source_folder.rstrip('/') + '_cubes').rstrip('/')}/{a.filename}", [])
     else:
-        pixels = spark.read.parquet(a.source)
-        if a.sub == "cubify":
-            size = pixels.agg(F.max("i"), F.max("j")).first()
-            out = tiling.cubify(pixels, (size[0] or 0) + 1, (size[1] or 0) + 1, a.cube_size)
-        else:
-            out = pixels.join(tiling.good_cubes(pixels, [b.lower() for b in BANDS], a.threshold).select("cube_id"), "cube_id", "left_semi")
-        write_layout(out, a.destination, [])
+        pixels = read_cubes(spark, a.source_file)
+        write_layout(pixels.join(tiling.good_cubes(pixels, [b.lower() for b in BANDS], a.threshold).select("cube_id"), "cube_id", "left_semi"), a.destination_path, [])
 
 
 def main() -> None:

@@ -91,18 +91,20 @@ def regions_containing(points: DataFrame, x: str, y: str, regions: DataFrame, re
     Regions are hashed to the cells of side `cell` that their box touches, points to their cell; the exact test
     follows in the join. Regions with the same region_id are one region and must not disagree (the least ring counts); null ids and rings of
     fewer than three good vertices contain nothing. Points with null or non-finite coordinates lie nowhere. spread: the
-    column that deals the points of a hot cell over several tasks. Columns of points are kept; region_id must not be
-    among them.
+    column that deals the points of a hot cell over several tasks. Columns of points are kept, whatever their names; one
+    called like region_id gives way to the region's.
     """
     r = regions.select(region_id, ring).filter(F.col(region_id).isNotNull() & F.col(ring).isNotNull()).groupBy(region_id).agg(F.min(ring).alias("_ring"))
-    r = r.select(region_id, edges_of(F.col("_ring")).alias("_edges")).filter(F.col("_edges").isNotNull())
+    r = r.select(F.col(region_id).alias("_region"), edges_of(F.col("_ring")).alias("_edges")).filter(F.col("_edges").isNotNull())
     lo = lambda k: F.array_min(F.transform("_edges", lambda e: e[k]))
     hi = lambda k: F.array_max(F.transform("_edges", lambda e: e[k]))
     r = r.select("*", lo("x1").alias("_x0"), hi("x1").alias("_x9"), lo("y1").alias("_y0"), hi("y1").alias("_y9"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))
     r = r.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9")))
-    good = points.filter(finite(F.col(x).cast("double")) & finite(F.col(y).cast("double")))
-    p = good.select("*", F.floor(F.col(x).cast("double") / cell).cast("long").alias("_cx"), F.floor(F.col(y).cast("double") / cell).cast("long").alias("_cy"))
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
+    # The points' own columns travel as one struct, so none of them can clash with a helper column.
+    kept = [F.col(c) for c in points.columns if c != region_id]
+    p = points.select(F.struct(*kept).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"), F.col(spread).alias("_spread")).filter(finite(F.col("_px")) & finite(F.col("_py")))
+    p = p.select("*", F.floor(F.col("_px") / cell).cast("long").alias("_cx"), F.floor(F.col("_py") / cell).cast("long").alias("_cy"))
+    px, py = F.col("_px"), F.col("_py")
     inside = px.between(F.col("_x0"), F.col("_x9")) & py.between(F.col("_y0"), F.col("_y9")) & in_ring(F.col("_edges"), px, py)
-    return salted_join(p, r, ["_cx", "_cy"], F.col(spread), inside, rows_per_task).select(*points.columns, region_id)
+    return salted_join(p, r, ["_cx", "_cy"], F.col("_spread"), inside, rows_per_task).select("_p.*", F.col("_region").alias(region_id))

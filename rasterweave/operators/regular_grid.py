@@ -32,12 +32,14 @@ def regular_grid(readings: DataFrame, source: str, ts: str, values: Sequence[str
     start <= ts < end (either may be None). Ties: of several readings in a period the one with the latest ts counts,
     then the greatest `tie` columns and values. Repeated rows are counted in n_readings; make them single first. Null
     values are carried as nulls. An empty input gives an empty result with the same columns. Other columns are not
-    read, so clashing names don't matter unless they are among source, ts, values and tie.
+    read, so their names don't matter; a source or value called like a column of the result raises ValueError.
 
     Readings are first combined by (source, period), before the shuffle, and these buckets are written to the checkpoint
     folder; a source or a bucket with a third of all rows is thus no more than its periods. The sequence of a source is cut into chunks of `chunk` periods; each also
     sees the max_gap periods before it, so every chunk is filled on its own and no task ever holds a whole source.
     """
+    if clash := {"period_no", "n_readings", "status", "from_period"} & {source, *values}:
+        raise ValueError(f"names of the result's own columns: {sorted(clash)}")
     chunk = max(chunk, 8 * max_gap, 1)
     rows = readings.filter(F.col(source).isNotNull() & F.col(ts).isNotNull())
     if start is not None:

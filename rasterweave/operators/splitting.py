@@ -31,15 +31,25 @@ def stratified_split(cube_labels: DataFrame, order: Sequence[int] = CLAIM_ORDER,
 
 
 def ranked_split(rows: DataFrame, id_col: str, per: Sequence[str] = (), seed: int = 42) -> DataFrame:
-    """rows with split: 80/10/10 of each `per` group by rank in hash order."""
-    order = Window.partitionBy(*per).orderBy(hash_order(F.col(id_col), seed), id_col)
-    n = F.count(F.lit(1)).over(Window.partitionBy(*per))
-    at = F.row_number().over(order) - 1
-    ranked = rows.withColumns({"_k": at, "_n": n})
+    """rows with split: 80/10/10 of each `per` group by rank in hash order.
+
+    A group may be the whole table, so it is ranked in 4,096 buckets by the beginning of the hash: rank within the
+    bucket plus the rows of the buckets before. No task holds more of a group than a bucket.
+    """
+    hashed = rows.withColumn("_h", hash_order(F.col(id_col), seed)).withColumn("_b", F.substring("_h", 1, 3))
+    group = Window.partitionBy(*per)
+    sizes = hashed.groupBy(*per, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(*[F.col(c).alias(f"_o_{c}") for c in per], F.col("_b").alias("_ob"), before.alias("_before"), F.sum("_c").over(group).alias("_n"))
+    same = F.col("_b") == F.col("_ob")
+    for c in per:
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
+    within = F.row_number().over(Window.partitionBy(*per, "_b").orderBy("_h", id_col)) - 1
+    ranked = hashed.withColumn("_k", within).join(offsets, same).withColumn("_k", F.col("_k") + F.col("_before"))
     a, b = F.floor(F.col("_n") * TRAIN), F.floor(F.col("_n") * TRAIN_VAL)
     empty = (a == 0) | (b == a) | (F.col("_n") == b)
     a, b = F.when(empty, F.col("_n") - 2).otherwise(a), F.when(empty, F.col("_n") - 1).otherwise(b)
-    return ranked.withColumn("split", F.when(F.col("_k") < a, "train").when(F.col("_k") < b, "val").otherwise("test")).drop("_k", "_n")
+    return ranked.select(*rows.columns, F.when(F.col("_k") < a, "train").when(F.col("_k") < b, "val").otherwise("test").alias("split"))
 
 
 def hashed_split(rows: DataFrame, id_col: str, shares: dict[str, float], seed: int = 42) -> DataFrame:

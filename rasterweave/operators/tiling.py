@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import black
+from rasterweave.session import cut_lineage
 
 # Side of a cube, overlap of neighbouring tiles, and the rim that is cut off a predicted tile.
 CUBE, OVERLAP, PADDING = 256, 90, 30
@@ -79,9 +80,18 @@ def good_cubes(pixels: DataFrame, bands: Sequence[str], max_black: float = 0.8,
 
 
 def pages(rows: DataFrame, order: Sequence[str], n: int, per: Sequence[str] = ()) -> DataFrame:
-    """rows with page, from 0: n rows a page in the given order, each row once, within each `per` group."""
-    window = Window.partitionBy(*per).orderBy(*order)
-    return rows.withColumn("page", F.floor((F.row_number().over(window) - 1) / n).cast("int"))
+    """rows with page, from 0: n rows a page in the given order, each row once, within each `per` group.
+
+    Without `per` the table is sorted in ranges, numbered within each and shifted by the sizes of the ranges before.
+    """
+    if per:
+        at = F.row_number().over(Window.partitionBy(*per).orderBy(*order)) - 1
+        return rows.withColumn("page", F.floor(at / n).cast("int"))
+    ranges = cut_lineage(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sizes = ranges.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1 + F.col("_before")
+    return ranges.join(F.broadcast(sizes.select("_p", before.alias("_before"))), "_p").select(*rows.columns, F.floor(at / n).cast("int").alias("page"))  # one row per range
 
 
 def shrink(pixels: DataFrame, by: int, values: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:

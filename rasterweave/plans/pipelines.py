@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rasterweave.functions import bands as B
 from rasterweave.functions import masks as M
 from rasterweave.operators import catalog as C
-from rasterweave.operators import inference, labels, pixel_graph, splitting, tiling, zones
+from rasterweave.operators import inference, labels, metrics, pixel_graph, splitting, tiling, zones
 from rasterweave.operators import series as S
 from rasterweave.sources.params import PREDICT_BLACK, FordeadRequest, PredictionRequest, TrainingRequest
 
@@ -90,3 +90,21 @@ def segment(pixels: DataFrame, model: inference.Model, height: int, width: int,
     """Class and probability of every pixel, and the regions of equal class."""
     names = [f"{b.lower()}_norm" for b in B.BANDS] + [n.lower() for n in B.INDICES]
     return pixel_graph.regions(inference.predict_scene(pixels, names, model, height, width, **how), "pred")
+
+
+#: Channels of red, green and blue, and the near infrared shown as red.
+COLORS = {"rgb": {3: "red", 2: "green", 1: "blue"}, "nir": {7: "red"}}
+
+
+def display_values(pixels: DataFrame, colors: str = "rgb", size: int = 512, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """path, i, j, color, stretched: what a viewer shows of long pixels (path, channel, i, j, v).
+
+    Each image is shrunk by whole blocks until its width fits `size`, then stretched over all shown values between the
+    low and the high percentile.
+    """
+    names = COLORS[colors]
+    shown = pixels.filter(F.col("channel").isin(*names)).withColumn("color", F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("channel")])
+    by = shown.groupBy("path").agg(F.greatest(F.lit(1), F.ceil((F.max("j") + 1) / size).cast("int")).alias("_by"))
+    block = lambda a: F.floor(F.col(a) / F.col("_by")).cast("int").alias(a)
+    small = shown.join(by, "path").groupBy("path", "color", block("i"), block("j")).agg(F.avg("v").alias("v"))
+    return metrics.contrast_stretch(small, "v", low, high, ["path"]).select("path", "i", "j", "color", "stretched")

@@ -81,6 +81,13 @@ def test_regions_borders_notches_and_overlaps(spark):
     assert got == [(1, "square"), (2, "square"), (3, "closed"), (4, "clockwise"), (6, "notch"), (7, "notch")]
 
 
+def test_columns_of_points_never_clash(spark):
+    r = spark.createDataFrame([("r", [{"x": 0.0, "y": 0.0}, {"x": 9.0, "y": 0.0}, {"x": 9.0, "y": 9.0}])], "name string, ring array<struct<x: double, y: double>>")
+    p = spark.createDataFrame([(1, 5.0, 1.0, "old", 1, "e", "k")], "id int, x double, y double, name string, _cx int, _edges string, _p string")
+    got = regions_containing(p, "x", "y", r, "name", "ring", cell=2.0, spread="id").collect()
+    assert [(g["id"], g["name"], g["_cx"], g["_edges"], g["_p"]) for g in got] == [(1, "r", 1, "e", "k")]
+
+
 def test_in_ring_does_not_depend_on_the_direction(spark):
     rng = random.Random(5)
     ring = [(rng.randrange(20), rng.randrange(20)) for _ in range(7)]

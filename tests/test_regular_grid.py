@@ -55,6 +55,13 @@ def test_ties_repeats_nulls_and_the_empty_table(spark):
     assert run(spark, []) == []
 
 
+def test_values_called_like_the_result_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        regular_grid(spark.createDataFrame([], SCHEMA), "s", "ts", ["status"], origin="2016-01-01", width_s=60)
+
+
 def test_a_source_far_apart_is_filled_in_chunks(spark):
     rows = [("a", at(0), 1.0, None), ("a", at(5 * 5000), 2.0, None)]
     df = spark.createDataFrame(rows, SCHEMA)

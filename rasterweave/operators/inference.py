@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import argmax, softmax
-from rasterweave.operators.tiling import CUBE, OVERLAP, PADDING, crop_rim, is_whole, overlap_mean, overlap_tiles
+from rasterweave.operators.tiling import CUBE, OVERLAP, PADDING, crop_rim, is_whole, overlap_mean, overlap_means, overlap_tiles
 
 #: A model: an array (batch, channels) of pixel vectors to scores (batch, classes).
 Model = Callable[[np.ndarray], np.ndarray]
@@ -46,16 +46,21 @@ def classes(scored: DataFrame, scores: str = "scores") -> DataFrame:
     return scored.withColumn("prob", softmax(F.col(scores))).withColumns({"pred": argmax(F.col("prob")), "best": F.array_max("prob")})
 
 
-def merge_tiles(tiled: DataFrame, height: int, width: int, size: int = CUBE, padding: int = PADDING) -> DataFrame:
-    """i, j, pred, best from tiles with prob: rims cut off, probabilities averaged, the first greatest class."""
-    mean = overlap_mean(crop_rim(tiled, height, width, size, padding))
-    best = mean.groupBy("i", "j").agg(F.max(F.struct("p", (-F.col("k")).alias("_k"))).alias("_m"))
+def merge_tiles(tiled: DataFrame, height: int, width: int, size: int = CUBE, padding: int = PADDING, classes: int | None = None) -> DataFrame:
+    """i, j, pred, best from tiles with prob: rims cut off, probabilities averaged, the first greatest class.
+
+    With the number of classes a pixel's probabilities stay together and there is one shuffle instead of two.
+    """
+    kept = crop_rim(tiled, height, width, size, padding)
+    if classes:
+        return overlap_means(kept, "prob", classes).select("i", "j", argmax(F.col("mean")).alias("pred"), F.array_max("mean").alias("best"))
+    best = overlap_mean(kept).groupBy("i", "j").agg(F.max(F.struct("p", (-F.col("k")).alias("_k"))).alias("_m"))
     return best.select("i", "j", (-F.col("_m._k")).alias("pred"), F.col("_m.p").alias("best"))
 
 
-def predict_scene(pixels: DataFrame, bands: Sequence[str], model: Model, height: int, width: int, size: int = CUBE, overlap: int = OVERLAP, padding: int = PADDING) -> DataFrame:
+def predict_scene(pixels: DataFrame, bands: Sequence[str], model: Model, height: int, width: int, size: int = CUBE, overlap: int = OVERLAP, padding: int = PADDING, classes: int | None = None) -> DataFrame:
     """i, j, pred, best of a scene: in one piece if it is small, else by overlapping tiles. Softmax is applied once."""
     scored = score_pixels(pixels, bands, model).withColumn("prob", softmax(F.col("scores")))
     if is_whole(height, width, size):
         return scored.select("i", "j", argmax(F.col("prob")).alias("pred"), F.array_max("prob").alias("best"))
-    return merge_tiles(overlap_tiles(scored, height, width, size, overlap), height, width, size, padding)
+    return merge_tiles(overlap_tiles(scored, height, width, size, overlap), height, width, size, padding, classes)

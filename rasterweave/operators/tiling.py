@@ -48,9 +48,16 @@ def crop_rim(tiled: DataFrame, height: int, width: int, size: int = CUBE, paddin
     return tiled.filter(ok(F.col("r"), "oi", height) & ok(F.col("c"), "oj", width))
 
 
-def overlap_mean(tiled: DataFrame, scores: str = "prob") -> DataFrame:
-    """i, j, k, p: mean of each class over the tiles that cover a pixel."""
-    long = tiled.select("i", "j", "oi", "oj", F.posexplode(scores).alias("k", "s"))
+def overlap_means(tiled: DataFrame, scores: str, classes: int) -> DataFrame:
+    """i, j, mean: the mean of each class over the tiles that cover a pixel, as an array; one shuffle, combined before it."""
+    return tiled.groupBy("i", "j").agg(F.array(*[F.avg(F.get(scores, F.lit(k))) for k in range(classes)]).alias("mean"))
+
+
+def overlap_mean(tiled: DataFrame, scores: str = "prob", classes: int | None = None) -> DataFrame:
+    """i, j, k, p: mean of each class over the tiles that cover a pixel. With the number of classes known, classes travel together."""
+    if classes:
+        return overlap_means(tiled, scores, classes).select("i", "j", F.posexplode("mean").alias("k", "p"))
+    long = tiled.select("i", "j", F.posexplode(scores).alias("k", "s"))
     return long.groupBy("i", "j", "k").agg(F.avg("s").alias("p"))
 
 

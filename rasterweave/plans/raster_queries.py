@@ -291,13 +291,13 @@ def _probabilities(df: DataFrame) -> DataFrame:
 
 @query
 def overlap_add_merge(s, d):
-    return tiling.overlap_mean(_probabilities(_tiles(s, d)[0])).select("i", "j", "k", *r6("p"))
+    return tiling.overlap_mean(_probabilities(_tiles(s, d)[0]), classes=2).select("i", "j", "k", *r6("p"))
 
 
 @query
 def tiled_prediction(s, d):
     t, h = _tiles(s, d)
-    return inference.merge_tiles(_probabilities(t), h, X.GRID_WIDTH, 16, 2).select("i", "j", "pred", *r6("best"))
+    return inference.merge_tiles(_probabilities(t), h, X.GRID_WIDTH, 16, 2, 2).select("i", "j", "pred", *r6("best"))
 
 
 @query
@@ -589,7 +589,7 @@ def _stub(x):
 @query
 def scene_prediction(s, d):
     p = X.grid_pixels(s, d).withColumn("w", F.col("v") % 7)
-    return inference.predict_scene(p, ["v", "w"], _stub, X.grid_height(p), X.GRID_WIDTH, 16, 6, 2).select("i", "j", "pred", *r6("best"))
+    return inference.predict_scene(p, ["v", "w"], _stub, X.grid_height(p), X.GRID_WIDTH, 16, 6, 2, 3).select("i", "j", "pred", *r6("best"))
 
 
 @query

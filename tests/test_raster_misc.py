@@ -154,8 +154,9 @@ def test_scene_prediction_is_the_same_whole_or_tiled(spark):
     model = lambda a: np.stack([a[:, 0], a[:, 1] * 2, np.full(len(a), 3.0)], 1)
     whole = inference.predict_scene(df, ["b", "x"], model, 30, 41, 64)
     tiled = inference.predict_scene(df, ["b", "x"], model, 30, 41, 16, 6, 2)
+    known = inference.predict_scene(df, ["b", "x"], model, 30, 41, 16, 6, 2, 3)
     rows = lambda d: sorted((r["i"], r["j"], r["pred"], round(r["best"], 9)) for r in d.collect())
-    assert rows(whole) == rows(tiled) and len(rows(whole)) == 30 * 41
+    assert rows(whole) == rows(tiled) == rows(known) and len(rows(whole)) == 30 * 41
 
 
 def test_tile_models_see_whole_tiles(spark):

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import edge_correction
-from rasterweave.session import cut_lineage
+from rasterweave.session import broadcast_if_small, cut_lineage
 
 # The four neighbours that give every pair of an 8-neighbourhood once, and those of a 4-neighbourhood.
 FORWARD_8, FORWARD_4 = ((1, 0), (0, 1), (1, 1), (-1, 1)), ((1, 0), (0, 1))
@@ -146,17 +146,22 @@ def merge_small_clusters(edges: DataFrame, partition: DataFrame, centroids: Data
     return partition.join(moves, ["grid", "cluster_id"]).select("grid", F.col("merged").alias("cluster_id"), "i", "j")
 
 
-def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Communities by local moves and aggregation; nodes in order, the least community on a tie, so without chance."""
+def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0, rounds: int = 50, *, loops: np.ndarray | None = None, outside: np.ndarray | None = None, total: float | None = None) -> np.ndarray:
+    """Communities by local moves and aggregation; nodes in order, the least community on a tie, so without chance.
+
+    For a part of a graph or a contracted one: weights of the nodes' loops, of their edges to nodes outside, and of all
+    edges of the whole graph.
+    """
     community = np.arange(n)
     links = [defaultdict(float) for _ in range(n)]
-    loops = np.zeros(n)
+    loops = np.zeros(n) if loops is None else loops
+    outside = np.zeros(n) if outside is None else outside
     for a, b, w in edges:
         links[a][b] += w
         links[b][a] += w
-    total = sum(w for _, _, w in edges)
+    total = sum(w for _, _, w in edges) + loops.sum() if total is None else total
     while total > 0:
-        k = np.array([sum(x.values()) for x in links]) + 2 * loops
+        k = np.array([sum(x.values()) for x in links]) + 2 * loops + outside
         own = np.arange(len(links))
         inside = k.copy()
         moved_any = False
@@ -181,38 +186,76 @@ def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0
         names, own = np.unique(own, return_inverse=True)
         community = own[community]
         merged = [defaultdict(float) for _ in names]
-        new_loops = np.zeros(len(names))
+        new_loops, new_outside = np.zeros(len(names)), np.zeros(len(names))
         for v, x in enumerate(links):
             new_loops[own[v]] += loops[v]
+            new_outside[own[v]] += outside[v]
             for u, w in x.items():
                 if own[u] == own[v]:
                     new_loops[own[v]] += w / 2
                 else:
                     merged[own[v]][own[u]] += w
-        links, loops = merged, new_loops
+        links, loops, outside = merged, new_loops, new_outside
     return np.unique(community, return_inverse=True)[1]
 
 
 def louvain_partition(edges: DataFrame, pixels: DataFrame, resolution: float = 1000.0, tile: int = 128) -> DataFrame:
-    """grid (0), cluster_id, i, j: communities of the pixel graph, tile by tile.
+    """grid (0), cluster_id, i, j: communities of the whole pixel graph. Every pixel is in one, alone if it has no edge.
 
-    A tile has tile * tile pixels at most, so a group is bounded; edges between tiles are left out. Every pixel is in
-    one community, alone if it has no edge.
+    First tile by tile, so that a group has tile * tile pixels at most; degrees and the total weight are those of the
+    whole graph, edges between tiles count in the degrees. Then each community is contracted to a node and the moves go on
+    over all edges, those between tiles included. The contracted graph (the scene's community table, never its pixels)
+    goes to one task; a community is named by the least name of those that joined it.
     """
-    key = lambda a: F.floor(F.col(a) / tile).cast("int")
-    inside = edges.select(key("i").alias("ti"), key("j").alias("tj"), "i", "j", "i2", "j2", F.col("weight").cast("double").alias("weight")).filter((key("i2") == F.col("ti")) & (key("j2") == F.col("tj")))
-    alone = pixels.select(key("i").alias("ti"), key("j").alias("tj"), "i", "j", F.lit(None).cast("int").alias("i2"), F.lit(None).cast("int").alias("j2"), F.lit(None).cast("double").alias("weight"))
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,18)")).cast("double")  # noqa: E731  the same in any order
+    key = lambda a, n: F.floor(F.col(a) / tile).cast("int").alias(n)
+    none = lambda n, t="int": F.lit(None).cast(t).alias(n)
+    kept = cut_lineage(edges.select("i", "j", "i2", "j2", F.col("weight").cast("double").alias("weight")).filter("weight IS NOT NULL"))
+    total = kept.agg(exact("weight")).first()[0] or 0.0
+    tiled = kept.select(key("i", "ti"), key("j", "tj"), "*", key("i2", "si"), key("j2", "sj"))
+    inside = tiled.filter("ti = si AND tj = sj").drop("si", "sj")
+    across = tiled.filter("ti <> si OR tj <> sj")
+    one_end = across.select("ti", "tj", "i", "j", none("i2"), none("j2"), "weight")
+    other_end = across.select("si", "sj", "i2", "j2", none("i"), none("j"), "weight")
+    alone = pixels.select(key("i", "ti"), key("j", "tj"), "i", "j", none("i2"), none("j2"), none("weight", "double"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends = pdf[pdf["weight"].notna()]
+        ends, out = pdf[pdf["i2"].notna()], pdf[pdf["i2"].isna() & pdf["weight"].notna()]
         nodes = sorted(set(zip(pdf["i"], pdf["j"], strict=True)) | set(zip(ends["i2"].astype(int), ends["j2"].astype(int), strict=True)))
         at = {p: n for n, p in enumerate(nodes)}
         rows = sorted((at[int(r.i), int(r.j)], at[int(r.i2), int(r.j2)], float(r.weight)) for r in ends.itertuples())
-        found = louvain(len(nodes), rows, resolution)
+        outside = np.zeros(len(nodes))
+        for v, w in sorted((at[int(r.i), int(r.j)], float(r.weight)) for r in out.itertuples()):
+            outside[v] += w
+        found = louvain(len(nodes), rows, resolution, outside=outside, total=total)
         base = (int(pdf["ti"].iloc[0]) << 40) + (int(pdf["tj"].iloc[0]) << 20)
         return pd.DataFrame({"grid": 0, "cluster_id": base + found, "i": [p[0] for p in nodes], "j": [p[1] for p in nodes]})
 
-    return inside.unionByName(alone).groupBy("ti", "tj").applyInPandas(run, "grid int, cluster_id long, i int, j int")
+    part = inside.union(one_end).union(other_end).union(alone).groupBy("ti", "tj").applyInPandas(run, "grid int, cluster_id long, i int, j int")
+    if across.isEmpty():
+        return part
+    part = cut_lineage(part)
+    one = part.select("i", "j", F.col("cluster_id").alias("a"))
+    two = part.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("cluster_id").alias("b"))
+    pairs = kept.join(one, ["i", "j"]).join(two, ["i2", "j2"]).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(exact("weight").alias("weight"))
+
+    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {k: n for n, k in enumerate(names)}
+        rows = sorted((at[r.a], at[r.b], r.weight) for r in pdf.itertuples())
+        loops = np.zeros(len(names))
+        for a, b, w in rows:
+            if a == b:
+                loops[a] = w
+        found = louvain(len(names), [r for r in rows if r[0] != r[1]], resolution, loops=loops, total=total)
+        least: dict = {}
+        for k, c in zip(names, found, strict=True):
+            least.setdefault(c, k)
+        return pd.DataFrame({"cluster_id": names, "joined": [least[c] for c in found]})
+
+    moves = cut_lineage(pairs.groupBy().applyInPandas(join_up, "cluster_id long, joined long").filter("cluster_id <> joined"))
+    out = part.join(broadcast_if_small(moves, BROADCAST_LINKS), "cluster_id", "left")
+    return out.select("grid", F.coalesce("joined", "cluster_id").alias("cluster_id"), "i", "j")
 
 
 def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 60) -> DataFrame:

@@ -83,6 +83,27 @@ def test_louvain_finds_two_cliques_and_is_repeatable():
     assert G.louvain(3, []).tolist() == [0, 1, 2]
 
 
+def test_louvain_of_a_part_knows_the_whole():
+    # Nodes 2 and 3 of a path, the rest outside: degrees and total are those of the path.
+    assert G.louvain(2, [(0, 1, 1.0)], 2.0, outside=np.array([1.0, 1.0]), total=5.0).tolist() == [0, 0]
+    assert G.louvain(2, [(0, 1, 1.0)], 3.0, outside=np.array([1.0, 1.0]), total=5.0).tolist() == [0, 1]
+    assert G.louvain(2, [(0, 1, 1.0)], 1.0, loops=np.array([5.0, 5.0])).tolist() == [0, 1]
+
+
+def test_communities_cross_the_borders_of_tiles(spark):
+    """140 rows, so two tiles of 128; rows 110 to 139 hang together strongly and with the others hardly."""
+    block = lambda i: i >= 110
+    ends = [(i, j, i + a, j + b) for i in range(140) for j in range(4) for a, b in G.FORWARD_8 if i + a in range(140) and j + b in range(4)]
+    rows = [(*e, 1.0 if block(e[0]) == block(e[2]) else 0.001) for e in ends]
+    edges = spark.createDataFrame(rows, "i int, j int, i2 int, j2 int, weight double")
+    found = {(r["i"], r["j"]): r["cluster_id"] for r in G.louvain_partition(edges, grid(spark, 140, 4), resolution=0.1).collect()}
+    assert len(found) == 560
+    own = {found[i, j] for i in range(110, 140) for j in range(4)}
+    assert len(own) == 1 and not own & {found[i, j] for i in range(110) for j in range(4)}
+    again = G.louvain_partition(spark.createDataFrame(rows[::-1], edges.schema).repartition(3), grid(spark, 140, 4), resolution=0.1)
+    assert {(r["i"], r["j"]): r["cluster_id"] for r in again.collect()} == found
+
+
 def flood(cells):
     name = {}
     for start in sorted(cells):

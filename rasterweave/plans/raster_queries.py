@@ -335,8 +335,7 @@ def rasterize_overlay(s, d):
 
 @query
 def label_combine(s, d):
-    pixels = X.grid_pixels(s, d).filter("i < 100")
-    return labels.labelled(pixels, labels.burnt(X.rectangles(s, d), "geometry", "label", "poly_seq", (100, 100)), F.col("v") % 7 == 0).select("i", "j", "label")
+    return labels.labelled(X.grid_pixels(s, d), labels.burnt(X.rectangles(s, d), "geometry", "label", "poly_seq", (100, 100)), F.col("v") % 7 == 0).select("i", "j", "label")
 
 
 @query

@@ -254,8 +254,9 @@ def aoi_boxes(s, d):
 
 @query
 def aoi_footprints(s, d):
-    images = X.catalog(s, d).filter(C.in_days(F.col("ts"), "2025-06-01", "2025-07-01"))
-    return C.footprint_join(images, _areas(s, d, 2560), 50_000.0).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n_images"), F.max("image_id").alias("last_image"))
+    # Images of one footprint meet the same areas, so each footprint is joined once, with the number of its images.
+    footprints = X.catalog(s, d).groupBy("xmin", "ymin", "xmax", "ymax").agg(F.count(F.lit(1)).alias("n"), F.max("image_id").alias("image_id"))
+    return C.footprint_join(footprints, _areas(s, d, 2560), 50_000.0).groupBy("aoi_id").agg(F.sum("n").alias("n_images"), F.max("image_id").alias("last_image"))
 
 
 # --- tiling -----------------------------------------------------------------

@@ -10,6 +10,9 @@ from rasterweave.operators.skew import ROWS_PER_TASK, salted_join
 #: Rows of the target table up to which it is broadcast (about 100 bytes each).
 BROADCAST_TARGETS = 200_000
 
+#: Reservoirs of each draw and category that fill side by side before they are merged.
+BUCKETS = 32
+
 
 def category_key(c: Column) -> Column:
     """How categories are compared: as text, without regard to case and surrounding blanks; blank is null."""
@@ -32,10 +35,10 @@ class Draws:
     Extra columns are not read.
 
     Every draw and category has a reservoir: the `required` rows with the least priority, a hash of seed, draw and id.
-    Least-of-k reservoirs merge: Spark keeps at most the largest quota of each category in every map task
-    (WindowGroupLimit) and merges what is left after the shuffle, so a category with a third of all rows costs no more
-    than others. Each reservoir is then trimmed to the quota that the final count allows, min(stock, required):
-    the rows of least priority, that is uniformly. The minimum of a category comes on top of the shares of the others.
+    Least-of-k reservoirs merge: the rows of a draw and category are dealt over BUCKETS by a hash of the id, each bucket
+    keeps the category's own quota, and the survivors are ranked again. So a category with a third of all rows is not
+    sorted in one task, whatever the quotas are and whether Spark limits the ranks itself or not. What is drawn is
+    min(stock, required): the rows of least priority, that is uniformly. The minimum of a category comes on top of the shares of the others.
     Priorities are a function of the ids alone, so a task run again draws the same rows; equal priorities are ordered by id.
     """
 
@@ -44,22 +47,22 @@ class Draws:
         self.targets = self.targets.withColumn("required", required_rows(self.targets)).withColumn("_key", category_key(F.col("category")))
         goals = self.targets.select("draw_id", "stratum", "field_name", "_key", "required").filter(F.col("stratum").isNotNull() & F.col("field_name").isNotNull() & F.col("_key").isNotNull())
         goals = goals.groupBy("draw_id", "stratum", "field_name", "_key").agg(F.max("required").alias("required"))
-        size = goals.agg(F.count(F.lit(1)), F.max("required")).first()  # two numbers about the caller's targets
+        size = goals.count()
         keys = ["stratum", "field_name", "_key"]
         rows = records.select("id", "stratum", "field_name", category_key(F.col("category")).alias("_key")).filter(F.col("_key").isNotNull())
-        if size[0] <= BROADCAST_TARGETS:
+        if size <= BROADCAST_TARGETS:
             self.matched = rows.join(F.broadcast(goals), keys)
         else:
             self.matched = salted_join(rows, goals, keys, F.col("id"), None, rows_per_task)
         self.matched = self.matched.select("draw_id", "_key", "required", "id")
-        self.largest = int(size[1] or 0)
         self.seed = seed
 
     def _rows(self) -> DataFrame:
-        priority = F.xxhash64(F.lit(self.seed), "draw_id", "id")
-        order = Window.partitionBy("draw_id", "_key").orderBy("_priority", "id")
-        kept = self.matched.withColumn("_priority", priority).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= max(self.largest, 1))
-        return kept.filter(F.col("_rank") <= F.col("required"))
+        rows = self.matched.withColumn("_priority", F.xxhash64(F.lit(self.seed), "draw_id", "id")).withColumn("_bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS)))
+        for keys in (["draw_id", "_key", "_bucket"], ["draw_id", "_key"]):
+            order = Window.partitionBy(*keys).orderBy("_priority", "id")
+            rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= F.col("required"))
+        return rows
 
     def sample(self) -> DataFrame:
         """draw_id, category (as compared) and id of every drawn row."""

@@ -1,3 +1,4 @@
+import re
 from collections import Counter
 
 import pytest
@@ -42,6 +43,18 @@ def test_the_draw_is_uniform(spark):
     assert sum(n.values()) == 10_000 and sum((v - 500) ** 2 / 375 for v in n.values()) < 45
 
 
+def test_quotas_above_the_limit_of_spark_are_filled_in_buckets(spark):
+    """WindowGroupLimit ends at 1,000 rows; the reservoirs don't depend on it."""
+    quotas = {"a": 1500, "b": 3, "c": 0}
+    records = spark.range(8000).selectExpr("id", "'t' AS stratum", "'f' AS field_name", "element_at(array('a', 'b', 'c', 'a'), cast(id % 4 + 1 AS int)) AS category", "'z' AS draw_id")
+    d = Draws(records, spark.createDataFrame([(1, "t", "f", k, 0.0, n, 0, "x") for k, n in quotas.items()], TARGETS))
+    ranked = records.selectExpr("id", "category", "xxhash64(42, 1L, id) AS p").collect()
+    want = {(1, k.upper(), r["id"]) for k, n in quotas.items() for r in sorted((r for r in ranked if r["category"] == k), key=lambda r: (r["p"], r["id"]))[:n]}
+    assert len(want) == 1503 and {tuple(r) for r in d.sample().collect()} == want
+    plan = d.sample()._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"Exchange hashpartitioning\(draw_id#\w+, _key#\w+(, _bucket)?", plan) == ["", ", _bucket"]
+
+
 def test_empty_tables(spark):
     records, targets = draws(spark)
     assert Draws(records, targets.limit(0)).report().collect() == [] and Draws(records, targets.limit(0)).sample().collect() == []

@@ -34,3 +34,13 @@ def test_aoi_footprints_counts_the_images_of_all_times(spark, tmp_path):
             want[k] = (len(met), max(met))
     assert want.keys() == {1, 2} and want[2][0] == 8
     assert {r["aoi_id"]: (r["n_images"], r["last_image"]) for r in entry.queries()["aoi_footprints"](spark, str(tmp_path)).collect()} == want
+
+
+def test_claims_come_from_all_rows_of_a_cube(spark, tmp_path):
+    # One row per cube; the label is l_partkey % 7. Cubes 1 and 2 hold nothing but 3 and 6.
+    labels = {0: 3, 1: 3, 2: 6, 3: 2, 5: 5}
+    rows = [(8 * k, 1, v, 1) for k, v in labels.items()] + [(8 * 5, 2, 3, 1)]
+    write(spark, tmp_path, "lineitem", rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    split = {r["cube_id"]: r["stratum"] for r in entry.queries()["stratified_split"](spark, str(tmp_path)).collect()}
+    assert split == {0: 3, 1: 3, 2: 0, 3: 2, 5: 3}
+    assert {r["cube_id"] for r in entry.queries()["remaining_cubes"](spark, str(tmp_path)).collect()} == {2}

@@ -631,5 +631,5 @@ def prediction_selection(s, d):
 
 @query
 def fordead_selection(s, d):
-    request = FordeadRequest(d, 2560, "2024-08-01", 20)
+    request = FordeadRequest(d, 2560, "2024-08-01")
     return pipelines.select_for_fordead(X.catalog(s, d), _aoi(s, d), request).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), F.max("nr").alias("nr"))

@@ -44,3 +44,13 @@ def test_claims_come_from_all_rows_of_a_cube(spark, tmp_path):
     split = {r["cube_id"]: r["stratum"] for r in entry.queries()["stratified_split"](spark, str(tmp_path)).collect()}
     assert split == {0: 3, 1: 3, 2: 0, 3: 2, 5: 3}
     assert {r["cube_id"] for r in entry.queries()["remaining_cubes"](spark, str(tmp_path)).collect()} == {2}
+
+
+def test_fordead_selection_spans_730_days(spark, tmp_path):
+    times = ["2024-07-31", "2024-08-01", "2024-08-21", "2025-12-01", "2026-07-31", "2026-08-01", None]
+    images = [(n, t, "32TMT", 5.0, 0.0, 0.0, 100_000.0, 100_000.0) for n, t in enumerate(times)]
+    rows = spark.createDataFrame(images, "image_id long, ts string, tile_id string, cloud_pct double, xmin double, ymin double, xmax double, ymax double")
+    rows.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/image_catalog.parquet")
+    area = [{"x": 10.0, "y": 10.0}, {"x": 500.0, "y": 10.0}, {"x": 10.0, "y": 500.0}]
+    write(spark, tmp_path, "aoi", [(1, "a", area)], "aoi_id long, name string, geometry array<struct<x: double, y: double>>")
+    assert [tuple(r) for r in entry.queries()["fordead_selection"](spark, str(tmp_path)).select("aoi_id", "n", "nr").collect()] == [(1, 4, 4)]

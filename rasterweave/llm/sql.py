@@ -27,6 +27,9 @@ _LOOK = f"nfc_normalize(replace(replace(translate(nfc_normalize(translate(regexp
 ORACLE = {
     "p2_found": f"{_STOCK} SELECT draw_id, category FROM t WHERE stock < required",
     "p2_report": f"{_STOCK}, d AS (SELECT *, least(stock, required) AS drawn FROM t) SELECT draw_id, category, required, stock, drawn, round(drawn / nullif(sum(drawn) OVER (PARTITION BY draw_id), 0), 6) AS share, drawn < required AS short FROM d",
+    "p2_sample": f"""{_STOCK}, g AS (SELECT draw_id, tile_id, field_name, upper(trim(category)) AS c, max(required) AS required FROM t WHERE upper(trim(category)) <> '' GROUP BY ALL),
+r AS (SELECT g.draw_id, g.c, g.required, h.poly_seq, CAST('0x' || substr(md5('42:' || g.draw_id || ':' || h.poly_seq), 1, 15) AS BIGINT) AS priority FROM g JOIN held h ON h.tile_id = g.tile_id AND h.field_name = g.field_name AND h.c = g.c)
+SELECT draw_id, c AS category, poly_seq FROM r QUALIFY row_number() OVER (PARTITION BY draw_id, c ORDER BY priority, poly_seq) <= required""",
     "p3_found": f"{_TERMS} SELECT field_name, code, mark FROM m WHERE mark IS NOT NULL",
     "p3_terms": f"{_TERMS} SELECT field_name, code, n_occurrences, n_records, mark FROM m",
     "p5_found": f"""

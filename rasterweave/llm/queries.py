@@ -89,7 +89,7 @@ def p6_decoded(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     capacities = {r["pack_name"]: r["capacity"] for r in _read(spark, d, "pack_sizes").collect()}  # one row per capacity
-    sized = _read(spark, d, "documents").filter(F.col("text") != "").select("doc_id", tokens.token_count(F.col("text")).alias("size"))
+    sized = tokens.token_sizes(_read(spark, d, "documents").filter(F.col("text") != ""), "doc_id", "text")
     return packing.pack_items(sized, "doc_id", "size", capacities)
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import unicodedata
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import product
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import StringType
 
 from rasterweave.functions.tiles import one_row_per_id
 from rasterweave.operators.skew import ROWS_PER_TASK, salted_join
@@ -83,33 +85,38 @@ _INVISIBLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}\u0000-\u000
 _VISIBLE_TEXT = regex.compile(r"[\p{L}\p{N}]")
 
 
-def mapping() -> dict[str, str]:
-    """Single characters to their form: widths, spaces and canonical singletons by rule, look-alikes by the table.
+class Rules(dict):
+    """Keys of one or more characters to their form. Every rule comes in through put, which refuses a contradiction."""
+
+    def put(self, key: str, form: str) -> None:
+        if self.setdefault(key, form) != form:
+            raise ValueError(f"{key!a} is mapped to {self[key]!a} and to {form!a}")
+
+
+#: Code points with rules; beyond lie unified ideographs, tags and private use.
+LAST_CODE = 0x20000
 
-    Raises ValueError if two rules disagree or if a result is itself mapped to something else.
-    """
-    out: dict[str, str] = {}
 
-    def put(a: str, b: str) -> None:
-        if out.setdefault(a, b) != b:
-            raise ValueError(f"U+{ord(a):04X} is mapped to {out[a]!r} and to {b!r}")
+def mapping() -> Rules:
+    """Single characters to their form: widths and spaces by rule, look-alikes and drawn blanks by the tables.
 
-    for code in range(0x80, 0x20000):
+    Raises ValueError if two rules disagree or if a result is itself mapped to something else.
+    """
+    out = Rules()
+    for code in range(0x80, LAST_CODE):
         ch = chr(code)
         kind, _, rest = unicodedata.decomposition(ch).partition(" ")
-        if kind in ("<wide>", "<narrow>"):
-            put(ch, "".join(chr(int(x, 16)) for x in rest.split()))
-        elif unicodedata.category(ch) == "Zs":
-            put(ch, " ")
+        if ch in DRAWN_BLANK or unicodedata.category(ch) == "Zs":
+            out.put(ch, " ")
+        elif kind in ("<wide>", "<narrow>"):
+            out.put(ch, "".join(chr(int(x, 16)) for x in rest.split()))
         elif ch == "µ":  # the micro sign, a compatibility form of mu without a shape of its own
-            put(ch, "μ")
-    for ch in DRAWN_BLANK:
-        out[ch] = " "
+            out.put(ch, "μ")
     for line in LOOK_ALIKES.strip().splitlines():
         first, *rest = line.split()
         for ch in rest:
-            put(ch, first)
-    out = {a: "".join(out.get(c, c) for c in b) for a, b in out.items()}
+            out.put(ch, first)
+    out = Rules({a: "".join(out.get(c, c) for c in b) for a, b in out.items()})
     for a, b in out.items():
         for c in b:
             if out.get(c, c) != c:
@@ -117,41 +124,92 @@ def mapping() -> dict[str, str]:
     return out
 
 
+def compiled() -> Rules:
+    """mapping() and the clusters: every canonical composite, whole, apart, and with its parts in any of their shapes.
+
+    So a letter with its marks is one key, whichever alphabet or width the letter and the marks were taken from, and a
+    Hangul syllable is one key however it is divided. All go through the conflict check.
+    """
+    single = mapping()
+    shapes: dict[str, list[str]] = {}
+    for a, b in single.items():
+        shapes.setdefault(b, []).append(a)
+    out = Rules(single)
+    for code in range(0x80, LAST_CODE):
+        ch = chr(code)
+        if not unicodedata.decomposition(ch) or unicodedata.decomposition(ch).startswith("<"):
+            continue
+        parts = [single.get(c, c) for c in unicodedata.normalize("NFD", ch)]
+        form = unicodedata.normalize("NFC", "".join(parts))
+        out.put(ch, form)
+        if len(parts) > 1:
+            for key in product(*[[p, *shapes.get(p, ())] for p in parts]):
+                out.put("".join(key), form)
+    for code in range(0xAC00, 0xD7A4):  # Hangul syllables: lead, vowel and perhaps a tail
+        ch = chr(code)
+        apart = unicodedata.normalize("NFD", ch)
+        out.put(apart, ch)
+        if len(apart) == 3:
+            out.put(unicodedata.normalize("NFC", apart[:2]) + apart[2], ch)
+    return out
+
+
 class Transducer(dict):
-    """Clusters to their form, filled as they are met: a compiled machine's states, kept below a bound."""
+    """Clusters to their form. It begins with the compiled keys; clusters that are no key are matched once and remembered.
+
+    Such a cluster is put in canonical order without its invisible characters and is then replaced by the longest keys
+    from left to right; what remains of it are marks without a rule, which are put in order. The memory is bounded.
+    """
 
     #: A cluster is a Hangul block, or a character with all marks and invisible characters that follow it.
-    BOUND, LONGEST = 65_536, 24
+    BOUND, LONGEST = 131_072, 24
 
     def __init__(self) -> None:
         super().__init__()
-        self.map = mapping()
-        tail = rf"(?:\p{{M}}|{_INVISIBLE.pattern})"
+        self.keys = compiled()
+        self.update(self.keys)
+        self.widest = max(map(len, self.keys))
+        tail = rf"(?:\p{{M}}|[\uff9e\uff9f]|{_INVISIBLE.pattern})"
         hide = f"(?:{_INVISIBLE.pattern})*+"
         jamo = rf"[ᄀ-ᅞ가-힣](?:{hide}[ᄀ-ᅞᅡ-ᇿ])*+{tail}*+"
-        # ASCII without a tail is its own form and is stepped over.
-        self.clusters = regex.compile(rf"{jamo}|[\x00-\x7f]{tail}++|[^\x00-\x7f]{tail}*+", regex.V1)
+        # Visible ASCII without a tail is its own form and is stepped over.
+        self.clusters = regex.compile(rf"{jamo}|{_INVISIBLE.pattern}{tail}*+|[\x00-\x7f]{tail}++|[^\x00-\x7f]{tail}*+", regex.V1)
+
+    def longest_keys(self, text: str) -> str:
+        """text with the longest key at each place replaced by its form."""
+        out, at = [], 0
+        while at < len(text):
+            for end in range(min(len(text), at + self.widest), at, -1):
+                if text[at:end] in self.keys:
+                    out.append(self.keys[text[at:end]])
+                    break
+            else:
+                end = at + 1
+                out.append(text[at])
+            at = end
+        return "".join(out)
 
     def form(self, cluster: str) -> str:
         bare = _INVISIBLE.sub("", cluster)
-        apart = unicodedata.normalize("NFD", bare)
-        mapped = "".join(self.map.get(c, c) for c in apart)
-        # A mapped width can bring a mark (narrow voiced kana); once more puts marks in order and composes.
-        again = "".join(self.map.get(c, c) for c in unicodedata.normalize("NFD", mapped))
-        return unicodedata.normalize("NFC", again)
+        if bare in self.keys:
+            return self.keys[bare]
+        # A width can bring a mark (narrow voiced kana), so the order is set before and after.
+        apart = unicodedata.normalize("NFD", self.longest_keys(unicodedata.normalize("NFD", bare)))
+        return unicodedata.normalize("NFC", self.longest_keys(apart))
 
     def __missing__(self, cluster: str) -> str:
         out = self.form(cluster)
         if len(cluster) <= self.LONGEST:
             if len(self) >= self.BOUND:
                 self.clear()
+                self.update(self.keys)
             self[cluster] = out
         return out
 
     def canonical(self, text: str) -> str:
-        if text.isascii() and text.isprintable():
-            return text
-        return unicodedata.normalize("NFC", self.clusters.sub(lambda m: self[m.group()], text)) if not text.isascii() else _INVISIBLE.sub("", text)
+        if text.isascii():
+            return text if text.isprintable() else _INVISIBLE.sub("", text)
+        return self.clusters.sub(lambda m: self[m.group()], text)
 
 
 def canonical_text(text: str) -> str:
@@ -175,12 +233,22 @@ def _canonical(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if t is None else machine.canonical(t) for t in texts], dtype=object)
 
 
-@F.pandas_udf(BinaryType())
-def _look(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode(), digest_size=16).digest()
+
+
+def _look_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, digest of the text, digest of its look; texts without a letter or digit are left out."""
     machine = _machine()
-    for texts in batches:
-        forms: Iterable[str | None] = (None if t is None else machine.canonical(t) for t in texts)
-        yield pd.Series([None if f is None or not _VISIBLE_TEXT.search(f) else hashlib.blake2b(f.encode(), digest_size=16).digest() for f in forms], dtype=object)
+    for batch in batches:
+        kept, raw, look = [], [], []
+        for k, text in enumerate(batch.column("_text").to_pylist()):
+            form = machine.canonical(text)
+            if _VISIBLE_TEXT.search(form):
+                kept.append(k)
+                raw.append(_digest(text))
+                look.append(raw[-1] if form == text else _digest(form))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(kept, pa.int32())), pa.array(raw, pa.binary()), pa.array(look, pa.binary())], names=["_id", "_raw", "_look"])
 
 
 def canonical(text: Column) -> Column:
@@ -194,19 +262,44 @@ def canonical(text: Column) -> Column:
     return _canonical(text)
 
 
+def look_digests(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """_id, _raw, _look of every text with a letter or digit, once per id: 128-bit digests, written to the checkpoint folder.
+
+    Each text is read and brought to its form once, in one Arrow pass; nothing that follows touches texts.
+    """
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
+    kind = docs.schema[id_col].dataType.simpleString()
+    return cut_lineage(rows.mapInArrow(_look_batches, f"_id {kind}, _raw binary, _look binary"))
+
+
+def _varied(looks: DataFrame) -> DataFrame:
+    """Rows whose look has more than one text. Looks with a single one (all plain copies) go by an aggregation that combines first."""
+    varied = looks.groupBy("_look").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).filter("_lo <> _hi").select("_look")
+    return one_row_per_id(looks.join(varied, "_look", "left_semi"), "_id", "_look", "_raw")
+
+
 def same_look(docs: DataFrame, id_col: str, text: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of ids with <id>_a < <id>_b whose texts look the same but are not the same string.
 
     Texts without a letter or digit, null and empty texts and null ids are in no pair; rows that repeat an id count
-    once. Texts are read and brought to their form once; from there on they are digests
-    of 128 bits, written to the checkpoint folder. Looks with a single string (all plain copies) are dropped by an
-    aggregation that combines before the shuffle; a look with very many documents is dealt over several tasks.
+    once (the least if they disagree). A look with very many documents is dealt over several tasks. The rows are as many
+    as the pairs; look_classes says the same in one row per document.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).filter(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    looks = cut_lineage(rows.select("_id", F.xxhash64("_text").alias("_raw"), F.unhex(F.md5("_text")).alias("_md5"), _look("_text").alias("_look")).filter(F.col("_look").isNotNull()))
-    varied = looks.groupBy("_look").agg(F.min("_raw").alias("_lo"), F.max("_raw").alias("_hi")).filter("_lo <> _hi").select("_look")
-    found = one_row_per_id(looks.join(varied, "_look", "left_semi"), "_id", "_look", "_md5")
-    a = found.select("_look", F.col("_id").alias("_a"), F.col("_md5").alias("_ma"))
-    b = found.select("_look", F.col("_id").alias("_b"), F.col("_md5").alias("_mb"))
+    found = _varied(look_digests(docs, id_col, text))
+    a = found.select("_look", F.col("_id").alias("_a"), F.col("_raw").alias("_ma"))
+    b = found.select("_look", F.col("_id").alias("_b"), F.col("_raw").alias("_mb"))
     pairs = salted_join(a, b, ["_look"], F.col("_a"), (F.col("_a") < F.col("_b")) & (F.col("_ma") != F.col("_mb")), rows_per_task)
     return pairs.select(F.col("_a").alias(f"{id_col}_a"), F.col("_b").alias(f"{id_col}_b"))
+
+
+def look_classes(docs: DataFrame, id_col: str, text: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """id, look_class (the least id of its look), n_members and n_links (members with another text) of each document with a link.
+
+    The class form of same_look: one row per document, however many pairs a look has. A document without a link has no row.
+    """
+    found = _varied(look_digests(docs, id_col, text))
+    texts = found.groupBy("_look", "_raw").agg(F.count(F.lit(1)).alias("_same"), F.min("_id").alias("_least"))
+    looks = texts.groupBy("_look").agg(F.sum("_same").alias("n_members"), F.min("_least").alias("look_class"), F.count(F.lit(1)).alias("_texts")).filter("_texts > 1")
+    known = texts.select("_look", "_raw", "_same").join(looks, "_look").select("_look", "_raw", "look_class", "n_members", (F.col("n_members") - F.col("_same")).alias("n_links"))
+    out = salted_join(found, known, ["_look", "_raw"], F.col("_id"), None, rows_per_task)
+    return out.select(F.col("_id").alias(id_col), "look_class", "n_members", "n_links")

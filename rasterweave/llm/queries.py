@@ -97,8 +97,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return looks.same_look(_read(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    return looks.look_classes(_read(spark, d, "documents"), "doc_id", "text")
+
+
 def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", looks.canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_terms, p5_found, p5_split, p6_ids, p6_decoded, p7_packs, p8_found, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_terms, p5_found, p5_split, p6_ids, p6_decoded, p7_packs, p8_found, p8_classes, p8_canonical)}

@@ -39,5 +39,8 @@ k AS (SELECT cube_id, coalesce(c.tile_id, i.tile_id) AS tile_id, capture_year, C
 SELECT tile_id, capture_year FROM k WHERE tile_id IS NOT NULL AND capture_year IS NOT NULL GROUP BY ALL HAVING count(DISTINCT s) > 1""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": f"WITH l AS (SELECT doc_id, text, {_LOOK} AS look FROM documents WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p8_classes": f"""WITH l AS (SELECT doc_id, text, {_LOOK} AS look FROM documents WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+m AS (SELECT doc_id, count(*) OVER (PARTITION BY look) AS n, count(*) OVER (PARTITION BY look, text) AS same, min(doc_id) OVER (PARTITION BY look) AS look_class FROM l)
+SELECT doc_id, look_class, n AS n_members, n - same AS n_links FROM m WHERE n > same""",
     "p8_canonical": f"SELECT doc_id, {_LOOK} AS text FROM documents",
 }

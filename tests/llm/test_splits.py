@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from rasterweave.llm import splits
 from rasterweave.llm.splits import components, related_records, split_components, split_related
 
 
@@ -113,3 +114,46 @@ def test_older_columns_of_the_same_names_are_replaced_and_repeats_stay(spark):
     df = spark.createDataFrame([(1, 7, "x", "y", "z"), (1, 7, "x", "y", "z"), (2, None, None, None, None)], "id long, g int, component string, assigned_split string, w string")
     out = split_related(df, "id", [["g"]], {"a": 1.0}).collect()
     assert sorted((r["id"], r["assigned_split"]) for r in out) == [(1, "a"), (1, "a"), (2, "a")] and len({r["component"] for r in out}) == 2
+
+
+def test_long_chains_and_stars_together_through_all_blocks_of_rounds(spark, monkeypatch):
+    """A chain of 3,000, a star of 2,000 and a comb, none of it broadcast; more rounds than one block unwinds."""
+    monkeypatch.setattr(splits, "BROADCAST_EDGES", 50)
+    monkeypatch.setattr(splits, "ROUNDS_UNWOUND", 2)
+    chain = [(i, i + 1) for i in range(3000)]
+    star = [(10_000, 10_000 + i) for i in range(1, 2000)]
+    comb = [(20_000 + i, 20_001 + i) for i in range(300)] + [(20_000 + i, 30_000 + i) for i in range(300)]
+    edges = chain + star + comb
+    random.Random(1).shuffle(edges)
+    seen = []
+    unwound = splits._unwound
+    monkeypatch.setattr(splits, "_unwound", lambda c: seen.append(len(c)) or unwound(c))
+    got = {r["vertex"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert groups(got) == groups(find(edges)) and 3 <= seen[0] < 40
+
+
+def test_names_that_clash_under_every_seed_raise(spark, monkeypatch):
+    monkeypatch.setattr(splits, "key_hash", lambda kind, *columns, seed=0: F.when(columns[0].isNotNull(), F.lit(1).cast("long")))
+    with pytest.raises(RuntimeError):
+        related_records(spark.createDataFrame([(1, 1), (2, 2)], "id long, g int"), "id", [["g"]])
+
+
+def test_rows_that_only_tie_do_not_count(spark):
+    rows = [(k, k, None) for k in range(40)] + [(None, k, k // 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, g int, h int")
+    out = split_related(df, "id", [["g"], ["h"]], {"a": 0.5, "b": 0.5}, heavy_share=0.1, weighed=F.col("id").isNotNull()).collect()
+    assert len(out) == 40 and all(len({r["assigned_split"] for r in out if r["id"] // 2 == k}) == 1 for k in range(20))
+
+
+def test_report_counts_divided_groups(spark):
+    df = spark.createDataFrame([(1, "x", "a"), (2, "x", "b"), (3, "y", "a"), (4, None, "a"), (5, None, "b")], "id long, g string, assigned_split string")
+    got = {r["assigned_split"]: (r["n_records"], r["share"], r["target"], r["divided"]) for r in splits.split_report(df, {"a": 3, "b": 1, "c": 0}, [["g"]]).collect()}
+    assert got == {"a": (3, 0.6, 0.75, 1), "b": (2, 0.4, 0.25, 1), "c": (0, 0.0, 0.0, 1)}
+    assert {r["share"] for r in splits.split_report(df.limit(0), {"a": 1}, [["g"]]).collect()} == {None}
+
+
+def test_buckets_grow_with_the_components(spark, monkeypatch):
+    monkeypatch.setattr(splits, "COMPONENTS_A_BUCKET", 10)
+    df = spark.range(3000).selectExpr("id AS component")
+    n = Counter(r["split"] for r in split_components(df, "component", {"a": 0.7, "b": 0.3}).collect())
+    assert n == {"a": 2100, "b": 900}

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterweave.operators.skew import salted_join
+
 
 def boxes_meet(a: Sequence[Column], b: Sequence[Column]) -> Column:
     """True if two boxes (xmin, ymin, xmax, ymax) have a point in common."""
@@ -18,18 +20,19 @@ def in_days(ts: Column, start: str, end: str) -> Column:
     return (ts >= F.lit(start).cast("timestamp_ntz")) & (ts < F.lit(end).cast("timestamp_ntz"))
 
 
-def footprint_join(images: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+def footprint_join(images: DataFrame, areas: DataFrame, cell: float, spread: Sequence[str] = (), a_spread: Sequence[str] = ()) -> DataFrame:
     """Images and areas whose boxes meet; both have xmin, ymin, xmax, ymax, the areas' with prefix a_.
 
     Boxes are hashed to the grid cells they touch and joined by cell. A pair is kept in the cell of its overlap's
-    lower left corner only, so it comes out once, without a distinct.
+    lower left corner only, so it comes out once, without a distinct. A cell with very many images or areas is dealt over
+    several tasks by their boxes and the columns spread and a_spread (ids, where many boxes are equal).
     """
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long"))
     ordered = images.filter("xmin <= xmax AND ymin <= ymax").withColumn("_cx", F.explode(span("xmin", "xmax"))).withColumn("_cy", F.explode(span("ymin", "ymax")))
     asked = areas.filter("a_xmin <= a_xmax AND a_ymin <= a_ymax").withColumn("_cx", F.explode(span("a_xmin", "a_xmax"))).withColumn("_cy", F.explode(span("a_ymin", "a_ymax")))
     corner = (F.floor(F.greatest("xmin", "a_xmin") / cell) == F.col("_cx")) & (F.floor(F.greatest("ymin", "a_ymin") / cell) == F.col("_cy"))
     meet = boxes_meet([F.col(c) for c in ("xmin", "ymin", "xmax", "ymax")], [F.col(c) for c in ("a_xmin", "a_ymin", "a_xmax", "a_ymax")])
-    return ordered.join(asked, ["_cx", "_cy"]).filter(corner & meet).drop("_cx", "_cy")
+    return salted_join(ordered, asked, ["_cx", "_cy"], F.xxhash64("xmin", "ymin", "xmax", "ymax", *spread), corner & meet, few_spread=F.xxhash64("a_xmin", "a_ymin", "a_xmax", "a_ymax", *a_spread)).drop("_cx", "_cy")
 
 
 def latest(images: DataFrame, per: Sequence[str], n: int, ts: str = "ts", tie: str = "image_id") -> DataFrame:
@@ -76,10 +79,15 @@ def bright_images(pixels: DataFrame, image: str, band: str, max_black: float) ->
 
 
 def days_from(images: DataFrame, start: str, days: int) -> DataFrame:
-    """Images of [start, start + days), oldest first in each tile by `nr`."""
+    """Images of [start, start + days), oldest first in each tile by `nr`; images without a tile are left out."""
     end = F.lit(start).cast("date") + F.expr(f"INTERVAL {days} DAYS")
     kept = images.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < end.cast("timestamp_ntz")))
-    return kept.withColumn("nr", F.row_number().over(Window.partitionBy("tile_id").orderBy("ts", "image_id")))
+    # A tile may hold a tenth of the catalog, so it is ranked month by month: within the month, plus the months before.
+    month = kept.withColumn("_m", F.date_trunc("month", "ts"))
+    sizes = month.groupBy("tile_id", "_m").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy("tile_id").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = month.withColumn("_k", F.row_number().over(Window.partitionBy("tile_id", "_m").orderBy("ts", "image_id")))
+    return ranked.join(sizes.select("tile_id", "_m", before.alias("_before")), ["tile_id", "_m"]).select(*images.columns, (F.col("_before") + F.col("_k")).cast("int").alias("nr"))
 
 
 def unpivot_bands(pixels: DataFrame, keys: Sequence[str], bands: Sequence[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +54,15 @@ def touched_cells(polygons: DataFrame, ring: str, bounds: tuple[int, int] | None
     return p.withColumn("j", F.explode(cells)).drop("_e", "_y0", "_y1")
 
 
-def burnt(polygons: DataFrame, ring: str, label: str, order: str, bounds: tuple[int, int] | None = None) -> DataFrame:
-    """i, j, label of every touched cell: that of the polygon with the greatest `order`, as if burnt one after another."""
-    cells = touched_cells(polygons.select(ring, label, order), ring, bounds=bounds)
-    return cells.groupBy("i", "j").agg(F.max_by(label, order).alias("label"))
+def burnt(polygons: DataFrame, ring: str, label: str, order: str, bounds: tuple[int, int] | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, label of every touched cell: that of the polygon with the greatest `order`, as if burnt one after another."""
+    cells = touched_cells(polygons.select(*keys, ring, label, order), ring, bounds=bounds)
+    return cells.groupBy(*keys, "i", "j").agg(F.max_by(label, order).alias("label"))
 
 
-def labelled(pixels: DataFrame, raster: DataFrame, is_black: Column) -> DataFrame:
+def labelled(pixels: DataFrame, raster: DataFrame, is_black: Column, keys: Sequence[str] = ()) -> DataFrame:
     """pixels with label: 0 for black pixels, the raster's label where it is set and not 0, else 1 (healthy)."""
-    out = pixels.join(raster, ["i", "j"], "left")
+    out = pixels.join(raster, [*keys, "i", "j"], "left")
     return out.withColumn("label", F.when(is_black, F.lit(0)).when(F.coalesce(F.col("label"), F.lit(0)) != 0, F.col("label")).otherwise(F.lit(1)))
 
 

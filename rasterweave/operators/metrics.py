@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import BACKGROUND, binary_label, black
+from rasterweave.session import cut_lineage
+
+#: Groups whose few numbers (range, ranks) are broadcast at most.
+BROADCAST_GROUPS = 200_000
 
 # The smoothing terms of the class metrics and of the Dice loss, and the class weights of the cross entropy.
 EPS, SMOOTH, CLASS_WEIGHTS = 1e-6, 0.1, (1.0, 10.0, 5.0, 3.0, 2.0)
@@ -91,19 +95,14 @@ def graded_accuracy(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("r", "c").agg(((4 - F.try_divide(worst, F.sum((F.col("label") != BACKGROUND).cast("int")))) / 4).alias("accuracy"))
 
 
-def ring_limits(n: int, zones: int) -> list[int]:
-    """For each frame of an n x n cube, from the rim inwards, its zone.
+def ring_zone(frame: Column, n: int, zones: int) -> Column:
+    """The zone of a frame of an n x n cube, frames counted from the rim inwards.
 
-    Perimeters are summed inwards; a frame that brings the sum to a zone's share of the area begins the next zone and
-    the rest is carried over. Frames after the last zone's end belong to it. On small cubes the first zones may be empty.
+    The frames up to and with the k-th hold 4 (k + 1)(n - 1 - k) cells, and a zone has n * n // zones of them, so the zone is
+    how often that goes into the cells so far. It never passes frame + 1, as a frame begins one zone at most, nor the last.
     """
-    share, area, zone, out = n * n // zones, 0, 0, []
-    for k in range((n + 1) // 2):
-        area += 4 * (n - 2 * k - 1)
-        if area >= share:
-            zone, area = zone + 1, area - share
-        out.append(min(zone, zones - 1))
-    return out
+    upto = (frame + 1) * (F.lit(n - 1) - frame) * 4
+    return F.least(F.floor(upto / F.lit(n * n // zones)), frame + 1, F.lit(zones - 1)).cast("int")
 
 
 #: Two-sided quantiles of the normal distribution by confidence.
@@ -113,7 +112,7 @@ NORMAL_QUANTILE = {0.90: 1.6448536269514722, 0.95: 1.959963984540054, 0.99: 2.57
 def ring_accuracy(pixels: DataFrame, n: int, zones: int = 15) -> DataFrame:
     """zone, n, accuracy, std over the pixels of each concentric zone that aren't background, the rim first."""
     frame = F.least(F.col("r"), F.col("c"), F.lit(n - 1) - F.col("r"), F.lit(n - 1) - F.col("c"))
-    zone = F.element_at(F.lit(ring_limits(n, zones)), frame.cast("int") + 1)
+    zone = ring_zone(frame.cast("int"), n, zones)
     right = (F.col("label") == F.col("pred")).cast("double")
     return pixels.filter(F.col("label") != BACKGROUND).groupBy(zone.alias("zone")).agg(F.count(F.lit(1)).alias("n"), F.avg(right).alias("accuracy"), F.stddev_pop(right).alias("std"))
 
@@ -133,37 +132,82 @@ def vote(votes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(F.max(good).alias("_m")).select(*keys, F.col("_m")[value].alias(value))
 
 
+#: Slices between the least and the greatest value of a group, in which quantiles are looked for.
+SLICES = 4096
+
+
+def quantiles(values: DataFrame, per: Sequence[str], value: str, shares: Sequence[float]) -> DataFrame:
+    """per, q: the exact interpolated quantiles of each group, as an array; nulls left out, groups without values have no row.
+
+    A first pass counts the values by slice of the group's range, combined before the shuffle; it shows in which slices
+    the wanted ranks lie. A second one ranks the distinct values of those slices only. So no buffer and no sort
+    holds a group, be it a whole image; what is joined to the values are a few numbers per group.
+    """
+    v = F.col(value).cast("double")
+    rows = values.select(*per, v.alias("_v")).filter("_v IS NOT NULL")
+    key = list(per)
+    span = rows.groupBy(*key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count(F.lit(1)).alias("_n"))
+    if not key:
+        key, rows, span = ["_all"], rows.withColumn("_all", F.lit(0)), span.filter("_n > 0").withColumn("_all", F.lit(0))
+    span = cut_lineage(span)
+    few = F.broadcast if span.count() <= BROADCAST_GROUPS else (lambda df: df)
+    width = F.col("_hi") - F.col("_lo")
+    place = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * SLICES), F.lit(SLICES - 1))).otherwise(0).cast("int")
+    sliced = rows.join(few(span), key).withColumn("_s", place)
+    counts = sliced.groupBy(*key, "_s").agg(F.count(F.lit(1)).alias("_c"), F.first("_n").alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*key).orderBy("_s").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # Rank r (from 0) lies in the slice with upto - c <= r < upto; an interpolated quantile needs two ranks.
+    ranks = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("_n") - 1) * p), F.ceil((F.col("_n") - 1) * p)) for p in map(float, shares)])))
+    wanted = counts.withColumn("_upto", upto).withColumn("_ranks", F.filter(ranks, lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto")))).filter(F.size("_ranks") > 0)
+    wanted = cut_lineage(wanted.select(*key, "_s", (F.col("_upto") - F.col("_c")).alias("_before"), "_ranks"))
+    few_slices = F.broadcast if wanted.count() <= BROADCAST_GROUPS else (lambda df: df)
+    near = sliced.join(few_slices(wanted), [*key, "_s"]).groupBy(*key, "_s", "_v").agg(F.count(F.lit(1)).alias("_c"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"))
+    end = F.col("_before") + F.sum("_c").over(Window.partitionBy(*key, "_s").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    hit = near.withColumn("_end", end).select(*key, "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_end") - F.col("_c")) & (r < F.col("_end")))).alias("_r"))
+    found = hit.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_at"))  # two ranks per quantile at most
+    out = found.join(few(span.select(*key, "_n")), key)
+
+    def at(p: float) -> Column:
+        x = (F.col("_n") - 1) * p
+        low, high = F.element_at("_at", F.floor(x)), F.element_at("_at", F.ceil(x))
+        return F.when(F.floor(x) == F.ceil(x), low).otherwise((F.ceil(x) - x) * low + (x - F.floor(x)) * high)
+
+    return out.select(*per, F.array(*[at(float(p)) for p in shares]).alias("q"))
+
+
 def contrast_stretch(values: DataFrame, value: str, low: float = 0.02, high: float = 0.98, per: Sequence[str] = ()) -> DataFrame:
     """values with `stretched`: 0 at the low and 1 at the high percentile (interpolated), clipped; 0 where both agree.
 
-    per: columns (such as the band) whose groups have their own percentiles; without it, one row of percentiles is
-    attached as a scalar subquery.
+    per: columns (such as the image and band) whose groups have their own percentiles, nulls being no group; without it,
+    one row of percentiles is attached as a scalar subquery. No group is held in one buffer (see quantiles).
     """
-    both = F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("_q")
+    both = quantiles(values, per, value, [low, high]).withColumnRenamed("q", "_q")
     if per:
-        out = values.join(values.groupBy(*per).agg(both), list(per))
+        out = values.join(both, list(per), "left")
     else:
-        out = values.withColumn("_q", values.agg(both).scalar())
+        out = values.withColumn("_q", both.scalar())
     lo, hi = F.col("_q")[0], F.col("_q")[1]
     stretched = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col(value) - lo, hi - lo), F.lit(0.0))))
     return out.withColumn("stretched", F.when(F.col(value).isNotNull(), stretched)).drop("_q")
 
 
-def box_blur(image: DataFrame, value: str, height: int, width: int, k: int = 10) -> DataFrame:
-    """i, j, value: mean over k x k pixels, the edges mirrored; separable, so two window averages.
+def box_blur(image: DataFrame, value: str, height: int | Column, width: int | Column, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, value: mean over k x k pixels, the edges mirrored; separable, so two window averages.
 
-    Columns are mirrored and averaged along the rows first, then rows along the columns. An even k reaches k / 2 back and k / 2 - 1 forward.
+    height and width may be columns of the image (see tiling.extents). Columns are mirrored and averaged along the rows first, then rows along the columns. An even k reaches k / 2 back and k / 2 - 1 forward.
     """
     back, forward = k // 2, (k - 1) // 2
 
-    def along(df: DataFrame, axis: str, other: str, extent: int) -> DataFrame:
+    def along(df: DataFrame, axis: str, other: str, extent: Column) -> DataFrame:
         at = F.col(axis)
-        copies = F.array(at, F.when(at < back, -1 - at), F.when(at >= extent - forward, 2 * extent - 1 - at))
-        mirrored = df.select(other, F.explode(F.filter(copies, lambda x: x.isNotNull())).alias(axis), value)
-        mean = F.avg(value).over(Window.partitionBy(other).orderBy(axis).rowsBetween(-back, forward))
-        return mirrored.withColumn(value, mean).filter((F.col(axis) >= 0) & (F.col(axis) < extent)).select("i", "j", value)
-
-    return along(along(image.select("i", "j", value), "j", "i", width), "i", "j", height)
+        copies = F.array(at, F.when(at < back, -1 - at), F.when(at >= extent - forward, extent * 2 - 1 - at))
+        mirrored = df.select(*keys, "_h", "_w", other, F.explode(F.filter(copies, lambda x: x.isNotNull())).alias(axis), value)
+        mean = F.avg(value).over(Window.partitionBy(*keys, other).orderBy(axis).rowsBetween(-back, forward))
+        return mirrored.withColumn(value, mean).filter((F.col(axis) >= 0) & (F.col(axis) < extent)).select(*keys, "_h", "_w", "i", "j", value)
+
+    size = [x.alias(n) if isinstance(x, Column) else F.lit(x).alias(n) for x, n in ((height, "_h"), (width, "_w"))]
+    rows = image.select(*keys, *size, "i", "j", value)
+    return along(along(rows, "j", "i", F.col("_w")), "i", "j", F.col("_h")).select(*keys, "i", "j", value)
 
 
 def channel_stats(pixels: DataFrame, bands: Sequence[str]) -> DataFrame:

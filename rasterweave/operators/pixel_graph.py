@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import edge_correction
-from rasterweave.session import broadcast_if_small, cut_lineage
+from rasterweave.session import cut_lineage
 
 # The four neighbours that give every pair of an 8-neighbourhood once, and those of a 4-neighbourhood.
 FORWARD_8, FORWARD_4 = ((1, 0), (0, 1), (1, 1), (-1, 1)), ((1, 0), (0, 1))
@@ -20,21 +20,21 @@ FORWARD_8, FORWARD_4 = ((1, 0), (0, 1), (1, 1), (-1, 1)), ((1, 0), (0, 1))
 BROADCAST_LINKS = 200_000
 
 
-def pixel_vectors(series: DataFrame) -> DataFrame:
-    """i, j, x: the series of each pixel as an array of dates, each an array of channels."""
-    dates = series.groupBy("i", "j", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("v"))
-    return dates.groupBy("i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
+def pixel_vectors(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, x: the series of each pixel as an array of dates, each an array of channels. keys: the scene's columns."""
+    dates = series.groupBy(*keys, "i", "j", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("v"))
+    return dates.groupBy(*keys, "i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda s: s["v"]).alias("x"))
 
 
-def neighbours(pixels: DataFrame, payload: Sequence[str] = (), offsets=FORWARD_8) -> DataFrame:
-    """i, j, i2, j2 of every two neighbouring pixels, once, with the payload of both (the second's with suffix 2).
+def neighbours(pixels: DataFrame, payload: Sequence[str] = (), offsets=FORWARD_8, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, i2, j2 of every two neighbouring pixels of a scene, once, with the payload of both (the second's with suffix 2).
 
     Every pixel names its forward neighbours and an equi-join finds them.
     """
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
-    asked = pixels.select("i", "j", *payload, F.explode(steps).alias("_s")).select("i", "j", *payload, (F.col("i") + F.col("_s.a")).alias("i2"), (F.col("j") + F.col("_s.b")).alias("j2"))
-    other = pixels.select(F.col("i").alias("i2"), F.col("j").alias("j2"), *[F.col(p).alias(f"{p}2") for p in payload])
-    return asked.join(other, ["i2", "j2"])
+    asked = pixels.select(*keys, "i", "j", *payload, F.explode(steps).alias("_s")).select(*keys, "i", "j", *payload, (F.col("i") + F.col("_s.a")).alias("i2"), (F.col("j") + F.col("_s.b")).alias("j2"))
+    other = pixels.select(*keys, F.col("i").alias("i2"), F.col("j").alias("j2"), *[F.col(p).alias(f"{p}2") for p in payload])
+    return asked.join(other, [*keys, "i2", "j2"])
 
 
 def series_distance(x: Column, y: Column) -> Column:
@@ -48,37 +48,37 @@ def series_distance(x: Column, y: Column) -> Column:
     return F.when(valid > 0, total / (valid + F.lit(1e-6)))
 
 
-def pixel_graph(series: DataFrame, weight: str = "distance") -> DataFrame:
-    """i, j, i2, j2, weight: 8-neighbour edges weighted by the corrected distance of the two series.
+def pixel_graph(series: DataFrame, weight: str = "distance", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, i2, j2, weight: 8-neighbour edges weighted by the corrected distance of the two series.
 
     Pairs without a common valid date have no edge; equal pixels have weight 0. weight='similarity' gives 1 - that.
     """
-    edges = neighbours(pixel_vectors(series), ["x"]).withColumn("weight", edge_correction(series_distance(F.col("x"), F.col("x2")))).filter("weight IS NOT NULL")
+    edges = neighbours(pixel_vectors(series, keys), ["x"], keys=keys).withColumn("weight", edge_correction(series_distance(F.col("x"), F.col("x2")))).filter("weight IS NOT NULL")
     if weight == "similarity":
         edges = edges.withColumn("weight", 1 - F.col("weight"))
     elif weight != "distance":
         raise ValueError("weight must be 'distance' or 'similarity'")
-    return edges.select("i", "j", "i2", "j2", "weight")
+    return edges.select(*keys, "i", "j", "i2", "j2", "weight")
 
 
-def cluster_adjacency(edges: DataFrame, partition: DataFrame) -> DataFrame:
-    """a, b with a < b: clusters that an edge connects."""
-    one = partition.select("i", "j", F.col("cluster_id").alias("a"))
-    two = partition.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("cluster_id").alias("b"))
-    met = edges.join(one, ["i", "j"]).join(two, ["i2", "j2"]).filter("a <> b")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def cluster_adjacency(edges: DataFrame, partition: DataFrame, keys: Sequence[str] = (), also: Sequence[str] = ()) -> DataFrame:
+    """keys, also, a, b with a < b: clusters that an edge connects. also: columns of the partition within which clusters meet (grid)."""
+    one = partition.select(*keys, *also, "i", "j", F.col("cluster_id").alias("a"))
+    two = partition.select(*keys, *also, F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("cluster_id").alias("b"))
+    met = edges.join(one, [*keys, "i", "j"]).join(two, [*keys, *also, "i2", "j2"]).filter("a <> b")
+    return met.select(*keys, *also, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def centroid_distances(centroids: DataFrame, pairs: DataFrame) -> DataFrame:
-    """a, b, distance: of the centroids of one channel over the dates both have, per such date; null if there is none.
+def centroid_distances(centroids: DataFrame, pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, a, b, distance: of the centroids over the dates both have, per such date; null if there is none.
 
-    centroids: cluster_id, t, centroid.
+    centroids: keys, cluster_id, t, centroid of one channel; or of several, with the channel among the keys of both tables.
     """
-    one = centroids.select(F.col("cluster_id").alias("a"), "t", F.col("centroid").alias("x"))
-    two = centroids.select(F.col("cluster_id").alias("b"), "t", F.col("centroid").alias("y"))
-    both = pairs.join(one, "a").join(two, ["b", "t"])
+    one = centroids.select(*keys, F.col("cluster_id").alias("a"), "t", F.col("centroid").alias("x"))
+    two = centroids.select(*keys, F.col("cluster_id").alias("b"), "t", F.col("centroid").alias("y"))
+    both = pairs.join(one, [*keys, "a"]).join(two, [*keys, "b", "t"])
     d = F.pow(F.col("x") - F.col("y"), F.lit(2))
-    return both.groupBy("a", "b").agg(F.try_divide(F.sqrt(F.sum(d)), F.count(d)).alias("distance"))
+    return both.groupBy(*keys, "a", "b").agg(F.try_divide(F.sqrt(F.sum(d)), F.count(d)).alias("distance"))
 
 
 def spectral_distance(a: np.ndarray, b: np.ndarray) -> float:
@@ -88,14 +88,14 @@ def spectral_distance(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.linalg.norm(d, 2) / len(d)) if len(d) else float("inf")
 
 
-def merge_order(sizes: dict, near: dict, distance, least: int) -> dict:
-    """Where each small cluster goes: by size, then name, each joins its nearest neighbour (the least name on a tie).
+def merge_order(sizes: dict, near: dict, distance, least: int, by: str = "size") -> dict:
+    """Where each small cluster goes: by size, then name (or by name alone), each joins its nearest neighbour (the least name on a tie).
 
     A cluster that has grown to `least` in the meantime stays; one without neighbours stays. Centroids don't change.
     """
     home = {k: k for k in sizes}
     size, links = dict(sizes), {k: set(v) for k, v in near.items()}
-    for k in sorted((k for k in sizes if sizes[k] < least), key=lambda k: (sizes[k], k)):
+    for k in sorted((k for k in sizes if sizes[k] < least), key=lambda k: (sizes[k] if by == "size" else 0, k)):
         if size[k] >= least or not links.get(k):
             continue
         to = min(links[k], key=lambda n: (distance(k, n), n))
@@ -115,35 +115,85 @@ def merge_order(sizes: dict, near: dict, distance, least: int) -> dict:
     return home
 
 
-def merge_small_clusters(edges: DataFrame, partition: DataFrame, centroids: DataFrame, least: int = 8) -> DataFrame:
+def _linked(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """u, name of every node of u, v links (bigint, in both directions): the least node that it hangs together with.
+
+    In every round each node takes the least name among its neighbours', and names are followed to where they point
+    (pointer jumping), until nothing changes; links within one name are settled and leave. The number of links proves
+    whether a round's tables are small.
+    """
+    both = cut_lineage(links.select("u", "v").distinct())
+    n = both.count()
+    names = cut_lineage(both.select("u", F.col("u").alias("name")).distinct())
+    for _ in range(max_rounds):
+        if n == 0:
+            return names
+        small = F.broadcast if n <= BROADCAST_LINKS else (lambda df: df)
+        near = both.join(small(names.withColumnRenamed("u", "v")), "v").groupBy("u").agg(F.min("name").alias("least"))
+        hooked = names.join(small(near), "u", "left").select("u", "name", F.least("name", "least").alias("new"))
+        # A node takes the best name that any node of its name has found, and then the name which that one has itself.
+        better = hooked.groupBy("name").agg(F.min("new").alias("best"))
+        joined = cut_lineage(hooked.join(better, "name").select("u", F.least("new", "best").alias("name")))
+        to = joined.select(F.col("u").alias("name"), F.col("name").alias("next"))
+        names = cut_lineage(joined.join(to, "name").select("u", F.least("name", "next").alias("name")))
+        ends = both.join(small(names), "u").join(small(names.select(F.col("u").alias("v"), F.col("name").alias("_v"))), "v")
+        both = cut_lineage(ends.filter("name <> _v").select("u", "v"))
+        n = both.count()
+    raise RuntimeError(f"names still change after {max_rounds} rounds")
+
+
+def merge_small_clusters(edges: DataFrame, partition: DataFrame, centroids: DataFrame, least: int = 8, by: str = "size", keys: Sequence[str] = ()) -> DataFrame:
     """partition with clusters of fewer than `least` pixels merged into an adjacent one, the nearest by centroid.
 
-    The order of the merges matters, so one scene's cluster table (never its pixels) goes to one task of a grouped
-    map per grid: names, sizes, neighbours and centroids. Relabelling the pixels is a join.
+    The order of the merges matters (by size, or by='name': in the order of names), but only among small clusters that
+    hang together through small ones: a large cluster never moves. So each such group of small clusters, with its
+    neighbours, is one group of a grouped map, never a whole scene. Relabelling the pixels is a join.
     """
-    sizes = partition.groupBy("grid", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    middle = centroids.groupBy("grid", "cluster_id").agg(F.array_sort(F.collect_list(F.struct("t", "c", "centroid"))).alias("x"))
-    pairs = cluster_adjacency(edges, partition)
-    links = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_list("b").alias("near"))
-    table = sizes.join(middle, ["grid", "cluster_id"], "left").join(links, F.col("a") == F.col("cluster_id"), "left").select("grid", "cluster_id", "n", "x", "near")
+    if by not in ("size", "name"):
+        raise ValueError("by must be 'size' or 'name'")
+    scene = [*keys, "grid"]
+    sizes = cut_lineage(partition.groupBy(*scene, "cluster_id").agg(F.count(F.lit(1)).alias("n")))
+    per_grid = cluster_adjacency(edges, partition, keys, ["grid"])
+    size_of = lambda c, n: sizes.select(*scene, F.col("cluster_id").alias(c), F.col("n").alias(n))
+    pairs = per_grid.join(size_of("a", "na"), [*scene, "a"]).join(size_of("b", "nb"), [*scene, "b"])
+    pairs = cut_lineage(pairs.filter(F.least("na", "nb") < least))
+    node = lambda c: F.xxhash64(*[F.col(k) for k in scene], F.col(c))  # noqa: E731  two of one name are merely grouped together
+    touching = pairs.filter(F.greatest("na", "nb") < least).select(node("a").alias("u"), node("b").alias("v"))
+    group = _linked(touching.unionByName(touching.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    middle = centroids.groupBy(*scene, "cluster_id").agg(F.array_sort(F.collect_list(F.struct("t", "c", "centroid"))).alias("x"))
+    ends = [pairs.select(*scene, F.col(a).alias("cluster_id"), F.col("n" + a).alias("n"), F.col(b).alias("other"), F.col("n" + b).alias("n2")) for a, b in (("a", "b"), ("b", "a"))]
+    asked = ends[0].unionByName(ends[1]).filter(F.col("n") < least).withColumn("u", node("cluster_id")).join(group, "u", "left").withColumn("_group", F.coalesce("name", "u"))
+    x_of = lambda c, x: middle.select(*scene, F.col("cluster_id").alias(c), F.col("x").alias(x))
+    table = asked.join(x_of("cluster_id", "x"), [*scene, "cluster_id"], "left").join(x_of("other", "x2"), [*scene, "other"], "left").select("_group", *scene, "cluster_id", "n", "x", "other", "n2", "x2")
+
+    def matrix(rows) -> np.ndarray:
+        cells = {(r["t"], r["c"]): r["centroid"] for r in (rows if rows is not None else [])}
+        ts, cs = sorted({t for t, _ in cells}), sorted({c for _, c in cells})
+        return np.array([[np.nan if cells.get((t, c)) is None else cells[t, c] for c in cs] for t in ts], dtype=float)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = pdf["cluster_id"].tolist()
-        near = {k: set(v) & set(names) if v is not None else set() for k, v in zip(names, pdf["near"], strict=True)}
-        series: dict = {}
-        for k, rows in zip(names, pdf["x"], strict=True):
-            cells = {(r["t"], r["c"]): r["centroid"] for r in (rows if rows is not None else [])}
-            ts, cs = sorted({t for t, _ in cells}), sorted({c for _, c in cells})
-            series[k] = np.array([[np.nan if cells.get((t, c)) is None else cells[t, c] for c in cs] for t in ts], dtype=float)
+        sizes_, near, series, place = {}, defaultdict(set), {}, {}
+        for r in pdf.to_dict("records"):
+            of = tuple(r[k] for k in scene)
+            a, b = (of, r["cluster_id"]), (of, r["other"])
+            for name, n, x in ((a, r["n"], r["x"]), (b, r["n2"], r["x2"])):
+                sizes_[name] = int(n)
+                if name not in series:
+                    series[name] = matrix(x)
+            near[a].add(b)
+            near[b].add(a)
+            place[a] = of
 
         def distance(a, b) -> float:
             return spectral_distance(series[a], series[b]) if series[a].shape == series[b].shape and series[a].size else float("inf")
 
-        home = merge_order(dict(zip(names, pdf["n"].tolist(), strict=True)), near, distance, least)
-        return pd.DataFrame({"grid": pdf["grid"], "cluster_id": names, "merged": [home[k] for k in names]})
+        home = merge_order(sizes_, near, distance, least, by)
+        moved = [k for k in place if home[k] != k]
+        return pd.DataFrame({**{c: [place[k][p] for k in moved] for p, c in enumerate(scene)}, "cluster_id": [k[1] for k in moved], "merged": [home[k][1] for k in moved]})
 
-    moves = table.groupBy("grid").applyInPandas(run, "grid int, cluster_id long, merged long")
-    return partition.join(moves, ["grid", "cluster_id"]).select("grid", F.col("merged").alias("cluster_id"), "i", "j")
+    kinds = ", ".join(f"`{k}` {partition.schema[k].dataType.simpleString()}" for k in [*scene, "cluster_id"])
+    moves = table.groupBy("_group").applyInPandas(run, f"{kinds}, merged long")
+    return partition.join(moves, [*scene, "cluster_id"], "left").select(*scene, F.coalesce("merged", "cluster_id").alias("cluster_id"), "i", "j")
 
 
 def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0, rounds: int = 50, *, loops: np.ndarray | None = None, outside: np.ndarray | None = None, total: float | None = None) -> np.ndarray:
@@ -199,116 +249,127 @@ def louvain(n: int, edges: list[tuple[int, int, float]], resolution: float = 1.0
     return np.unique(community, return_inverse=True)[1]
 
 
-def louvain_partition(edges: DataFrame, pixels: DataFrame, resolution: float = 1000.0, tile: int = 128) -> DataFrame:
-    """grid (0), cluster_id, i, j: communities of the whole pixel graph. Every pixel is in one, alone if it has no edge.
-
-    First tile by tile, so that a group has tile * tile pixels at most; degrees and the total weight are those of the
-    whole graph, edges between tiles count in the degrees. Then each community is contracted to a node and the moves go on
-    over all edges, those between tiles included. The contracted graph (the scene's community table, never its pixels)
-    goes to one task; a community is named by the least name of those that joined it.
-    """
-    exact = lambda c: F.sum(F.col(c).cast("decimal(28,18)")).cast("double")  # noqa: E731  the same in any order
-    key = lambda a, n: F.floor(F.col(a) / tile).cast("int").alias(n)
-    none = lambda n, t="int": F.lit(None).cast(t).alias(n)
-    kept = cut_lineage(edges.select("i", "j", "i2", "j2", F.col("weight").cast("double").alias("weight")).filter("weight IS NOT NULL"))
-    total = kept.agg(exact("weight")).first()[0] or 0.0
-    tiled = kept.select(key("i", "ti"), key("j", "tj"), "*", key("i2", "si"), key("j2", "sj"))
-    inside = tiled.filter("ti = si AND tj = sj").drop("si", "sj")
-    across = tiled.filter("ti <> si OR tj <> sj")
-    one_end = across.select("ti", "tj", "i", "j", none("i2"), none("j2"), "weight")
-    other_end = across.select("si", "sj", "i2", "j2", none("i"), none("j"), "weight")
-    alone = pixels.select(key("i", "ti"), key("j", "tj"), "i", "j", none("i2"), none("j2"), none("weight", "double"))
+def _moves(columns: Sequence[str], resolution: float, whole: str):
+    """A grouped map: rows a, b (an edge, or a loop if equal), or a alone with the weight of its edges to the outside."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends, out = pdf[pdf["i2"].notna()], pdf[pdf["i2"].isna() & pdf["weight"].notna()]
-        nodes = sorted(set(zip(pdf["i"], pdf["j"], strict=True)) | set(zip(ends["i2"].astype(int), ends["j2"].astype(int), strict=True)))
-        at = {p: n for n, p in enumerate(nodes)}
-        rows = sorted((at[int(r.i), int(r.j)], at[int(r.i2), int(r.j2)], float(r.weight)) for r in ends.itertuples())
-        outside = np.zeros(len(nodes))
-        for v, w in sorted((at[int(r.i), int(r.j)], float(r.weight)) for r in out.itertuples()):
-            outside[v] += w
-        found = louvain(len(nodes), rows, resolution, outside=outside, total=total)
-        base = (int(pdf["ti"].iloc[0]) << 40) + (int(pdf["tj"].iloc[0]) << 20)
-        return pd.DataFrame({"grid": 0, "cluster_id": base + found, "i": [p[0] for p in nodes], "j": [p[1] for p in nodes]})
-
-    part = inside.union(one_end).union(other_end).union(alone).groupBy("ti", "tj").applyInPandas(run, "grid int, cluster_id long, i int, j int")
-    if across.isEmpty():
-        return part
-    part = cut_lineage(part)
-    one = part.select("i", "j", F.col("cluster_id").alias("a"))
-    two = part.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("cluster_id").alias("b"))
-    pairs = kept.join(one, ["i", "j"]).join(two, ["i2", "j2"]).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(exact("weight").alias("weight"))
-
-    def join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        inner = pdf[pdf["b"].notna()]
+        names = sorted({*pdf["a"].tolist(), *inner["b"].astype("int64").tolist()})
         at = {k: n for n, k in enumerate(names)}
-        rows = sorted((at[r.a], at[r.b], r.weight) for r in pdf.itertuples())
-        loops = np.zeros(len(names))
+        rows = sorted((at[a], at[b], w) for a, b, w in zip(inner["a"].tolist(), inner["b"].astype("int64").tolist(), inner["weight"].tolist(), strict=True))
+        loops, outside = np.zeros(len(names)), np.zeros(len(names))
         for a, b, w in rows:
-            if a == b:
-                loops[a] = w
-        found = louvain(len(names), [r for r in rows if r[0] != r[1]], resolution, loops=loops, total=total)
+            loops[a] += w if a == b else 0.0
+        alone = pdf[pdf["b"].isna()]
+        for k, w in sorted((at[a], w) for a, w in zip(alone["a"].tolist(), alone["weight"].fillna(0.0).tolist(), strict=True)):
+            outside[k] += w
+        found = louvain(len(names), [r for r in rows if r[0] != r[1]], resolution, loops=loops, outside=outside, total=float(pdf[whole].iloc[0]))
         least: dict = {}
         for k, c in zip(names, found, strict=True):
             least.setdefault(c, k)
-        return pd.DataFrame({"cluster_id": names, "joined": [least[c] for c in found]})
+        joined = [least[c] for c in found]
+        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(names) for c in columns}, "cluster_id": names, "joined": joined})
 
-    moves = cut_lineage(pairs.groupBy().applyInPandas(join_up, "cluster_id long, joined long").filter("cluster_id <> joined"))
-    out = part.join(broadcast_if_small(moves, BROADCAST_LINKS), "cluster_id", "left")
-    return out.select("grid", F.coalesce("joined", "cluster_id").alias("cluster_id"), "i", "j")
+    return run
 
 
-def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 60) -> DataFrame:
-    """i, j, value, region: connected cells of equal value; a region is named by its least i * 2**32 + j.
+def louvain_partition(edges: DataFrame, pixels: DataFrame, resolution: float = 1000.0, tile: int = 128, factor: int = 8, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, grid (0), cluster_id, i, j: communities of the whole pixel graph of each scene. Every pixel is in one, alone if it has no edge.
 
-    Runs of a row are found with a window first, so edges are between runs. Then in every round each run takes the
-    least name among its neighbours', and names are followed to where they point (pointer jumping), until nothing changes.
+    First tile by tile: local moves and aggregation over a tile's pixels, with the degrees and the total of the whole graph.
+    Each community is then one node, and level by level tiles are put together factor by factor: the communities that an
+    edge between two of the smaller tiles touches move on, with the weights of all their edges, until one tile holds the
+    scene. No edge is dropped. A task has a tile's pixels at most, or at a level the communities along the
+    borders within one larger tile, which grow with its side and not with its area. A community is named after its first
+    pixel, i * 2**32 + j, so the names say where it lies.
     """
-    run = Window.partitionBy("i").orderBy("j")
-    marked = cells.filter(F.col(value).isNotNull()).select("i", "j", F.col(value).alias("_v")).withColumn("_s", F.when((F.lag("j").over(run) == F.col("j") - 1) & (F.lag("_v").over(run) == F.col("_v")), 0).otherwise(1))
+    exact = lambda c: F.sum(F.col(c).cast("decimal(28,18)")).cast("double")  # noqa: E731  the same in any order
+    pixel = lambda i, j: F.col(i).cast("long") * (1 << 32) + F.col(j)
+    place = lambda c, size, end: [F.floor(F.col(c) / (1 << 32) / size).cast("long").alias("t" + end), F.floor(F.pmod(F.col(c), F.lit(1 << 32)) / size).cast("long").alias("s" + end)]
+    kept = edges.filter("weight IS NOT NULL").select(*keys, pixel("i", "j").alias("a"), pixel("i2", "j2").alias("b"), F.col("weight").cast("double").alias("weight"))
+    graph = cut_lineage(kept)
+    totals = graph.groupBy(*keys).agg(exact("weight").alias("_total")) if keys else graph.agg(exact("weight").alias("_total"))
+    total = totals.first()[0] or 0.0 if not keys else None
+    nodes = cut_lineage(pixels.select(*keys, pixel("i", "j").alias("cluster_id"), "i", "j").distinct())
+    extent = nodes.agg(F.coalesce(F.greatest(F.max("i"), F.max("j")), F.lit(0))).first()[0] + 1
+    none = F.lit(None).cast("long")
+    kinds = "".join(f"`{k}` {pixels.schema[k].dataType.simpleString()}, " for k in keys) + "cluster_id long, joined long"
+    names = nodes.withColumn("name", F.col("cluster_id"))
+    size, smaller = tile, 0
+    while True:
+        tiled = graph.select("*", *place("a", size, "a"), *place("b", size, "b"))
+        same = (F.col("ta") == F.col("tb")) & (F.col("sa") == F.col("sb"))
+        if smaller:  # only what the borders between the smaller tiles touch goes on moving
+            near = graph.select("*", *place("a", smaller, "a"), *place("b", smaller, "b")).filter("ta <> tb OR sa <> sb")
+            touched = near.select(*keys, F.explode(F.array("a", "b")).alias("a")).distinct()
+            active = lambda end: touched.select(*keys, F.col("a").alias(end), F.lit(True).alias("_on_" + end))
+            tiled = tiled.join(active("a"), [*keys, "a"], "left").join(active("b"), [*keys, "b"], "left").filter("_on_a OR _on_b")
+        else:
+            tiled = tiled.withColumns({"_on_a": F.lit(True), "_on_b": F.lit(True)})
+        tiled = cut_lineage(tiled)
+        whole = tiled.filter(same & F.col("_on_a") & F.col("_on_b"))
+        inner = whole.select(*keys, F.col("ta").alias("t"), F.col("sa").alias("s"), "a", "b", "weight")
+        cross = tiled.filter(~(same & F.coalesce(F.col("_on_a"), F.lit(False)) & F.coalesce(F.col("_on_b"), F.lit(False))))
+        one = lambda end: cross.filter("_on_" + end).select(*keys, F.col("t" + end).alias("t"), F.col("s" + end).alias("s"), F.col(end).alias("a"), none.alias("b"), "weight")
+        parts = inner.unionByName(one("a")).unionByName(one("b"))
+        parts = parts.join(F.broadcast(totals), list(keys)) if keys else parts.withColumn("_total", F.lit(total))  # one row per scene
+        moves = parts.groupBy(*keys, "t", "s").applyInPandas(_moves(keys, resolution, "_total"), kinds).filter("cluster_id <> joined")
+        moves = cut_lineage(moves)
+        of = lambda c, to: moves.select(*keys, F.col("cluster_id").alias(c), F.col("joined").alias(to))
+        names = cut_lineage(names.join(of("name", "_to"), [*keys, "name"], "left").withColumn("name", F.coalesce("_to", "name")).drop("_to"))
+        if size >= extent:
+            break
+        renamed = graph.join(of("a", "_a"), [*keys, "a"], "left").join(of("b", "_b"), [*keys, "b"], "left").select(*keys, F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), "weight")
+        graph = cut_lineage(renamed.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(exact("weight").alias("weight")))
+        size, smaller = size * factor, size
+    return names.select(*keys, F.lit(0).alias("grid"), F.col("name").alias("cluster_id"), "i", "j")
+
+
+def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 60, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, value, region: connected cells of equal value in each scene; a region is named by its least i * 2**32 + j.
+
+    Runs of a row are found with a window first, so links are between runs, and only runs with links take part in the rounds.
+    """
+    run = Window.partitionBy(*keys, "i").orderBy("j")
+    marked = cells.filter(F.col(value).isNotNull()).select(*keys, "i", "j", F.col(value).alias("_v")).withColumn("_s", F.when((F.lag("j").over(run) == F.col("j") - 1) & (F.lag("_v").over(run) == F.col("_v")), 0).otherwise(1))
     marked = marked.withColumn("_run", F.max(F.when(F.col("_s") == 1, F.col("i").cast("long") * (1 << 32) + F.col("j"))).over(run.rowsBetween(Window.unboundedPreceding, 0)))
     marked = cut_lineage(marked.drop("_s"))
-    pairs = neighbours(marked, ["_v", "_run"], [o for o in offsets if o != (0, 1)]).filter("_v = _v2 AND _run <> _run2").select(F.col("_run").alias("u"), F.col("_run2").alias("v"))
-    both = cut_lineage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    # Only runs that have neighbours take part; the number of their links proves whether a round's tables are small.
-    small = F.broadcast if both.count() <= BROADCAST_LINKS else (lambda df: df)
-    names = cut_lineage(both.select("u", F.col("u").alias("name")).distinct())
-    for _ in range(max_rounds):
-        near = both.join(small(names.withColumnRenamed("u", "v")), "v").groupBy("u").agg(F.min("name").alias("least"))
-        hooked = names.join(small(near), "u").select("u", "name", F.least("name", "least").alias("new"))
-        # A run takes the best name that any run of its name has found, and then the name which that one has itself.
-        better = hooked.groupBy("name").agg(F.min("new").alias("best"))
-        joined = cut_lineage(hooked.join(small(better), "name").select("u", F.col("name").alias("old"), F.least("new", "best").alias("name")))
-        to = small(joined.select(F.col("u").alias("name"), F.col("name").alias("next")))
-        names = joined.join(to, "name").select("u", F.least("name", "next").alias("name"), "old")
-        names = cut_lineage(names)
-        if names.filter("old <> name").isEmpty():
-            break
-        names = names.drop("old")
+    pairs = neighbours(marked, ["_v", "_run"], [o for o in offsets if o != (0, 1)], keys).filter("_v = _v2 AND _run <> _run2").select(*keys, F.col("_run").alias("a"), F.col("_run2").alias("b")).distinct()
+    if keys:
+        # Within the rounds a run of a scene is one number: scenes in order, runs as they are. A name is read back from it.
+        linked = pairs.select(*keys, F.explode(F.array("a", "b")).alias("_run")).distinct()
+        numbered = cut_lineage(linked.select(*keys, "_run", F.monotonically_increasing_id().alias("_id")))
+        number = lambda end, to: numbered.select(*keys, F.col("_run").alias(end), F.col("_id").alias(to))
+        pairs = pairs.join(number("a", "u"), [*keys, "a"]).join(number("b", "v"), [*keys, "b"]).select("u", "v")
+        found = _linked(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), max_rounds)
+        named = numbered.join(found, F.col("_id") == F.col("u")).select(*keys, "_run", F.col("name").alias("_group"))
+        least = named.groupBy("_group").agg(F.min("_run").alias("name"))
+        names = named.join(least, "_group").drop("_group")
     else:
-        raise RuntimeError(f"regions still change after {max_rounds} rounds")
-    out = marked.join(small(names.select(F.col("u").alias("_run"), "name")), "_run", "left")
-    return out.select("i", "j", F.col("_v").alias(value), F.coalesce("name", "_run").alias("region"))
+        pairs = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        names = _linked(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), max_rounds).withColumnRenamed("u", "_run")
+    out = marked.join(names, [*keys, "_run"], "left")
+    return out.select(*keys, "i", "j", F.col("_v").alias(value), F.coalesce("name", "_run").alias("region"))
 
 
-def outlines(regions_of: DataFrame, value: str = "region") -> DataFrame:
-    """value, x1, y1, x2, y2: the straight segments of the outline of every region, holes included.
+def outlines(regions_of: DataFrame, value: str = "region", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value, x1, y1, x2, y2: the straight segments of the outline of every region, holes included.
 
     Cell (i, j) is the unit square from (j, i). A side between two cells belongs to the outline of each if they differ;
     sides on a line are joined to segments by gaps and islands. No region is gathered anywhere, however large it is.
     """
-    cells = regions_of.select("i", "j", F.col(value).alias("_v"))
-    row, column = Window.partitionBy("i").orderBy("j"), Window.partitionBy("j").orderBy("i")
+    cells = regions_of.select(*keys, "i", "j", F.col(value).alias("_v"))
+    row, column = Window.partitionBy(*keys, "i").orderBy("j"), Window.partitionBy(*keys, "j").orderBy("i")
 
     def other(f, w, key: str, step: int) -> Column:
         return F.when(f(key, 1).over(w) == F.col(key) + step, f("_v", 1).over(w))
 
-    near = cells.select("i", "j", "_v", other(F.lag, row, "j", -1).alias("left"), other(F.lead, row, "j", 1).alias("right"), other(F.lag, column, "i", -1).alias("up"), other(F.lead, column, "i", 1).alias("down"))
+    near = cells.select(*keys, "i", "j", "_v", other(F.lag, row, "j", -1).alias("left"), other(F.lead, row, "j", 1).alias("right"), other(F.lag, column, "i", -1).alias("up"), other(F.lead, column, "i", 1).alias("down"))
     # A side: does it run along a row (h), on which line, and from where.
     sides = F.array(*[F.when(~F.col(n).eqNullSafe(F.col("_v")), F.struct(F.lit(h).alias("h"), line.alias("line"), at.alias("at"), F.lit(n).alias("n"))) for n, h, line, at in (("up", True, F.col("i"), F.col("j")), ("down", True, F.col("i") + 1, F.col("j")), ("left", False, F.col("j"), F.col("i")), ("right", False, F.col("j") + 1, F.col("i")))])
-    open_sides = near.select("_v", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select("_v", "s.*")
-    along = Window.partitionBy("_v", "h", "line", "n").orderBy("at")
-    joined = open_sides.withColumn("_g", F.col("at") - F.row_number().over(along)).groupBy("_v", "h", "line", "n", "_g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
+    open_sides = near.select(*keys, "_v", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select(*keys, "_v", "s.*")
+    along = Window.partitionBy(*keys, "_v", "h", "line", "n").orderBy("at")
+    joined = open_sides.withColumn("_g", F.col("at") - F.row_number().over(along)).groupBy(*keys, "_v", "h", "line", "n", "_g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
     x = lambda end: F.when(F.col("h"), F.col(end)).otherwise(F.col("line"))
     y = lambda end: F.when(F.col("h"), F.col("line")).otherwise(F.col(end))
-    return joined.select(F.col("_v").alias(value), x("a").alias("x1"), y("a").alias("y1"), x("b").alias("x2"), y("b").alias("y2"))
+    return joined.select(*keys, F.col("_v").alias(value), x("a").alias("x1"), y("a").alias("y1"), x("b").alias("x2"), y("b").alias("y2"))

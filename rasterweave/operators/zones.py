@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterweave.session import cut_lineage
+
+#: Values of all centres (clusters times positions) up to which they are broadcast.
+BROADCAST_CENTRES = 1_000_000
+
+#: Clusters of a block that meets another one in a task.
+CENTRES_A_BLOCK = 1_000
+
 
 def overlap_zones(pixels: DataFrame, z: int = 10) -> DataFrame:
-    """Every pixel in its zone of the base grid (0) and, from (z/2, z/2) on, of the grid shifted by z/2 (1).
+    """Every pixel of every scene in its zone of the base grid (0) and, from (z/2, z/2) on, of the grid shifted by z/2 (1).
 
     Adds grid, zi, zj (the zone's first row and column). Arithmetic and an explode: no join, no shuffle.
     """
@@ -95,47 +105,57 @@ def cluster_zone(x: np.ndarray, k_max: int = 10, seed: int = 42) -> np.ndarray:
     return np.unique(settle_singletons(x, chosen), return_inverse=True)[1]
 
 
-def zone_partition(series: DataFrame, z: int = 10, k_max: int = 10, seed: int = 42) -> DataFrame:
-    """grid, cluster_id, i, j: the pixels of every zone clustered by their series, masked values as 0.
+def zone_partition(series: DataFrame, z: int = 10, k_max: int = 10, seed: int = 42, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, grid, cluster_id, i, j: the pixels of every zone clustered by their series, masked values as 0.
 
     A zone has z * z pixels at most, so a group is bounded; all zones are clustered at the same time.
     """
-    pixels = series.groupBy("i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "c", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda s: s["v"]).alias("x"))
+    pixels = series.groupBy(*keys, "i", "j").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "c", F.coalesce("v", F.lit(0.0)).alias("v")))), lambda s: s["v"]).alias("x"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["i", "j"])
         labels = cluster_zone(np.array(pdf["x"].tolist(), dtype=float), k_max, seed)
         zone = (int(pdf["zi"].iloc[0]) << 32) + (int(pdf["zj"].iloc[0]) << 8)
-        return pd.DataFrame({"grid": pdf["grid"], "cluster_id": zone + labels, "i": pdf["i"], "j": pdf["j"]})
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, "grid": pdf["grid"], "cluster_id": zone + labels, "i": pdf["i"], "j": pdf["j"]})
 
-    return overlap_zones(pixels, z).groupBy("grid", "zi", "zj").applyInPandas(run, "grid int, cluster_id long, i int, j int")
+    scene = "".join(f"`{k}` {series.schema[k].dataType.simpleString()}, " for k in keys)
+    return overlap_zones(pixels, z).groupBy(*keys, "grid", "zi", "zj").applyInPandas(run, f"{scene}grid int, cluster_id long, i int, j int")
 
 
 def davies_bouldin(points: DataFrame, label: str, vector: str) -> DataFrame:
-    """score: the Davies-Bouldin score of labelled vectors, as SQL.
+    """score: the Davies-Bouldin score of labelled vectors; null for fewer than two clusters.
 
-    Centres are few; they meet each other in an equi-join on the position in the vector, never row by row.
+    Centres are found by position and gathered to one array per cluster. A count proves them small enough to be
+    broadcast; each cluster's centre then meets those of the others as one array of centres, so no key is shared by all
+    pairs. With more, the pairs are dealt over blocks of clusters: a block meets a block in a task of its own.
     """
-    rows = points.select(F.col(label).alias("k"), F.monotonically_increasing_id().alias("row"), F.col(vector).alias("_x"))
-    long = rows.select("k", "row", F.posexplode("_x").alias("p", "v")).withColumn("v", F.col("v").cast("double"))
-    centres = long.groupBy("k", "p").agg(F.avg("v").alias("m"))
-    distance = long.join(centres, ["k", "p"]).groupBy("k", "row").agg(F.sqrt(F.sum(F.pow(F.col("v") - F.col("m"), F.lit(2)))).alias("d"))
-    spread = distance.groupBy("k").agg(F.avg("d").alias("s"))
-    other = centres.select(F.col("k").alias("k2"), "p", F.col("m").alias("m2"))
-    apart = centres.join(other, "p").filter("k <> k2").groupBy("k", "k2").agg(F.sqrt(F.sum(F.pow(F.col("m") - F.col("m2"), F.lit(2)))).alias("d"))
-    ratio = apart.join(spread, "k").join(spread.select(F.col("k").alias("k2"), F.col("s").alias("s2")), "k2").select("k", F.try_divide(F.col("s") + F.col("s2"), F.col("d")).alias("r"))
-    return ratio.groupBy("k").agg(F.max("r").alias("r")).agg(F.avg("r").alias("score"))
-
-
-def label_image(pixels: DataFrame, partition: DataFrame) -> DataFrame:
-    """i, j, cluster_id of every pixel: the greatest of its clusters, -1 if it has none."""
-    top = partition.groupBy("i", "j").agg(F.max("cluster_id").alias("cluster_id"))
-    return pixels.select("i", "j").join(top, ["i", "j"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
-
-
-def cluster_borders(labels: DataFrame) -> DataFrame:
-    """i, j, border: true if the label differs from that of the pixel above, below, left or right."""
-    row, column = Window.partitionBy("i").orderBy("j"), Window.partitionBy("j").orderBy("i")
+    rows = points.select(F.col(label).alias("k"), F.col(vector).cast("array<double>").alias("x"))
+    long = rows.select("k", F.posexplode("x").alias("p", "v"))
+    centres = long.groupBy("k", "p").agg(F.avg("v").alias("m")).groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "m"))), lambda s: s["m"]).alias("m"))
+    centres = cut_lineage(centres)
+    n, width = centres.agg(F.count(F.lit(1)), F.max(F.size("m"))).first()
+    small = F.broadcast if n * (width or 1) <= BROADCAST_CENTRES else (lambda df: df)
+    apart = lambda x, y: F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+    spread = rows.join(small(centres), "k").groupBy("k").agg(F.avg(apart(F.col("x"), F.col("m"))).alias("s"))
+    known = cut_lineage(centres.join(spread, "k"))
+    blocks = max(1, n // CENTRES_A_BLOCK)
+    block = F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    one = known.select("k", "m", "s", block.alias("_a"), every.alias("_b"))
+    other = known.select(F.col("k").alias("k2"), F.col("m").alias("m2"), F.col("s").alias("s2"), block.alias("_b"), every.alias("_a"))
+    ratio = one.join(other, ["_a", "_b"]).filter("k <> k2").groupBy("k").agg(F.max(F.try_divide(F.col("s") + F.col("s2"), apart(F.col("m"), F.col("m2")))).alias("r"))
+    return ratio.agg(F.avg("r").alias("score"))
+
+
+def label_image(pixels: DataFrame, partition: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, cluster_id of every pixel: the greatest of its clusters, -1 if it has none."""
+    top = partition.groupBy(*keys, "i", "j").agg(F.max("cluster_id").alias("cluster_id"))
+    return pixels.select(*keys, "i", "j").join(top, [*keys, "i", "j"], "left").withColumn("cluster_id", F.coalesce("cluster_id", F.lit(-1)))
+
+
+def cluster_borders(labels: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, i, j, border: true if the label differs from that of the pixel above, below, left or right."""
+    row, column = Window.partitionBy(*keys, "i").orderBy("j"), Window.partitionBy(*keys, "j").orderBy("i")
     differs = lambda other: F.coalesce(other != F.col("cluster_id"), F.lit(False))
     nxt = lambda f, w, key: F.when(f(key, 1).over(w) == F.col(key) + (1 if f is F.lead else -1), f("cluster_id", 1).over(w))
-    return labels.select("i", "j", (differs(nxt(F.lag, row, "j")) | differs(nxt(F.lead, row, "j")) | differs(nxt(F.lag, column, "i")) | differs(nxt(F.lead, column, "i"))).alias("border"))
+    return labels.select(*keys, "i", "j", (differs(nxt(F.lag, row, "j")) | differs(nxt(F.lead, row, "j")) | differs(nxt(F.lag, column, "i")) | differs(nxt(F.lead, column, "i"))).alias("border"))

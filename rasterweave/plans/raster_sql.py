@@ -60,7 +60,7 @@ _PROB = f"{_ORIGINS}, q AS (SELECT *, (v * 7 + oi + oj * 3) % 16 AS a FROM t), w
 _SCORED = f"WITH q AS ({X.SCORED_SQL}), l AS (SELECT row, image_id, i, label, unnest(scores) AS s, generate_subscripts(scores, 1) - 1 AS k FROM q), n AS (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY row) AS p FROM l)"
 _DICE = "b AS (SELECT k, sum(CASE WHEN label = k THEN p ELSE 0 END) AS bth, sum(p) AS p, sum(CASE WHEN label = k THEN 1.0 ELSE 0 END) AS y FROM n WHERE label <> 255 GROUP BY k), dl AS (SELECT 1 - avg((2 * bth + 0.1) / (p + y + 0.1)) AS dice FROM b)"
 _BURN = f"q AS ({X.RECT_SQL}), bx AS (SELECT *, CAST(floor(x0) AS INT) AS a0, CAST(floor(x0 + w) AS INT) AS a1, CAST(floor(y0) AS INT) AS c0, CAST(floor(y0 + h) AS INT) AS c1 FROM q), u AS (SELECT *, unnest(range(c0, c1 + 1)) AS i FROM bx), cells AS (SELECT poly_seq, label, i, unnest(range(a0, a1 + 1)) AS j FROM u), inside AS (SELECT poly_seq, label, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM cells WHERE i < 100 AND j < 100), burnt AS (SELECT i, j, arg_max(label, poly_seq) AS label FROM inside GROUP BY i, j)"
-_CLAIMS = f"{_CUBE}, k AS (SELECT cube_id, label FROM s WHERE label NOT IN (3, 6) OR cube_id % 4 = 0), f AS (SELECT cube_id, coalesce(min(label) FILTER (label BETWEEN 2 AND 5), 0) AS stratum FROM k GROUP BY cube_id)"
+_CLAIMS = f"{_CUBE}, k AS (SELECT cube_id, label FROM s), f AS (SELECT cube_id, coalesce(min(label) FILTER (label BETWEEN 2 AND 5), 0) AS stratum FROM k GROUP BY cube_id)"
 _RANKED = "SELECT *, row_number() OVER (PARTITION BY {1} ORDER BY md5('42:' || {0}), {0}) - 1 AS pos, count(*) OVER (PARTITION BY {1}) AS n FROM {2}"
 _CUTS = "SELECT *, CASE WHEN floor(n * 0.8) = 0 OR floor(n * 0.9) = floor(n * 0.8) OR floor(n * 0.9) = n THEN n - 2 ELSE floor(n * 0.8) END AS a, CASE WHEN floor(n * 0.8) = 0 OR floor(n * 0.9) = floor(n * 0.8) OR floor(n * 0.9) = n THEN n - 1 ELSE floor(n * 0.9) END AS b FROM ranked"
 _NAMED = "CASE WHEN pos < a THEN 'train' WHEN pos < b THEN 'val' ELSE 'test' END AS split"
@@ -107,7 +107,7 @@ ORACLE = {
     "band_unpivot": f"WITH q AS ({X.RAW_SQL}) " + " UNION ALL ".join(f"SELECT image_id, i, '{b}' AS band, {b} AS value FROM q" for b in ("b2", "b3", "b4", "b8")),
     "aoi_naming": "SELECT DISTINCT aoi_id, CASE WHEN trim(name) <> '' THEN name ELSE 'aoi_' || aoi_id END AS label FROM aoi",
     "aoi_boxes": f"WITH {_POINTS} SELECT * FROM p",
-    "aoi_footprints": f"{_CAT}, {_POINTS} SELECT aoi_id, count(*) AS n_images, max(image_id) AS last_image FROM a JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax WHERE ts >= TIMESTAMP '2025-06-01' AND ts < TIMESTAMP '2025-07-01' GROUP BY aoi_id",
+    "aoi_footprints": f"{_CAT}, {_POINTS} SELECT aoi_id, count(*) AS n_images, max(image_id) AS last_image FROM a JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax GROUP BY aoi_id",
     "cubify": f"{_GRID} SELECT i // 16 * 3 + j // 16 AS cube_no, i % 16 AS r, j % 16 AS c, v FROM p, e WHERE (i // 16 + 1) * 16 <= h AND (j // 16 + 1) * 16 <= 50",
     "overlap_tiles": f"{_ORIGINS} SELECT oi, oj, count(*) AS n, sum(v) AS v, max(r) AS r, max(c) AS c FROM t GROUP BY oi, oj",
     "crop_rim": f"{_ORIGINS} SELECT i, j, count(*) AS n FROM t, e WHERE {_CROP} GROUP BY i, j",
@@ -119,7 +119,7 @@ ORACLE = {
     "shrink": f"{_GRID} SELECT i // 4 AS i, j // 4 AS j, {_r('avg(v)', 'v')} FROM p GROUP BY i // 4, j // 4",
     "rasterize_labels": f"WITH {_BURN} SELECT i, j, label FROM burnt",
     "rasterize_overlay": f"WITH {_BURN} SELECT i, j FROM burnt",
-    "label_combine": f"{_GRID}, {_BURN} SELECT p.i, p.j, CASE WHEN p.v % 7 = 0 THEN 0 ELSE coalesce(b.label, 1) END AS label FROM p LEFT JOIN burnt b ON b.i = p.i AND b.j = p.j WHERE p.i < 100",
+    "label_combine": f"{_GRID}, {_BURN} SELECT p.i, p.j, CASE WHEN p.v % 7 = 0 THEN 0 ELSE coalesce(b.label, 1) END AS label FROM p LEFT JOIN burnt b ON b.i = p.i AND b.j = p.j",
     "annotation_filter": "SELECT DISTINCT poly_seq, pest_species_code, labels FROM annotations WHERE capture_year = 2020 AND pest_species_code IN ('FPZ', 'KZH')",
     "confusion_counts": f"{_SEG} SELECT label, pred, count(*) AS n FROM s WHERE label <> 255 GROUP BY ALL",
     "class_metrics": f"{_SEG}, f AS (SELECT k, count(*) FILTER (label = k AND pred = k) AS tp, count(*) FILTER (pred = k) AS p, count(*) FILTER (label = k) AS a FROM s, (SELECT unnest(range(0, 6)) AS k) WHERE label <> 255 GROUP BY k), o AS (SELECT *, (tp + 1e-6) / (p + a - tp + 1e-6) AS iou, (tp + 1e-6) / (p + 1e-6) AS pre, (tp + 1e-6) / (a + 1e-6) AS rec FROM f) SELECT CAST(k AS INT) AS class, tp, p AS predicted, a AS actual, {_r('iou', 'iou')}, {_r('pre', 'precision')}, {_r('rec', 'recall')}, {_r('2 * pre * rec / (pre + rec + 1e-6)', 'f1')} FROM o",
@@ -172,4 +172,4 @@ ORACLE["ring_confidence"] = f"{_SEG}, o AS (SELECT CASE {_RING} WHEN 0 THEN 1 EL
 _MET = f"{_CAT}, {_POINTS}, f AS (SELECT a.*, aoi_id FROM a JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax)"
 ORACLE["training_selection"] = f"{_MET}, l AS (SELECT * FROM f WHERE cloud_pct >= 0 AND ts >= TIMESTAMP '2024-05-01' AND ts < TIMESTAMP '2024-08-01'), u AS (SELECT CAST(cc AS DOUBLE) AS cc FROM range(0, 21) x(cc)), nn AS (SELECT aoi_id, tile_id, cc, count(*) FILTER (cloud_pct < cc) AS n FROM l, u GROUP BY ALL), b AS (SELECT aoi_id, tile_id, coalesce(min(cc) FILTER (n >= 2), 20) AS rung FROM nn GROUP BY ALL) SELECT aoi_id, tile_id, image_id, rung FROM l JOIN b USING (aoi_id, tile_id) WHERE cloud_pct < rung QUALIFY row_number() OVER (PARTITION BY aoi_id, tile_id ORDER BY cloud_pct, ts, image_id) <= 2"
 ORACLE["prediction_selection"] = f"{_MET}, l AS (SELECT * FROM f WHERE ts >= TIMESTAMP '2024-07-22' AND ts < TIMESTAMP '2024-08-02' QUALIFY row_number() OVER (PARTITION BY aoi_id ORDER BY ts DESC, image_id DESC) <= 10) SELECT aoi_id, tile_id, image_id FROM l QUALIFY row_number() OVER (PARTITION BY aoi_id, tile_id ORDER BY ts DESC, image_id DESC) = 1"
-ORACLE["fordead_selection"] = f"{_CAT}, {_POINTS}, w AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts, image_id) AS nr FROM a WHERE ts >= TIMESTAMP '2024-08-01' AND ts < TIMESTAMP '2024-08-21') SELECT aoi_id, count(*) AS n, CAST(max(nr) AS INT) AS nr FROM w JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax GROUP BY aoi_id"
+ORACLE["fordead_selection"] = f"{_CAT}, {_POINTS}, w AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts, image_id) AS nr FROM a WHERE ts >= TIMESTAMP '2024-08-01' AND ts < TIMESTAMP '2024-08-01' + INTERVAL 730 DAY) SELECT aoi_id, count(*) AS n, CAST(max(nr) AS INT) AS nr FROM w JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax GROUP BY aoi_id"

@@ -96,3 +96,8 @@ def argmax(scores: Column) -> Column:
 def shown(value: Column, is_black: Column, fill: float) -> Column:
     """What a map shows: the value, or `fill` where nothing was recorded (a class of its own, or a probability or count)."""
     return F.when(is_black, F.lit(fill)).otherwise(value)
+
+
+def overlay(colors: Sequence[Column], where: Column, color: Sequence[float], alpha: float = 1.0) -> list[Column]:
+    """Color channels with `color` laid over them where the mask is true, mixed by alpha; null or false leaves them as they are."""
+    return [F.when(where, c * (1 - alpha) + F.lit(float(x)) * alpha).otherwise(c) for c, x in zip(colors, color, strict=True)]

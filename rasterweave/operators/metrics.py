@@ -195,6 +195,7 @@ def box_blur(image: DataFrame, value: str, height: int | Column, width: int | Co
     """keys, i, j, value: mean over k x k pixels, the edges mirrored; separable, so two window averages.
 
     height and width may be columns of the image (see tiling.extents). Columns are mirrored and averaged along the rows first, then rows along the columns. An even k reaches k / 2 back and k / 2 - 1 forward.
+    Pixels that the image lacks count for nothing.
     """
     back, forward = k // 2, (k - 1) // 2
 
@@ -202,7 +203,7 @@ def box_blur(image: DataFrame, value: str, height: int | Column, width: int | Co
         at = F.col(axis)
         copies = F.array(at, F.when(at < back, -1 - at), F.when(at >= extent - forward, extent * 2 - 1 - at))
         mirrored = df.select(*keys, "_h", "_w", other, F.explode(F.filter(copies, lambda x: x.isNotNull())).alias(axis), value)
-        mean = F.avg(value).over(Window.partitionBy(*keys, other).orderBy(axis).rowsBetween(-back, forward))
+        mean = F.avg(value).over(Window.partitionBy(*keys, other).orderBy(axis).rangeBetween(-back, forward))
         return mirrored.withColumn(value, mean).filter((F.col(axis) >= 0) & (F.col(axis) < extent)).select(*keys, "_h", "_w", "i", "j", value)
 
     size = [x.alias(n) if isinstance(x, Column) else F.lit(x).alias(n) for x, n in ((height, "_h"), (width, "_w"))]
@@ -223,6 +224,9 @@ def masked_batch_norm(pixels: DataFrame, bands: Sequence[str], eps: float = 1e-5
     return long.groupBy("band").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"), (1 / F.sqrt(F.var_pop("value") + eps)).alias("scale"))
 
 
-def running_update(old: Column, new: Column, weight: float = 0.9) -> Column:
-    """The running statistic after a batch; `weight` is that of the new value."""
-    return F.lit(weight) * new + F.lit(1 - weight) * old
+def running_metrics(log: DataFrame, per: Sequence[str], step: str, value: str) -> DataFrame:
+    """per, step, value, running_mean and best (the greatest so far) of a metric log, and is_best where a new best comes."""
+    upto = Window.partitionBy(*per).orderBy(step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*per).orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
+    out = log.select(*per, step, value, F.avg(value).over(upto).alias("running_mean"), F.max(value).over(upto).alias("best"), F.max(value).over(before).alias("_before"))
+    return out.withColumn("is_best", F.col(value).isNotNull() & (F.col("_before").isNull() | (F.col(value) > F.col("_before")))).drop("_before")

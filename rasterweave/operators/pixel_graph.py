@@ -352,11 +352,12 @@ def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 6
     return out.select(*keys, "i", "j", F.col("_v").alias(value), F.coalesce("name", "_run").alias("region"))
 
 
-def outlines(regions_of: DataFrame, value: str = "region", keys: Sequence[str] = ()) -> DataFrame:
+def outlines(regions_of: DataFrame, value: str = "region", keys: Sequence[str] = (), oriented: bool = False) -> DataFrame:
     """keys, value, x1, y1, x2, y2: the straight segments of the outline of every region, holes included.
 
     Cell (i, j) is the unit square from (j, i). A side between two cells belongs to the outline of each if they differ;
     sides on a line are joined to segments by gaps and islands. No region is gathered anywhere, however large it is.
+    oriented: each segment runs so that the region lies to its right (rows count downwards).
     """
     cells = regions_of.select(*keys, "i", "j", F.col(value).alias("_v"))
     row, column = Window.partitionBy(*keys, "i").orderBy("j"), Window.partitionBy(*keys, "j").orderBy("i")
@@ -372,4 +373,63 @@ def outlines(regions_of: DataFrame, value: str = "region", keys: Sequence[str] =
     joined = open_sides.withColumn("_g", F.col("at") - F.row_number().over(along)).groupBy(*keys, "_v", "h", "line", "n", "_g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
     x = lambda end: F.when(F.col("h"), F.col(end)).otherwise(F.col("line"))
     y = lambda end: F.when(F.col("h"), F.col("line")).otherwise(F.col(end))
-    return joined.select(*keys, F.col("_v").alias(value), x("a").alias("x1"), y("a").alias("y1"), x("b").alias("x2"), y("b").alias("y2"))
+    back = F.col("n").isin("down", "left") if oriented else F.lit(False)
+    first, second = (F.when(back, F.col(p)).otherwise(F.col(q)) for p, q in (("b", "a"), ("a", "b")))
+    joined = joined.withColumns({"_p": first, "_q": second})
+    return joined.select(*keys, F.col("_v").alias(value), x("_p").alias("x1"), y("_p").alias("y1"), x("_q").alias("x2"), y("_q").alias("y2"))
+
+
+def trace_rings(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[int, int]]]:
+    """Closed rings (first vertex repeated) of oriented segments, the outer one first.
+
+    Where two rings meet in a corner each keeps to its own cell, that is the sharpest turn to the right. Straight runs
+    become one side. The outer ring encloses the others, so it has the greatest area.
+    """
+    out: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
+    for x1, y1, x2, y2 in sorted(segments):
+        out[x1, y1].append((x2, y2))
+    rings = []
+    for start in sorted(out):
+        while out[start]:
+            ring, at, went = [start], start, None
+            while True:
+                turns = out[at]
+                if went is None or len(turns) == 1:
+                    to = turns[0]
+                else:  # rows count downwards, so a positive cross product is a turn to the right
+                    to = max(turns, key=lambda p: went[0] * (p[1] - at[1]) - went[1] * (p[0] - at[0]))
+                turns.remove(to)
+                went = ((to[0] > at[0]) - (to[0] < at[0]), (to[1] > at[1]) - (to[1] < at[1]))
+                at = to
+                ring.append(at)
+                if at == start:
+                    break
+            rings.append(ring)
+    area = lambda r: abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(r, r[1:], strict=False)))
+    return sorted(rings, key=area, reverse=True)
+
+
+def region_polygons(regions_of: DataFrame, value: str = "region", keys: Sequence[str] = ()) -> DataFrame:
+    """keys, value, rings: every region as one polygon, an array of closed rings of struct<x, y>, the outer one first, then its holes.
+
+    A region's outline, never its cells, goes to one task and becomes one value, as the result asks.
+    """
+    segments = outlines(regions_of, value, keys, oriented=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rings = trace_rings(list(zip(pdf["x1"].tolist(), pdf["y1"].tolist(), pdf["x2"].tolist(), pdf["y2"].tolist(), strict=True)))
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, value]}, "rings": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]]})
+
+    kinds = ", ".join(f"`{k}` {regions_of.schema[k].dataType.simpleString()}" for k in [*keys, value])
+    return segments.groupBy(*keys, value).applyInPandas(run, kinds + ", rings array<array<struct<x: double, y: double>>>")
+
+
+def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:
+    """keys, modularity of a partition of the pixels of each scene."""
+    one = partition.select(*keys, "i", "j", F.col("cluster_id").alias("a"))
+    two = partition.select(*keys, F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("cluster_id").alias("b"))
+    met = edges.join(one, [*keys, "i", "j"]).join(two, [*keys, "i2", "j2"])
+    half = F.explode(F.array(*[F.struct(F.col(c).alias("k"), F.when(F.col("a") == F.col("b"), F.col("weight") / 2).otherwise(0.0).alias("own"), F.col("weight").alias("w")) for c in ("a", "b")]))
+    per = met.select(*keys, half.alias("h")).groupBy(*keys, "h.k").agg(F.sum("h.own").alias("own"), F.sum("h.w").alias("w"))
+    sums = per.groupBy(*keys).agg(F.sum("own").alias("own"), F.sum(F.col("w") * F.col("w")).alias("squares"), (F.sum("w") / 2).alias("total"))
+    return sums.select(*keys, (F.try_divide(F.col("own"), F.col("total")) - resolution * F.try_divide(F.col("squares"), 4 * F.col("total") * F.col("total"))).alias("modularity"))

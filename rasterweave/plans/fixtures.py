@@ -87,6 +87,22 @@ def rectangles(spark: SparkSession, d: str) -> DataFrame:
     return box.select("poly_seq", "label", F.array(corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1)).alias("geometry"))
 
 
+#: Three scenes of their own widths, dealt from the keys of orders.
+SCENE_WIDTH = "(40 + 10 * (o_orderkey % 3))"
+SCENES = {"scene": "CAST(o_orderkey % 3 AS INT)", "i": f"CAST(floor(floor(o_orderkey / 3) / {SCENE_WIDTH}) AS INT)", "j": f"CAST(floor(o_orderkey / 3) % {SCENE_WIDTH} AS INT)", "v": GRID["v"], "k": GRID["k"]}
+
+
+def scene_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return _select(read(spark, d, "orders"), SCENES)
+
+
+def scene_series(spark: SparkSession, d: str) -> DataFrame:
+    """series() twice, as two scenes; the second is turned upside down."""
+    both = F.explode(F.array(F.struct(F.lit(0).alias("scene"), F.col("v").alias("v")), F.struct(F.lit(1).alias("scene"), (-F.col("v")).alias("v"))))
+    rows = series(spark, d)
+    return rows.withColumn("_s", both).select("_s.scene", "i", "j", "t", "c", "_s.v", "date")
+
+
 # --- the same inputs in SQL -------------------------------------------------
 
 _named = lambda *groups: ", ".join(f"{e} AS {c}" for g in groups for c, e in g.items())
@@ -95,6 +111,7 @@ SEG_SQL = f"SELECT {_named(SEG)} FROM lineitem"
 SCORED_SQL = f"SELECT row_number() OVER () AS row, l_orderkey AS image_id, l_linenumber AS i, {SEG['label']} AS label, [{', '.join(SCORES)}] AS scores FROM lineitem"
 CUBE_SQL = f"SELECT {_named({k: SEG[k] for k in ('cube_id', 'r', 'c')})}, CAST(l_partkey % 7 AS INT) AS label, {_named(RAW)} FROM lineitem"
 GRID_SQL = f"SELECT {_named(GRID)} FROM orders"
+SCENES_SQL = f"SELECT {_named(SCENES)} FROM orders"
 SERIES_SQL = "SELECT CAST(vec_id // 25 AS INT) AS i, CAST(vec_id % 25 AS INT) AS j, CAST((k - 1) // 8 AS INT) AS t, CAST((k - 1) % 8 AS INT) AS c, CASE WHEN vec_id % 7 <> (k - 1) // 8 THEN CAST(e AS DOUBLE) END AS v, DATE '2022-01-01' + CAST(15 * ((k - 1) // 8) AS INT) AS date FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS k FROM embeddings)"
 PARTITION_SQL = "SELECT g AS grid, CAST(CASE WHEN g = 0 THEN label ELSE (label + vec_id // 25) % 10 END AS BIGINT) AS cluster_id, CAST(vec_id // 25 AS INT) AS i, CAST(vec_id % 25 AS INT) AS j FROM embeddings, (VALUES (0), (1)) AS grids(g)"
 TILE_SQL = "CASE WHEN regexp_replace(upper(tile_id), '[^A-Z0-9]', '', 'g') <> '' THEN lpad(regexp_replace(regexp_replace(upper(tile_id), '[^A-Z0-9]', '', 'g'), '^T([0-9]{1,2}[A-Z]{3})$', '\\1'), 5, '0') END"

@@ -15,6 +15,8 @@ from rasterweave.operators import inference, labels, metrics, pixel_graph, split
 from rasterweave.operators import series as S
 from rasterweave.plans import fixtures as X
 from rasterweave.plans import pipelines
+from rasterweave.session import shared_folder
+from rasterweave.sources import files
 from rasterweave.sources.params import FordeadRequest, PredictionRequest, TrainingRequest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,7 +103,7 @@ def band_normalize(s, d):
 @query
 def band_denormalize(s, d):
     norm = X.raw_pixels(s, d).select(*PIXEL, *[B.normalize(F.col(b.lower()), *p).alias(b.lower()) for b, p in B.BANDS.items()])
-    return norm.select(*PIXEL, *[fixed(B.denormalize(F.col(b), *B.BANDS[b.upper()])).alias(b) for b in ("b2", "b8a", "b12")])
+    return norm.select(*PIXEL, *[fixed(B.denormalize(F.col(b), *B.BANDS[b.upper()])).alias(b) for b in X.BAND_COLUMNS])
 
 
 @query
@@ -111,7 +113,7 @@ def vegetation_indices(s, d):
 
 @query
 def index_values(s, d):
-    return X.raw_pixels(s, d).select(*PIXEL, *[F.round(B.index_value(n), 6).alias(n.lower()) for n in ("NDVI", "NDWI", "CVI", "DRS")])
+    return X.raw_pixels(s, d).select(*PIXEL, *[B.index_value(n).cast("float").alias(n.lower()) for n in B.INDICES])
 
 
 @query
@@ -171,7 +173,7 @@ def multi_class_code(s, d):
 @query
 def standardize(s, d):
     stats = metrics.channel_stats(X.cube_pixels(s, d), X.BAND_COLUMNS)
-    long = X.cube_pixels(s, d).unpivot(["cube_id", "r", "c"], ["b4", "b8"], "band", "value")
+    long = X.cube_pixels(s, d).unpivot(["cube_id", "r", "c"], X.BAND_COLUMNS, "band", "value")
     return long.join(F.broadcast(stats), "band").select("cube_id", "r", "c", "band", F.round(M.standardized(F.col("value"), F.col("mean"), F.col("std")), 5).alias("z"))  # one row per band
 
 
@@ -235,7 +237,7 @@ def image_mask_join(s, d):
 
 @query
 def band_unpivot(s, d):
-    return C.unpivot_bands(X.raw_pixels(s, d).select("image_id", "i", "b2", "b3", "b4", "b8"), PIXEL, ["b2", "b3", "b4", "b8"])
+    return C.unpivot_bands(X.raw_pixels(s, d).drop("scl"), PIXEL, X.BAND_COLUMNS)
 
 
 @query
@@ -478,7 +480,7 @@ def random_split(s, d):
 @query
 def remaining_cubes(s, d):
     cubes = X.seg_pixels(s, d).select("cube_id").distinct()
-    taken = splitting.stratified_split(_claims(s, d)).filter("stratum IN (2, 3)")
+    taken = splitting.stratified_split(_claims(s, d)).filter("split = 'train'")
     return splitting.not_in(cubes, taken, "cube_id")
 
 
@@ -501,7 +503,7 @@ def zone_pixel_roundtrip(s, d):
 
 @query
 def zone_kmeans(s, d):
-    return zones.zone_partition(S.historical_window(X.series(s, d), channels=[7]))
+    return zones.zone_partition(X.series(s, d))
 
 
 @query
@@ -544,8 +546,10 @@ def cluster_adjacency(s, d):
 
 @query
 def centroid_distance(s, d):
-    centroids = S.cluster_statistics(S.clustered(S.historical_window(X.series(s, d), channels=[2]), _first_grid(s, d))).select("cluster_id", "t", "centroid")
-    return pixel_graph.centroid_distances(centroids, pixel_graph.cluster_adjacency(_graph(s, d), _first_grid(s, d))).select("a", "b", *r6("distance"))
+    centroids = S.cluster_statistics(S.clustered(X.series(s, d), _first_grid(s, d))).select("c", "cluster_id", "t", "centroid")
+    pairs = pixel_graph.cluster_adjacency(_graph(s, d), _first_grid(s, d))
+    channels = centroids.select("c").distinct()
+    return pixel_graph.centroid_distances(centroids, pairs.withColumn("c", F.explode(F.lit(list(range(8))))).join(F.broadcast(channels), "c"), ["c"]).select("c", "a", "b", *r6("distance"))  # eight channels
 
 
 @query
@@ -567,13 +571,13 @@ def connected_components(s, d):
 
 @query
 def region_sizes(s, d):
-    found = pixel_graph.regions(X.grid_pixels(s, d).filter("k <> 2"), "k")
+    found = pixel_graph.regions(X.grid_pixels(s, d), "k")
     return found.groupBy("region", "k").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("i0"), F.max("i").alias("i1"), F.min("j").alias("j0"), F.max("j").alias("j1"))
 
 
 @query
 def region_outlines(s, d):
-    return pixel_graph.outlines(pixel_graph.regions(X.grid_pixels(s, d).filter("k <> 2"), "k"))
+    return pixel_graph.outlines(pixel_graph.regions(X.grid_pixels(s, d), "k"))
 
 
 # --- models and pipelines ---------------------------------------------------
@@ -605,12 +609,12 @@ def ring_confidence(s, d):
 
 @query
 def dieback_by_zones(s, d):
-    return pipelines.detect_dieback(S.historical_window(X.series(s, d), channels=[1, 7]), "2022-04-16")
+    return pipelines.detect_dieback(X.series(s, d), "2022-04-16")
 
 
 @query
 def dieback_by_graph(s, d):
-    return pipelines.detect_dieback(S.historical_window(X.series(s, d), channels=[1, 7]), "2022-04-16", method="graph", resolution=2.0)
+    return pipelines.detect_dieback(X.series(s, d), "2022-04-16", method="graph", resolution=2.0)
 
 
 def _aoi(s, d):
@@ -633,3 +637,208 @@ def prediction_selection(s, d):
 def fordead_selection(s, d):
     request = FordeadRequest(d, 2560, "2024-08-01")
     return pipelines.select_for_fordead(X.catalog(s, d), _aoi(s, d), request).groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), F.max("nr").alias("nr"))
+
+
+# --- many scenes in one plan ------------------------------------------------
+
+SCENE = ["scene"]
+
+
+@query
+def image_extent(s, d):
+    return tiling.extents(X.scene_pixels(s, d), SCENE)
+
+
+def _sized(s, d):
+    return tiling.with_extents(X.scene_pixels(s, d), SCENE)
+
+
+@query
+def scene_cubes(s, d):
+    return tiling.cubify(_sized(s, d), F.col("height"), F.col("width"), 16).select("scene", "cube_no", "r", "c", "v")
+
+
+@query
+def scenes_merged(s, d):
+    h, w = F.col("height"), F.col("width")
+    tiles = _probabilities(tiling.overlap_tiles(_sized(s, d), h, w, 16, 6))
+    return inference.merge_tiles(tiles, h, w, 16, 2, 2, SCENE).select("scene", "i", "j", "pred", *r6("best"))
+
+
+@query
+def scenes_predicted(s, d):
+    p = X.scene_pixels(s, d).withColumn("w", F.col("v") % 7)
+    return inference.predict_scenes(p, SCENE, ["v", "w"], _stub, 16, 6, 2, classes=3).select("scene", "i", "j", "pred", *r6("best"))
+
+
+@query
+def scene_regions(s, d):
+    return pixel_graph.regions(X.scene_pixels(s, d), "k", keys=SCENE).select("scene", "i", "j", "k", "region")
+
+
+@query
+def scene_labels(s, d):
+    polygons = X.rectangles(s, d).withColumn("scene", F.col("poly_seq") % 3)
+    return labels.labelled(X.scene_pixels(s, d), labels.burnt(polygons, "geometry", "label", "poly_seq", (100, 100), SCENE), F.col("v") % 7 == 0, SCENE).select("scene", "i", "j", "label")
+
+
+@query
+def scene_blur(s, d):
+    return metrics.box_blur(_sized(s, d), "v", F.col("height"), F.col("width"), keys=SCENE).select("scene", "i", "j", *r6("v"))
+
+
+@query
+def scenes_dieback(s, d):
+    part = X.partition(s, d).withColumn("scene", F.explode(F.lit([0, 1])))
+    return S.predict_dieback(X.scene_series(s, d), part, "2022-04-16", 90, keys=SCENE)
+
+
+@query
+def large_clusters(s, d):
+    """The same dieback with medians found by ranks."""
+    return S.predict_dieback(X.series(s, d), X.partition(s, d), "2022-04-16", 90, large=True)
+
+
+# --- polygons, overlays, sets, logs ------------------------------------------
+
+
+@query
+def region_polygons(s, d):
+    """Every region's polygon: its rings, the area within them, and how many there are."""
+    found = pixel_graph.region_polygons(pixel_graph.regions(X.grid_pixels(s, d), "k"))
+    cross = lambda ring: F.aggregate(F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring)), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]), F.lit(0.0), lambda x, y: x + y)
+    area = F.aggregate("rings", F.lit(0.0), lambda x, r: x + cross(r)) / 2
+    return found.select("region", F.size("rings").alias("n_rings"), area.alias("area"))
+
+
+@query
+def cloud_overlay(s, d):
+    out = M.overlay([F.col("b4"), F.col("b3"), F.col("b2")], M.cloudy(F.col("scl")) == 1, (255, 0, 255), 0.5)
+    return X.raw_pixels(s, d).select(*PIXEL, *[c.alias(n) for c, n in zip(out, ("red", "green", "blue"), strict=True)])
+
+
+@query
+def clipped_pixels(s, d):
+    """Image centres as pixels, clipped to the tiles' footprints as areas."""
+    tiles = X.read(s, d, "s2_tiles").select(F.col("tile_id").alias("aoi_id"), "geometry")
+    centres = X.catalog(s, d).select("image_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+    return pipelines.clip(centres, tiles, "x", "y").groupBy("aoi_id").agg(F.count(F.lit(1)).alias("n"), F.max("image_id").alias("last"))
+
+
+@query
+def batch_loader(s, d):
+    return tiling.batches(X.read(s, d, "orders").select("o_orderkey"), "o_orderkey", 12).groupBy("batch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def concat_sets(s, d):
+    split = splitting.ranked_split(X.read(s, d, "orders").select("o_orderkey"), "o_orderkey")
+    train, test = split.filter("split = 'train'"), split.filter("split = 'test'").drop("split")
+    return tiling.concat_sets(train, test)
+
+
+@query
+def running_metrics(s, d):
+    cents = F.round(F.col("o_totalprice").cast("double") * 100).cast("long")  # whole, so that sums are exact in any order
+    log = X.read(s, d, "orders").select("o_custkey", "o_orderkey", cents.alias("v"))
+    return metrics.running_metrics(log, ["o_custkey"], "o_orderkey", "v").drop("v")
+
+
+@query
+def combined_classes(s, d):
+    """120 classes: severity and combination of the annotations of a year, combinations from the annotations of the year before."""
+    rows = one_row_per_id(X.read(s, d, "annotations"), "poly_seq", "capture_year", "pest_severity_code", "pest_species_code", "tree_species_code")
+    code = lambda c: F.upper(F.trim(c))
+    combos = rows.filter("capture_year = 2019").groupBy(code("tree_species_code").alias("tree"), code("pest_species_code").alias("pest")).agg((F.min("poly_seq") % 50).alias("combo"))
+    kept = labels.annotations_of(rows, 2020, ["FPZ"], 120)
+    return pipelines.annotation_classes(kept, 120, _steps(s, d, 2), combos).select("poly_seq", F.col("label").cast("long").alias("label"))
+
+
+# --- files: written, read back ------------------------------------------------
+
+
+def _folder(s) -> str:
+    import uuid
+
+    return f"{shared_folder(s)}/{uuid.uuid4().hex}".removeprefix("file:")
+
+
+@query
+def npy_files(s, d):
+    folder = _folder(s)
+    files.write_npy(X.scene_pixels(s, d).withColumn("channel", F.lit(0)), folder, "scene", dtype="float64")
+    back = files.chunk_pixels(files.read_rasters(s, folder, chunk=32)).filter("v IS NOT NULL")
+    return back.select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("int").alias("scene"), "i", "j", "v")
+
+
+@query
+def dated_series(s, d):
+    folder = _folder(s)
+    files.write_npy(X.series(s, d).select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.col("c").alias("channel"), "i", "j", "v"), folder, "date", dtype="float64")
+    return files.read_series(s, folder, n_bands=8, scale=2).filter("v IS NOT NULL").select("i", "j", "t", "c", *r6("v"), "date")
+
+
+@query
+def polygon_files(s, d):
+    folder = _folder(s)
+    polygons = X.rectangles(s, d).withColumn("rings", F.array(F.concat("geometry", F.slice("geometry", 1, 1))))
+    files.write_geojson(polygons, folder, "rings", ["poly_seq", "label"])
+    lines = s.read.text(folder)
+    collection = lines.select(F.format_string('{"features": [%s]}', "value").alias("value"))
+    collection.write.text(f"{folder}-c")
+    back = files.read_geojson(s, f"{folder}-c", lines=True)
+    return back.select(F.col("properties")["poly_seq"].cast("long").alias("poly_seq"), F.col("properties")["label"].cast("int").alias("label"), F.array_min(F.transform("geometry", lambda v: v["x"])).alias("x0"), F.array_max(F.transform("geometry", lambda v: v["y"])).alias("y1"), F.size("geometry").alias("n"))
+
+
+@query
+def layout_files(s, d):
+    folder = _folder(s)
+    kept = X.catalog(s, d).filter("ts IS NOT NULL").select("image_id", "tile_id", F.to_date("ts").alias("date"), "cloud_pct").withColumn("date", F.date_trunc("year", "date").cast("date"))
+    files.save(kept, folder, "train")
+    return s.read.parquet(folder).groupBy("tile_id", "date").agg(F.count(F.lit(1)).alias("n"), F.max("image_id").alias("last"))
+
+
+# --- invariants of what SQL cannot compute ------------------------------------
+
+
+@query
+def zone_kmeans_check(s, d):
+    """Zones of the partition: their pixels, and whether each has 1 to 10 clusters, none of a single pixel beside others."""
+    part = zones.overlap_zones(zones.zone_partition(X.series(s, d)).withColumnRenamed("grid", "g")).filter("grid = g")
+    per = part.groupBy("grid", "zi", "zj", "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    one = per.groupBy("grid", "zi", "zj").agg(F.sum("n").alias("n"), (F.count(F.lit(1)).between(1, 10) & ((F.min("n") > 1) | (F.count(F.lit(1)) == 1))).alias("good"))
+    return one.select("grid", "zi", "zj", "n", "good")
+
+
+@query
+def louvain_check(s, d):
+    """Pixels of the partition, each once, and whether its modularity is above that of the given clusters and of one cluster."""
+    edges = _graph(s, d)
+    part = pixel_graph.louvain_partition(edges, _pixels(s, d), resolution=2.0)
+    own = pixel_graph.modularity(edges, part, 2.0).select(F.col("modularity").alias("m"))
+    given = pixel_graph.modularity(edges, _first_grid(s, d), 2.0).select(F.col("modularity").alias("g"))
+    counts = part.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i", "j").alias("n_distinct"))
+    return counts.withColumn("better", F.lit(own.first()["m"] > max(given.first()["g"], -1.0)))  # one number each
+
+
+@query
+def small_clusters_check(s, d):
+    """After the merge: the pixels, and the clusters of fewer than 8 of them that have a neighbour."""
+    edges = _graph(s, d)
+    part = pixel_graph.louvain_partition(edges, _pixels(s, d), resolution=20.0)
+    centroids = S.cluster_statistics(S.clustered(X.series(s, d), part)).select("grid", "cluster_id", "t", "c", "centroid")
+    merged = pixel_graph.merge_small_clusters(edges, part, centroids)
+    small = merged.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).filter("n < 8").select(F.col("cluster_id").alias("a"))
+    pairs = pixel_graph.cluster_adjacency(edges, merged)
+    both = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
+    left = small.join(both, "a", "left_semi").agg(F.count(F.lit(1)).alias("left")).scalar()
+    return merged.agg(F.count(F.lit(1)).alias("n_pixels"), F.max(left).alias("n_left"))
+
+
+@query
+def dieback_check(s, d):
+    """Pixels found by zones and by graph lie in the image, and n and degree agree."""
+    found = [pipelines.detect_dieback(X.series(s, d), "2022-04-16", method=m, **how).withColumn("method", F.lit(m)) for m, how in (("zones", {}), ("graph", {"resolution": 2.0}))]
+    rows = found[0].unionByName(found[1]).join(_pixels(s, d).withColumn("known", F.lit(True)), ["i", "j"], "left")
+    bad = F.col("known").isNull() | (F.col("n") < 1) | (F.col("n") > F.when(F.col("method") == "zones", 2).otherwise(1)) | ((F.col("n") == 2) != (F.col("degree") == "flagged"))
+    return rows.groupBy("method").agg(F.sum(bad.cast("int")).alias("n_bad"), (F.count(F.lit(1)) > 0).alias("some"))

@@ -81,9 +81,9 @@ ORACLE = {
     "predict_dieback": f"{_DEV} {_DEGREE.format(3)}".replace(f"WITH s AS ({X.SERIES_SQL})", f"WITH s AS (SELECT * FROM ({X.SERIES_SQL}) WHERE date BETWEEN DATE '2022-04-16' - 90 AND DATE '2022-04-16')"),
     "cluster_medians": f"{_SERIES} SELECT date, grid, cluster_id, c, {_r('median(v)', 'median')} FROM r GROUP BY date, grid, cluster_id, c",
     "band_normalize": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_norm(b), b, 8) for b in _P)} FROM p",
-    "band_denormalize": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_DENORM[b], b) for b in ('b2', 'b8a', 'b12'))} FROM p",
+    "band_denormalize": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_DENORM[b], b) for b in _P)} FROM p",
     "vegetation_indices": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_scaled(n), n) for n in _I)} FROM p",
-    "index_values": f"{_RAWD} SELECT image_id, i, {', '.join(_r(_I[n][0], n) for n in ('ndvi', 'ndwi', 'cvi', 'drs'))} FROM p",
+    "index_values": f"{_RAWD} SELECT image_id, i, {', '.join(f'CAST({_I[n][0]} AS REAL) AS {n}' for n in _I)} FROM p",
     "final_bands": f"{_RAWD} SELECT image_id, i, {', '.join(_fixed(_norm(b), b + '_norm', 8) for b in _P)}, {', '.join(_fixed(_scaled(n), n, 8) for n in _I)} FROM p",
     "cr_swir": f"{_RAWD}, n AS (SELECT image_id, i, {_DENORM['b8a']} AS x, {_DENORM['b11']} AS y, {_DENORM['b12']} AS z FROM p) SELECT image_id, i, {_r('90 * y / nullif(x + 749.0::DOUBLE * (z - x) / 1336, 0)', 'cr_swir')} FROM n",
     "rescale": f"{_RAWD} SELECT image_id, i, {_r(_norm('b8') + ' / 255', 'v')} FROM p",
@@ -93,7 +93,7 @@ ORACLE = {
     "binary_labels": f"{_SEG} SELECT cube_id, r, c, {_BIN.format('label')} AS label FROM s",
     "severity_class": f"SELECT p_partkey, m.step + 2 AS k FROM part LEFT JOIN severity_map m ON m.n_steps = 4 AND m.severity = {X.SEVERITY_OF_SIZE}",
     "multi_class_code": f"WITH q AS (SELECT p_partkey, {X.SEVERITY_OF_SIZE} AS sev, p_brand AS pest, p_size % 5 AS tree FROM part), cm AS (SELECT p_brand AS pest, p_size % 5 AS tree, min(p_partkey % 50) AS combo FROM part WHERE p_partkey % 3 = 0 GROUP BY ALL) SELECT p_partkey, CAST(CASE WHEN sev IN ('G', 'H') THEN 0 WHEN combo IS NULL THEN 2 + step ELSE 4 + combo * 2 + step END AS BIGINT) AS k FROM q LEFT JOIN cm USING (pest, tree) LEFT JOIN (SELECT * FROM severity_map WHERE n_steps = 2) m ON m.severity = q.sev",
-    "standardize": f"{_CUBE}, l AS (SELECT cube_id, r, c, 'b4' AS band, b4 AS v, NOT ({_ALLBLACK}) AS seen FROM s UNION ALL SELECT cube_id, r, c, 'b8', b8, NOT ({_ALLBLACK}) FROM s), st AS (SELECT band, avg(v) FILTER (seen) AS m, stddev_pop(v) FILTER (seen) AS sd FROM l GROUP BY band) SELECT cube_id, r, c, band, round(CASE WHEN sd > 1e-10 THEN (v - m) / sd ELSE v - m END, 5) AS z FROM l JOIN st USING (band)",
+    "standardize": f"{_CUBE}, l AS ({' UNION ALL '.join(f"SELECT cube_id, r, c, '{b}' AS band, {b} AS v, NOT ({_ALLBLACK}) AS seen FROM s" for b in _P)}), st AS (SELECT band, avg(v) FILTER (seen) AS m, stddev_pop(v) FILTER (seen) AS sd FROM l GROUP BY band) SELECT cube_id, r, c, band, round(CASE WHEN sd > 1e-10 THEN (v - m) / sd ELSE v - m END, 5) AS z FROM l JOIN st USING (band)",
     "date_filter": f"{_CAT} SELECT image_id, tile_id, ts FROM a WHERE ts >= TIMESTAMP '2021-03-01' AND ts < TIMESTAMP '2021-09-01'",
     "cloud_filter": f"{_CAT} SELECT image_id, cloud_pct FROM a WHERE cloud_pct < 20",
     "clearest_image": f"{_CAT} SELECT tile_id, image_id FROM a WHERE cloud_pct < 20 AND ts >= TIMESTAMP '2021-01-01' AND ts < TIMESTAMP '2022-01-01' QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY cloud_pct, ts, image_id) = 1",
@@ -104,7 +104,7 @@ ORACLE = {
     "image_blackness": f"WITH q AS ({X.RAW_SQL}), f AS (SELECT image_id, 1 - count(*) FILTER (scl IN (4, 5)) / count(*) AS s FROM q GROUP BY image_id) SELECT image_id, {_r('s', 'black_share')} FROM f WHERE s <= 0.8",
     "fordead_window": f"{_CAT} SELECT tile_id, image_id, CAST(row_number() OVER (PARTITION BY tile_id ORDER BY ts, image_id) AS INT) AS nr FROM a WHERE ts >= TIMESTAMP '2020-06-01' AND ts < TIMESTAMP '2020-06-01' + INTERVAL 730 DAY",
     "image_mask_join": f"WITH q AS ({X.RAW_SQL}) SELECT image_id, max(b8) AS b8, count(*) FILTER (scl IN (3, 7, 8, 9, 10)) AS cloudy FROM q GROUP BY image_id",
-    "band_unpivot": f"WITH q AS ({X.RAW_SQL}) " + " UNION ALL ".join(f"SELECT image_id, i, '{b}' AS band, {b} AS value FROM q" for b in ("b2", "b3", "b4", "b8")),
+    "band_unpivot": f"WITH q AS ({X.RAW_SQL}) " + " UNION ALL ".join(f"SELECT image_id, i, '{b}' AS band, {b} AS value FROM q" for b in _P),
     "aoi_naming": "SELECT DISTINCT aoi_id, CASE WHEN trim(name) <> '' THEN name ELSE 'aoi_' || aoi_id END AS label FROM aoi",
     "aoi_boxes": f"WITH {_POINTS} SELECT * FROM p",
     "aoi_footprints": f"{_CAT}, {_POINTS} SELECT aoi_id, count(*) AS n_images, max(image_id) AS last_image FROM a JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax GROUP BY aoi_id",
@@ -142,7 +142,7 @@ ORACLE = {
     "masked_batch_norm": f"{_CUBE} " + " UNION ALL ".join(f"SELECT '{b}' AS band, round(avg({b}), 4) AS mean, round(var_pop({b}), 2) AS var, round(1 / sqrt(var_pop({b}) + 1e-5), 9) AS scale FROM s WHERE {b} <> 0" for b in _P),
     "stratified_split": f"{_CLAIMS}, ranked AS ({_RANKED.format('cube_id', 'stratum', 'f')}), cuts AS ({_CUTS}) SELECT cube_id, stratum, {_NAMED} FROM cuts",
     "random_split": f"WITH ranked AS ({_RANKED.format('o_orderkey', '1', 'orders')}), cuts AS ({_CUTS}) SELECT o_orderkey, {_NAMED} FROM cuts",
-    "remaining_cubes": f"{_CLAIMS} SELECT DISTINCT cube_id FROM s WHERE cube_id NOT IN (SELECT cube_id FROM f WHERE stratum IN (2, 3))",
+    "remaining_cubes": f"{_CLAIMS}, ranked AS ({_RANKED.format('cube_id', 'stratum', 'f')}), cuts AS ({_CUTS}) SELECT DISTINCT cube_id FROM s WHERE cube_id NOT IN (SELECT cube_id FROM cuts WHERE pos < a)",
     "overlap_zones": f"WITH g AS ({X.PARTITION_SQL}), p AS (SELECT i, j FROM g WHERE grid = 0) SELECT i, j, 0 AS grid, i // 10 * 10 AS zi, j // 10 * 10 AS zj FROM p UNION ALL SELECT i, j, 1, (i - 5) // 10 * 10 + 5, (j - 5) // 10 * 10 + 5 FROM p WHERE i >= 5 AND j >= 5",
     "zone_pixel_roundtrip": f"WITH g AS ({X.PARTITION_SQL}), p AS (SELECT i, j FROM g WHERE grid = 0), z AS (SELECT i, j, 0 AS grid, i // 10 * 10 AS zi, j // 10 * 10 AS zj FROM p UNION ALL SELECT i, j, 1, (i - 5) // 10 * 10 + 5, (j - 5) // 10 * 10 + 5 FROM p WHERE i >= 5 AND j >= 5) SELECT grid, zi, zj, (i - zi) * least(10, 25 - zj) + j - zj AS idx, i AS pi, j AS pj FROM z",
     "davies_bouldin": f"WITH l AS (SELECT label AS k, vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings), ce AS (SELECT k, p, avg(v) AS m FROM l GROUP BY ALL), di AS (SELECT k, vec_id, sqrt(sum((v - m) * (v - m))) AS d FROM l JOIN ce USING (k, p) GROUP BY ALL), sp AS (SELECT k, avg(d) AS s FROM di GROUP BY k), ap AS (SELECT a.k AS k, b.k AS k2, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM ce a JOIN ce b USING (p) WHERE a.k <> b.k GROUP BY ALL), ra AS (SELECT ap.k, max((x.s + y.s) / d) AS r FROM ap JOIN sp x ON x.k = ap.k JOIN sp y ON y.k = ap.k2 GROUP BY ap.k) SELECT {_r('avg(r)', 'score')} FROM ra",
@@ -151,16 +151,16 @@ ORACLE = {
     "pixel_neighbours": f"WITH g AS ({X.PARTITION_SQL}), p AS (SELECT i, j FROM g WHERE grid = 0), off AS (SELECT * FROM (VALUES (1, 0), (0, 1), (1, 1), (-1, 1)) AS o(di, dj)) SELECT a.i, a.j, b.i AS i2, b.j AS j2 FROM p a, off JOIN p b ON b.i = a.i + di AND b.j = a.j + dj",
     "pixel_graph_edges": f"{_VEC} SELECT i, j, i2, j2, {_r('weight', 'weight')} FROM edges",
     "cluster_adjacency": f"{_ADJ} SELECT a, b FROM adj",
-    "centroid_distance": f"{_ADJ}, m AS (SELECT cluster_id, t, median(v) AS x FROM r WHERE grid = 0 AND c = 2 GROUP BY ALL) SELECT adj.a, adj.b, {_r('sqrt(sum((x.x - y.x) * (x.x - y.x))) / count((x.x - y.x))', 'distance')} FROM adj JOIN m x ON x.cluster_id = adj.a JOIN m y ON y.cluster_id = adj.b AND y.t = x.t GROUP BY adj.a, adj.b",
+    "centroid_distance": f"{_ADJ}, m AS (SELECT cluster_id, c, t, median(v) AS x FROM r WHERE grid = 0 GROUP BY ALL) SELECT x.c, adj.a, adj.b, {_r('sqrt(sum((x.x - y.x) * (x.x - y.x))) / count((x.x - y.x))', 'distance')} FROM adj JOIN m x ON x.cluster_id = adj.a JOIN m y ON y.cluster_id = adj.b AND y.t = x.t AND y.c = x.c GROUP BY x.c, adj.a, adj.b",
 }
 
 _FLOOD = "WITH RECURSIVE p AS ({0}), f AS (SELECT i, j, k, i AS i2, j AS j2 FROM p UNION SELECT f.i, f.j, f.k, q.i, q.j FROM f JOIN p q ON q.k = f.k AND abs(q.i - f.i2) + abs(q.j - f.j2) = 1 AND q.i BETWEEN f.i2 - 1 AND f.i2 + 1 AND q.j BETWEEN f.j2 - 1 AND f.j2 + 1), m AS (SELECT i, j, k, min(CAST(i2 AS BIGINT) * 4294967296 + j2) AS region FROM f GROUP BY i, j, k)"
 ORACLE["connected_components"] = f"{_FLOOD.format(X.GRID_SQL)} SELECT i, j, k, region FROM m"
-ORACLE["region_sizes"] = f"{_FLOOD.format('SELECT * FROM (' + X.GRID_SQL + ') WHERE k <> 2')} SELECT region, k, count(*) AS n, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM m GROUP BY region, k"
+ORACLE["region_sizes"] = f"{_FLOOD.format(X.GRID_SQL)} SELECT region, k, count(*) AS n, min(i) AS i0, max(i) AS i1, min(j) AS j0, max(j) AS j1 FROM m GROUP BY region, k"
 
 _SIDES = ", ".join(f"({k})" for k in ("'up', -1, 0", "'down', 1, 0", "'left', 0, -1", "'right', 0, 1"))
 ORACLE["region_outlines"] = (
-    f"{_FLOOD.format('SELECT * FROM (' + X.GRID_SQL + ') WHERE k <> 2')}, d AS (SELECT * FROM (VALUES {_SIDES}) AS d(n, di, dj)), "
+    f"{_FLOOD.format(X.GRID_SQL)}, d AS (SELECT * FROM (VALUES {_SIDES}) AS d(n, di, dj)), "
     "s AS (SELECT m.region, n, CASE n WHEN 'up' THEN m.i WHEN 'down' THEN m.i + 1 WHEN 'left' THEN m.j ELSE m.j + 1 END AS line, CASE WHEN n IN ('up', 'down') THEN m.j ELSE m.i END AS at_ FROM m CROSS JOIN d LEFT JOIN m o ON o.i = m.i + di AND o.j = m.j + dj WHERE o.region IS DISTINCT FROM m.region), "
     "g AS (SELECT *, at_ - row_number() OVER (PARTITION BY region, n, line ORDER BY at_) AS g FROM s), e AS (SELECT region, n, line, min(at_) AS a, max(at_) + 1 AS b FROM g GROUP BY region, n, line, g) "
     "SELECT region, CASE WHEN n IN ('up', 'down') THEN a ELSE line END AS x1, CASE WHEN n IN ('up', 'down') THEN line ELSE a END AS y1, CASE WHEN n IN ('up', 'down') THEN b ELSE line END AS x2, CASE WHEN n IN ('up', 'down') THEN line ELSE b END AS y2 FROM e"
@@ -173,3 +173,34 @@ _MET = f"{_CAT}, {_POINTS}, f AS (SELECT a.*, aoi_id FROM a JOIN p ON xmin <= a_
 ORACLE["training_selection"] = f"{_MET}, l AS (SELECT * FROM f WHERE cloud_pct >= 0 AND ts >= TIMESTAMP '2024-05-01' AND ts < TIMESTAMP '2024-08-01'), u AS (SELECT CAST(cc AS DOUBLE) AS cc FROM range(0, 21) x(cc)), nn AS (SELECT aoi_id, tile_id, cc, count(*) FILTER (cloud_pct < cc) AS n FROM l, u GROUP BY ALL), b AS (SELECT aoi_id, tile_id, coalesce(min(cc) FILTER (n >= 2), 20) AS rung FROM nn GROUP BY ALL) SELECT aoi_id, tile_id, image_id, rung FROM l JOIN b USING (aoi_id, tile_id) WHERE cloud_pct < rung QUALIFY row_number() OVER (PARTITION BY aoi_id, tile_id ORDER BY cloud_pct, ts, image_id) <= 2"
 ORACLE["prediction_selection"] = f"{_MET}, l AS (SELECT * FROM f WHERE ts >= TIMESTAMP '2024-07-22' AND ts < TIMESTAMP '2024-08-02' QUALIFY row_number() OVER (PARTITION BY aoi_id ORDER BY ts DESC, image_id DESC) <= 10) SELECT aoi_id, tile_id, image_id FROM l QUALIFY row_number() OVER (PARTITION BY aoi_id, tile_id ORDER BY ts DESC, image_id DESC) = 1"
 ORACLE["fordead_selection"] = f"{_CAT}, {_POINTS}, w AS (SELECT *, row_number() OVER (PARTITION BY tile_id ORDER BY ts, image_id) AS nr FROM a WHERE ts >= TIMESTAMP '2024-08-01' AND ts < TIMESTAMP '2024-08-01' + INTERVAL 730 DAY) SELECT aoi_id, count(*) AS n, CAST(max(nr) AS INT) AS nr FROM w JOIN p ON xmin <= a_xmax AND a_xmin <= xmax AND ymin <= a_ymax AND a_ymin <= ymax GROUP BY aoi_id"
+
+_SC = f"WITH p AS ({X.SCENES_SQL}), e AS (SELECT scene, max(i) + 1 AS h, max(j) + 1 AS w FROM p GROUP BY scene)"
+_STARTS = lambda x: f"SELECT scene, unnest(range(0, {x} - 15, 10)) AS o FROM e UNION SELECT scene, {x} - 16 FROM e"
+_SCT = f"{_SC}, oi AS ({_STARTS('h')}), oj AS ({_STARTS('w')}), t AS (SELECT p.*, oi.o AS oi, oj.o AS oj, p.i - oi.o AS r, p.j - oj.o AS c FROM p JOIN oi ON oi.scene = p.scene AND p.i BETWEEN oi.o AND oi.o + 15 JOIN oj ON oj.scene = p.scene AND p.j BETWEEN oj.o AND oj.o + 15)"
+_SCROP = "((r >= 2 OR oi = 0) AND (r < 14 OR oi + 16 >= h) AND (c >= 2 OR oj = 0) AND (c < 14 OR oj + 16 >= w))"
+ORACLE["image_extent"] = f"{_SC} SELECT scene, CAST(h AS INT) AS height, CAST(w AS INT) AS width FROM e"
+ORACLE["scene_cubes"] = f"{_SC} SELECT scene, i // 16 * (w // 16) + j // 16 AS cube_no, i % 16 AS r, j % 16 AS c, v FROM p JOIN e USING (scene) WHERE (i // 16 + 1) * 16 <= h AND (j // 16 + 1) * 16 <= w"
+ORACLE["scenes_merged"] = f"{_SCT}, q AS (SELECT t.*, h, w, (v * 7 + oi + oj * 3) % 16 AS a FROM t JOIN e USING (scene)), m AS (SELECT scene, i, j, avg(a / 16) AS p0, avg(1 - a / 16) AS p1 FROM q WHERE {_SCROP} GROUP BY scene, i, j) SELECT scene, i, j, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS pred, {_r('greatest(p0, p1)', 'best')} FROM m"
+ORACLE["scenes_predicted"] = ORACLE["scene_prediction"].replace(_GRID, _SC).replace("SELECT i, j,", "SELECT scene, i, j,").replace("PARTITION BY i, j", "PARTITION BY scene, i, j")
+_SFLOOD = f"WITH RECURSIVE p AS ({X.SCENES_SQL}), f AS (SELECT scene, i, j, k, i AS i2, j AS j2 FROM p UNION SELECT f.scene, f.i, f.j, f.k, q.i, q.j FROM f JOIN p q ON q.scene = f.scene AND q.k = f.k AND abs(q.i - f.i2) + abs(q.j - f.j2) = 1 AND q.i BETWEEN f.i2 - 1 AND f.i2 + 1 AND q.j BETWEEN f.j2 - 1 AND f.j2 + 1)"
+ORACLE["scene_regions"] = f"{_SFLOOD} SELECT scene, i, j, k, min(CAST(i2 AS BIGINT) * 4294967296 + j2) AS region FROM f GROUP BY scene, i, j, k"
+ORACLE["scene_labels"] = f"{_SC}, {_BURN}, sb AS (SELECT poly_seq % 3 AS scene, i, j, arg_max(label, poly_seq) AS label FROM inside GROUP BY ALL) SELECT p.scene, p.i, p.j, CASE WHEN p.v % 7 = 0 THEN 0 ELSE coalesce(b.label, 1) END AS label FROM p LEFT JOIN sb b ON b.scene = p.scene AND b.i = p.i AND b.j = p.j"
+ORACLE["scene_blur"] = f"{_SC}, mi AS (SELECT scene, i AS x, j AS y, v FROM p UNION ALL SELECT scene, -1 - i, j, v FROM p WHERE i < 5 UNION ALL SELECT scene, 2 * h - 1 - i, j, v FROM p JOIN e USING (scene) WHERE i >= h - 4), mj AS (SELECT * FROM mi UNION ALL SELECT scene, x, -1 - y, v FROM mi WHERE y < 5 UNION ALL SELECT scene, x, 2 * w - 1 - y, v FROM mi JOIN e USING (scene) WHERE y >= w - 4), off AS (SELECT unnest(range(-5, 5)) AS o), rw AS (SELECT p.scene, mj.x, p.j, avg(mj.v) AS v FROM (SELECT scene, x, y AS j FROM mi) p, off oj, mj WHERE mj.scene = p.scene AND mj.x = p.x AND mj.y = p.j + oj.o GROUP BY ALL), a AS (SELECT p.scene, p.i, p.j, avg(rw.v) AS v FROM p, off oi, rw WHERE rw.scene = p.scene AND rw.x = p.i + oi.o AND rw.j = p.j GROUP BY ALL) SELECT scene, i, j, {_r('v', 'v')} FROM a"
+_TURNED = _DEV.replace(f"WITH s AS ({X.SERIES_SQL})", f"WITH s AS (SELECT i, j, t, c, {{0}}v AS v, date FROM ({X.SERIES_SQL}) WHERE date BETWEEN DATE '2022-04-16' - 90 AND DATE '2022-04-16')")
+ORACLE["scenes_dieback"] = " UNION ALL ".join(f"SELECT {k} AS scene, * FROM ({_TURNED.replace('{0}v', sign + 'v')} {_DEGREE.format(3)})" for k, sign in ((0, ""), (1, "-")))
+ORACLE["large_clusters"] = ORACLE["predict_dieback"]
+ORACLE["region_polygons"] = f"{_FLOOD.format(X.GRID_SQL)}, near AS (SELECT a.region, count(*) AS n FROM m a JOIN m b ON b.region = a.region AND ((b.i = a.i + 1 AND b.j = a.j) OR (b.i = a.i AND b.j = a.j + 1)) GROUP BY a.region), quads AS (SELECT a.region, count(*) AS n FROM m a JOIN m b ON b.region = a.region AND b.i = a.i + 1 AND b.j = a.j JOIN m c ON c.region = a.region AND c.i = a.i AND c.j = a.j + 1 JOIN m d ON d.region = a.region AND d.i = a.i + 1 AND d.j = a.j + 1 GROUP BY a.region), n AS (SELECT region, count(*) AS n FROM m GROUP BY region) SELECT n.region, CAST(2 - (n.n - coalesce(near.n, 0) + coalesce(quads.n, 0)) AS INT) AS n_rings, CAST(n.n AS DOUBLE) AS area FROM n LEFT JOIN near USING (region) LEFT JOIN quads USING (region)"
+ORACLE["cloud_overlay"] = f"WITH q AS ({X.RAW_SQL}) SELECT image_id, i, " + ", ".join(f"CASE WHEN scl IN (3, 7, 8, 9, 10) THEN {b} * 0.5::DOUBLE + {x}::DOUBLE ELSE CAST({b} AS DOUBLE) END AS {n}" for b, n, x in (("b4", "red", 127.5), ("b3", "green", 0.0), ("b2", "blue", 127.5))) + " FROM q"
+ORACLE["clipped_pixels"] = f"{_CAT}, tb AS (SELECT tile_id AS aoi_id, min(v.x) AS x0, max(v.x) AS x1, min(v.y) AS y0, max(v.y) AS y1 FROM (SELECT tile_id, unnest(geometry) AS v FROM s2_tiles) GROUP BY tile_id) SELECT aoi_id, count(*) AS n, max(image_id) AS last FROM a JOIN tb ON (xmin + xmax) / 2 BETWEEN x0 AND x1 AND (ymin + ymax) / 2 BETWEEN y0 AND y1 GROUP BY aoi_id"
+ORACLE["batch_loader"] = "WITH n AS (SELECT count(*) AS n FROM orders) SELECT CAST(b AS INT) AS batch, least(12, n - 12 * b) AS n FROM (SELECT n, unnest(range(0, CAST(ceil(n / 12) AS BIGINT))) AS b FROM n)"
+ORACLE["concat_sets"] = f"WITH ranked AS ({_RANKED.format('o_orderkey', '1', 'orders')}), cuts AS ({_CUTS}) SELECT o_orderkey, CASE WHEN pos < a THEN 'train' END AS split FROM cuts WHERE pos < a OR pos >= b"
+ORACLE["running_metrics"] = "WITH q AS (SELECT o_custkey, o_orderkey, CAST(round(CAST(o_totalprice AS DOUBLE) * 100) AS BIGINT) AS v FROM orders) SELECT o_custkey, o_orderkey, avg(v) OVER w AS running_mean, max(v) OVER w AS best, coalesce(v > max(v) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS is_best FROM q WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)"
+ORACLE["combined_classes"] = "WITH a AS (SELECT DISTINCT poly_seq, capture_year, upper(trim(pest_severity_code)) AS sev, upper(trim(pest_species_code)) AS pest, upper(trim(tree_species_code)) AS tree FROM annotations), cm AS (SELECT tree, pest, min(poly_seq) % 50 AS combo FROM a WHERE capture_year = 2019 GROUP BY ALL), k AS (SELECT poly_seq, CASE WHEN sev IN ('G', 'H') THEN 0 WHEN combo IS NULL THEN 2 + step ELSE 4 + combo * 2 + step END AS label FROM a LEFT JOIN cm USING (tree, pest) LEFT JOIN (SELECT * FROM severity_map WHERE n_steps = 2) m ON m.severity = a.sev WHERE capture_year = 2020) SELECT poly_seq, CAST(label AS BIGINT) AS label FROM k WHERE label IS NOT NULL"
+ORACLE["npy_files"] = f"SELECT scene, i, j, v FROM ({X.SCENES_SQL})"
+ORACLE["dated_series"] = f"WITH s AS ({X.SERIES_SQL}) SELECT i, j, t, c, {_r('v / 2', 'v')}, date FROM s WHERE v IS NOT NULL"
+ORACLE["polygon_files"] = f"SELECT poly_seq, label, CAST(x0 AS DOUBLE) AS x0, CAST(y0 + h AS DOUBLE) AS y1, 5 AS n FROM ({X.RECT_SQL})"
+ORACLE["layout_files"] = f"{_CAT} SELECT tile_id, CAST(date_trunc('year', ts) AS DATE) AS date, count(*) AS n, max(image_id) AS last FROM a WHERE ts IS NOT NULL GROUP BY ALL"
+ORACLE["zone_kmeans_check"] = f"SELECT grid, zi, zj, count(*) AS n, true AS good FROM ({ORACLE['overlap_zones']}) GROUP BY ALL"
+ORACLE["louvain_check"] = "SELECT count(*) AS n, count(*) AS n_distinct, true AS better FROM embeddings"
+ORACLE["small_clusters_check"] = "SELECT count(*) AS n_pixels, 0 AS n_left FROM embeddings"
+ORACLE["dieback_check"] = "SELECT unnest(['zones', 'graph']) AS method, 0 AS n_bad, true AS some"

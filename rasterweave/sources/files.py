@@ -336,3 +336,9 @@ def write_geojson(polygons: DataFrame, path: str, geometry: str, properties: Seq
     rings = F.transform(geometry, lambda ring: F.transform(ring, point))
     feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates")).alias("geometry"), F.struct(*properties).alias("properties"))
     polygons.select(F.to_json(feature).alias("value")).write.mode(mode).text(path)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder on any Hadoop file system; False if there was none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -103,3 +103,61 @@ def test_commands_end_to_end(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "o3")).select("cube_id").distinct().count() == 1
     cli.run(spark, ["visualize", "h5-cubes", "-s", str(tmp_path / "c.parquet"), "-d", str(tmp_path / "o4")])
     assert spark.read.parquet(str(tmp_path / "o4")).filter("page IS NULL").count() == 0
+
+
+PIXELS = "image_id long, i int, j int, scl int, " + ", ".join(f"{b} int" for b in NAMES)
+
+
+def test_acquisition_judges_pixels_and_writes_channels_in_its_layout(spark, tmp_path):
+    t = lambda day: f"2024-05-0{day} 10:00:00"
+    rows = [(k, t(k), tile, 1.0, 0.0, 0.0, 10.0, 10.0) for k, tile in ((1, "A"), (2, "A"), (3, "B"))]
+    spark.createDataFrame(rows, "image_id long, ts string, tile_id string, cloud_pct double, xmin double, ymin double, xmax double, ymax double").selectExpr("image_id", "cast(ts as timestamp_ntz) ts", "tile_id", "cloud_pct", "xmin", "ymin", "xmax", "ymax").write.parquet(str(tmp_path / "cat"))
+    areas(spark).write.parquet(str(tmp_path / "aoi"))
+    # Image 2 is under clouds, so it is dark once masked.
+    spark.createDataFrame([(k, i, i, 9 if k == 2 else 4, *[900] * 11) for k in (1, 2, 3) for i in range(3)], PIXELS).write.parquet(str(tmp_path / "px"))
+    common = ["-s", str(tmp_path / "aoi"), "--catalog", str(tmp_path / "cat"), "--before-date"]
+    cli.run(spark, ["load-data", "S2-predict", *common, "2024-05-04", "-d", str(tmp_path / "p1")])
+    assert {r["image_id"] for r in spark.read.parquet(str(tmp_path / "p1")).collect()} == {2, 3}
+    cli.run(spark, ["load-data", "S2-predict", *common, "2024-05-04", "-d", str(tmp_path / "p2"), "-f", "--pixels", str(tmp_path / "px")])
+    out = spark.read.parquet(str(tmp_path / "p2"))
+    assert {r["image_id"] for r in out.collect()} == {1, 3} and {"aoi", "tile_id", "date", "b1_norm", "ndvi", "cloud"} <= set(out.columns)
+    assert {p.name.split("=")[0] for p in (tmp_path / "p2").iterdir() if p.is_dir()} == {"aoi"}
+    cli.run(spark, ["load-data", "S2-fordead", *common, "2024-05-01", "-d", str(tmp_path / "p3"), "-f", "-t", "0.5", "--pixels", str(tmp_path / "px")])
+    long = spark.read.parquet(str(tmp_path / "p3"))
+    assert {r["image_id"] for r in long.collect()} == {1, 3} and long.select("band").distinct().count() == 11
+    with pytest.raises(ValueError):
+        cli.run(spark, ["load-data", "S2-predict", *common, "2024-05-04", "-d", str(tmp_path / "p4"), "-f"])
+    with pytest.raises(ValueError):
+        cli.run(spark, ["load-data", "S2-train", "-s", str(tmp_path / "aoi"), "--catalog", str(tmp_path / "cat"), "--start-date", "2024-05-01", "--end-date", "2024-05-08", "-d", str(tmp_path / "p5"), "--saving-location", "gcs"])
+
+
+def test_two_images_get_their_own_annotations_and_cubes(spark, tmp_path):
+    ring = lambda x, y: [{"x": x, "y": y}, {"x": x + 15.0, "y": y}, {"x": x + 15.0, "y": y - 15.0}, {"x": x, "y": y - 15.0}]
+    rows = [(1, ring(1002.0, 1998.0), 2020, "IBM", "B", "FI"), (2, ring(3012.0, 1988.0), 2020, "IBM", "C", "FI"), (3, ring(1002.0, 1998.0), 2019, "IBM", "B", "FI")]
+    spark.createDataFrame(rows, "poly_seq int, geometry array<struct<x: double, y: double>>, capture_year int, pest_species_code string, pest_severity_code string, tree_species_code string").write.parquet(str(tmp_path / "gdf"))
+    spark.createDataFrame([(4, "B", 0), (4, "C", 1), (2, "B", 0), (2, "C", 1)], "n_steps int, severity string, step int").write.parquet(str(tmp_path / "sev"))
+    spark.createDataFrame([("fi", "ibm", 3)], "tree string, pest string, combo int").write.parquet(str(tmp_path / "combo"))
+    spark.createDataFrame([(7, 1000.0, 2000.0, 10.0, 4, 4), (8, 3000.0, 2000.0, 10.0, 4, 6)], "image_id long, x0 double, y0 double, pixel double, height int, width int").write.parquet(str(tmp_path / "frames"))
+    spark.createDataFrame([(k, i, j, 4, *[900] * 11) for k, w in ((7, 4), (8, 6)) for i in range(4) for j in range(w)], PIXELS).write.parquet(str(tmp_path / "px"))
+    common = ["preprocess-data", "labelize", "-s", str(tmp_path / "px"), "-g", str(tmp_path / "gdf"), "-y", "2020", "--severity-map", str(tmp_path / "sev")]
+    with pytest.raises(ValueError):
+        cli.run(spark, [*common, "-n", "4", "-d", str(tmp_path / "l0")])
+    cli.run(spark, [*common, "-n", "4", "-d", str(tmp_path / "l1"), "--frames", str(tmp_path / "frames")])
+    got = {(r["image_id"], r["i"], r["j"]): r["label"] for r in spark.read.parquet(str(tmp_path / "l1")).collect()}
+    assert {k for k, v in got.items() if v != 1} == {(7, i, j) for i in (0, 1) for j in (0, 1)} | {(8, i, j) for i in (1, 2) for j in (1, 2)}
+    assert got[7, 0, 0] == 2 and got[8, 1, 1] == 3 and len(got) == 40
+    cli.run(spark, [*common, "-n", "120", "-d", str(tmp_path / "l2"), "--frames", str(tmp_path / "frames"), "--combinations", str(tmp_path / "combo")])
+    codes = {(r["image_id"], r["label"]) for r in spark.read.parquet(str(tmp_path / "l2")).collect()}
+    assert codes == {(7, 1), (8, 1), (7, 2 + 2 + 3 * 2 + 0), (8, 2 + 2 + 3 * 2 + 1)}
+    cli.run(spark, ["preprocess-data", "cubify", "-s", str(tmp_path / "l1"), "-d", str(tmp_path / "c"), "-c", "2"])
+    cubes = spark.read.parquet(str(tmp_path / "c" / "cubes"))
+    assert cubes.count() == 40 and cubes.select("cube_id").distinct().count() == 10 and cubes.select("cube_id", "r", "c").distinct().count() == 40
+    cli.run(spark, ["preprocess-data", "filter", "-s", str(tmp_path / "c" / "cubes"), "-d", str(tmp_path / "f"), "--delete-original"])
+    assert spark.read.parquet(str(tmp_path / "f")).count() == 40 and not (tmp_path / "c" / "cubes").exists()
+
+
+def test_clipping_by_polygon_and_by_buffer(spark):
+    p = spark.createDataFrame([(1, 1.0, 1.0), (1, 9.0, 1.0), (2, 50.0, 50.0), (2, None, 1.0)], "image_id long, x double, y double")
+    a = spark.createDataFrame([(1, [{"x": 0.0, "y": 0.0}, {"x": 10.0, "y": 10.0}, {"x": 0.0, "y": 10.0}]), (2, [{"x": 52.0, "y": 49.0}]), (3, None)], "aoi_id int, geometry array<struct<x: double, y: double>>")
+    assert [(r["x"], r["aoi_id"]) for r in pipelines.clip(p, a, "x", "y").collect()] == [(1.0, 1)]
+    assert sorted((r["x"], r["aoi_id"]) for r in pipelines.clip(p, a, "x", "y", 3).collect()) == [(1.0, 1), (9.0, 1), (50.0, 2)]

@@ -1,9 +1,11 @@
 import json
+import struct
 
 import numpy as np
 import pytest
 
 from rasterweave import cli
+from rasterweave.operators import pixel_graph
 from rasterweave.sources import files, params
 
 
@@ -88,3 +90,63 @@ def test_command_line_defaults():
     assert a.threshold == 0.8
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["load-data"])
+
+
+def test_npy_is_written_by_scene_and_read_back(spark, tmp_path):
+    rows = [("a b", c, i, j, None if (i, j) == (1, 1) else float(10 * i + j + c)) for c in range(2) for i in range(3) for j in range(4)] + [("z", 0, 0, 0, 5.0)]
+    df = spark.createDataFrame(rows, "scene string, channel int, i int, j int, v double")
+    assert [p.rsplit("/", 1)[1] for p in files.write_npy(df, str(tmp_path / "o"), "scene")] == ["a_b.npy", "z.npy"]
+    back = files.chunk_pixels(files.read_rasters(spark, str(tmp_path / "o"), chunk=2)).filter("path LIKE '%a_b.npy'")
+    assert {(r["channel"], r["i"], r["j"]): r["v"] for r in back.collect()} == {r[1:4]: r[4] for r in rows[:-1]}
+    files.write_npy(df, str(tmp_path / "u"), "scene", dtype="uint8")
+    assert np.load(tmp_path / "u" / "a_b.npy").dtype == np.uint8
+    assert files.write_npy(df.limit(0), str(tmp_path / "e"), "scene") == []
+
+
+def shp(shapes):
+    """A main file from (type, body) pairs."""
+    body = b"".join(struct.pack(">ii", k + 1, (4 + len(b)) // 2) + struct.pack("<i", t) + b for k, (t, b) in enumerate(shapes))
+    return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8) + body
+
+
+def polygon(*rings):
+    points = [p for r in rings for p in r]
+    starts = [sum(map(len, rings[:k])) for k in range(len(rings))]
+    return struct.pack("<4d", 0, 0, 0, 0) + struct.pack("<2i", len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + b"".join(struct.pack("<2d", *p) for p in points)
+
+
+def test_shapefiles_with_holes_parts_points_and_attributes(spark, tmp_path):
+    outer, hole, island = [(0, 0), (0, 9), (9, 9), (9, 0), (0, 0)], [(2, 2), (4, 2), (4, 4), (2, 4), (2, 2)], [(20, 0), (20, 5), (25, 5), (25, 0), (20, 0)]
+    (tmp_path / "a.shp").write_bytes(shp([(5, polygon(outer, hole, island)), (1, struct.pack("<2d", 3, 4)), (0, b"")]))
+    head = struct.pack("<BBBBIHH20x", 3, 0, 0, 0, 3, 32 + 32 + 1, 1 + 6) + b"code".ljust(11, b"\0") + b"C" + bytes(4) + bytes([6, 0]) + bytes(14) + b"\r"
+    (tmp_path / "a.dbf").write_bytes(head + b" IBM   " + b" x     " + b"       ")
+    rows = files.read_shapefile(spark, str(tmp_path)).collect()
+    got = [(r["number"], r["kind"], len(r["geometry"] or []), [len(h) for h in r["holes"]], r["properties"]["code"]) for r in rows]
+    assert got == [(1, "Polygon", 5, [5], "IBM"), (1, "Polygon", 5, [], "IBM"), (2, "Point", 1, [], "x"), (3, "Null", 0, [], None)]
+    assert files.read_shapefile(spark, str(tmp_path / "a.shp")).filter("kind = 'Point'").first()["geometry"][0]["y"] == 4.0
+    (tmp_path / "b.shp").write_bytes(shp([(3, polygon(outer))]))
+    with pytest.raises(Exception, match="unsupported shape type"):
+        files.read_shapefile(spark, str(tmp_path / "b.shp")).collect()
+
+
+def test_polygons_are_written_with_their_holes_and_read_back(spark, tmp_path):
+    cells = [(i, j, 1) for i in range(5) for j in range(5) if (i, j) not in ((1, 1), (2, 2), (3, 3))] + [(9, 9, 2)]
+    found = pixel_graph.regions(spark.createDataFrame(cells, "i int, j int, k int"), "k")
+    polygons = pixel_graph.region_polygons(found)
+    got = {r["region"]: [len(x) for x in r["rings"]] for r in polygons.collect()}
+    # The three holes meet in corners: one hole of the eight-neighbourhood.
+    assert got == {0: [5, 13], 9 * 2**32 + 9: [5]}
+    files.write_geojson(polygons, str(tmp_path / "g"), "rings", ["region"])
+    text = "".join(f'{{"features": [{line}]}}\n' for p in (tmp_path / "g").glob("part*") for line in p.read_text().splitlines())
+    (tmp_path / "c.json").write_text(text)
+    back = files.read_geojson(spark, str(tmp_path / "c.json"), lines=True).collect()
+    assert {(r["properties"]["region"], len(r["geometry"]), len(r["holes"])) for r in back} == {("0", 5, 1), (str(9 * 2**32 + 9), 5, 0)}
+
+
+def test_metric_log_and_description(spark, tmp_path):
+    for step in (1, 2):
+        files.log_metrics(spark.createDataFrame([("a", 0.5 * step, 3)], "class string, iou double, n int"), str(tmp_path / "log"), "run", step)
+    got = {(r["step"], r["name"], r["labels"]["class"]): r["value"] for r in spark.read.parquet(str(tmp_path / "log")).collect()}
+    assert got == {(1, "iou", "a"): 0.5, (2, "iou", "a"): 1.0, (1, "n", "a"): 3.0, (2, "n", "a"): 3.0}
+    files.describe(spark, str(tmp_path / "d"), size=3)
+    assert spark.read.text(str(tmp_path / "d")).first()[0] == '{"size": 3}'

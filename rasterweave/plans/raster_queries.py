@@ -480,10 +480,17 @@ def random_split(s, d):
 @query
 def remaining_cubes(s, d):
     cubes = X.seg_pixels(s, d).select("cube_id").distinct()
-    taken = splitting.stratified_split(_claims(s, d)).filter("split = 'train'")
+    taken = splitting.stratified_split(_claims(s, d)).filter("stratum IN (2, 3)")
     return splitting.not_in(cubes, taken, "cube_id")
 
 
+@query
+def leftover_cubes(s, d):
+    """The cubes outside the training set of the split."""
+    cubes = X.seg_pixels(s, d).select("cube_id").distinct()
+    return splitting.not_in(cubes, splitting.stratified_split(_claims(s, d)).filter("split = 'train'"), "cube_id")
+
+
 # --- zones and graphs -------------------------------------------------------
 
 

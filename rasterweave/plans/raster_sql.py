@@ -142,7 +142,7 @@ ORACLE = {
     "masked_batch_norm": f"{_CUBE} " + " UNION ALL ".join(f"SELECT '{b}' AS band, round(avg({b}), 4) AS mean, round(var_pop({b}), 2) AS var, round(1 / sqrt(var_pop({b}) + 1e-5), 9) AS scale FROM s WHERE {b} <> 0" for b in _P),
     "stratified_split": f"{_CLAIMS}, ranked AS ({_RANKED.format('cube_id', 'stratum', 'f')}), cuts AS ({_CUTS}) SELECT cube_id, stratum, {_NAMED} FROM cuts",
     "random_split": f"WITH ranked AS ({_RANKED.format('o_orderkey', '1', 'orders')}), cuts AS ({_CUTS}) SELECT o_orderkey, {_NAMED} FROM cuts",
-    "remaining_cubes": f"{_CLAIMS}, ranked AS ({_RANKED.format('cube_id', 'stratum', 'f')}), cuts AS ({_CUTS}) SELECT DISTINCT cube_id FROM s WHERE cube_id NOT IN (SELECT cube_id FROM cuts WHERE pos < a)",
+    "remaining_cubes": f"{_CLAIMS} SELECT DISTINCT cube_id FROM s WHERE cube_id NOT IN (SELECT cube_id FROM f WHERE stratum IN (2, 3))",
     "overlap_zones": f"WITH g AS ({X.PARTITION_SQL}), p AS (SELECT i, j FROM g WHERE grid = 0) SELECT i, j, 0 AS grid, i // 10 * 10 AS zi, j // 10 * 10 AS zj FROM p UNION ALL SELECT i, j, 1, (i - 5) // 10 * 10 + 5, (j - 5) // 10 * 10 + 5 FROM p WHERE i >= 5 AND j >= 5",
     "zone_pixel_roundtrip": f"WITH g AS ({X.PARTITION_SQL}), p AS (SELECT i, j FROM g WHERE grid = 0), z AS (SELECT i, j, 0 AS grid, i // 10 * 10 AS zi, j // 10 * 10 AS zj FROM p UNION ALL SELECT i, j, 1, (i - 5) // 10 * 10 + 5, (j - 5) // 10 * 10 + 5 FROM p WHERE i >= 5 AND j >= 5) SELECT grid, zi, zj, (i - zi) * least(10, 25 - zj) + j - zj AS idx, i AS pi, j AS pj FROM z",
     "davies_bouldin": f"WITH l AS (SELECT label AS k, vec_id, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS p FROM embeddings), ce AS (SELECT k, p, avg(v) AS m FROM l GROUP BY ALL), di AS (SELECT k, vec_id, sqrt(sum((v - m) * (v - m))) AS d FROM l JOIN ce USING (k, p) GROUP BY ALL), sp AS (SELECT k, avg(d) AS s FROM di GROUP BY k), ap AS (SELECT a.k AS k, b.k AS k2, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS d FROM ce a JOIN ce b USING (p) WHERE a.k <> b.k GROUP BY ALL), ra AS (SELECT ap.k, max((x.s + y.s) / d) AS r FROM ap JOIN sp x ON x.k = ap.k JOIN sp y ON y.k = ap.k2 GROUP BY ap.k) SELECT {_r('avg(r)', 'score')} FROM ra",
@@ -204,3 +204,4 @@ ORACLE["zone_kmeans_check"] = f"SELECT grid, zi, zj, count(*) AS n, true AS good
 ORACLE["louvain_check"] = "SELECT count(*) AS n, count(*) AS n_distinct, true AS better FROM embeddings"
 ORACLE["small_clusters_check"] = "SELECT count(*) AS n_pixels, 0 AS n_left FROM embeddings"
 ORACLE["dieback_check"] = "SELECT unnest(['zones', 'graph']) AS method, 0 AS n_bad, true AS some"
+ORACLE["leftover_cubes"] = f"{_CLAIMS}, ranked AS ({_RANKED.format('cube_id', 'stratum', 'f')}), cuts AS ({_CUTS}) SELECT DISTINCT cube_id FROM s WHERE cube_id NOT IN (SELECT cube_id FROM cuts WHERE pos < a)"

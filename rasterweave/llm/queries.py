@@ -124,6 +124,18 @@ def p7_packs(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_items(sized, "doc_id", "size", capacities)
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: the texts placed, containers above it, texts divided without need, and whether nine tenths of the space are used."""
+    capacities = {r["pack_name"]: r["capacity"] for r in _read(spark, d, "pack_sizes").collect()}  # one row per capacity
+    packed = cut_lineage(p7_packs(spark, d))
+    capacity = F.create_map(*[F.lit(x) for pair in capacities.items() for x in pair])[F.col("pack_name")]
+    items = packed.groupBy("pack_name", "doc_id").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("pieces"))
+    placed = items.groupBy("pack_name").agg(F.count(F.lit(1)).alias("n_items"), F.sum((F.col("pieces") != F.ceil(F.col("size") / capacity)).cast("int")).alias("divided"))
+    held = packed.groupBy("pack_name", "container_id").agg(F.sum("size").alias("size")).groupBy("pack_name").agg(F.sum((F.col("size") > capacity).cast("int")).alias("overfull"))
+    filled = packing.pack_report(packed, capacities).select("pack_name", (F.col("fill") > 0.9).alias("filled"))
+    return placed.join(held, "pack_name").join(filled, "pack_name").select("pack_name", "n_items", "divided", "overfull", "filled")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return looks.same_look(_read(spark, d, "documents"), "doc_id", "text")
 
@@ -136,4 +148,4 @@ def p8_canonical(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", looks.canonical(F.col("text")).alias("text"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_terms, p5_found, p5_split, p5_report, p5_groups, p6_ids, p6_decoded, p7_packs, p8_found, p8_classes, p8_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p2_sample, p3_found, p3_terms, p5_found, p5_split, p5_report, p5_groups, p6_ids, p6_decoded, p7_packs, p7_report, p8_found, p8_classes, p8_canonical)}

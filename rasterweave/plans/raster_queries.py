@@ -349,7 +349,7 @@ def annotation_filter(s, d):
 
 @query
 def rasterize_annotations(s, d):
-    """Every annotation polygon in pixels of 10 m: how many it touches. No SQL: the general polygon test has none there."""
+    """Every annotation polygon in pixels of 10 m: how many it touches."""
     rows = one_row_per_id(X.read(s, d, "annotations"), "poly_seq", "geometry")
     pixels = F.transform("geometry", lambda v: F.struct((v["x"] / 10).alias("x"), (v["y"] / 10).alias("y")))
     return labels.touched_cells(rows.select("poly_seq", pixels.alias("ring")), "ring").groupBy("poly_seq").agg(F.count(F.lit(1)).alias("n_pixels"))

@@ -205,3 +205,17 @@ ORACLE["louvain_check"] = "SELECT count(*) AS n, count(*) AS n_distinct, true AS
 ORACLE["small_clusters_check"] = "SELECT count(*) AS n_pixels, 0 AS n_left FROM embeddings"
 ORACLE["dieback_check"] = "SELECT unnest(['zones', 'graph']) AS method, 0 AS n_bad, true AS some"
 ORACLE["leftover_cubes"] = f"{_CLAIMS}, ranked AS ({_RANKED.format('cube_id', 'stratum', 'f')}), cuts AS ({_CUTS}) SELECT DISTINCT cube_id FROM s WHERE cube_id NOT IN (SELECT cube_id FROM cuts WHERE pos < a)"
+ORACLE["rasterize_annotations"] = (
+    "WITH a AS (SELECT poly_seq, any_value(geometry) AS g FROM annotations WHERE poly_seq IS NOT NULL GROUP BY poly_seq), "
+    "v AS (SELECT poly_seq, list_filter(list_transform(g, lambda p: {'x': p.x / 10, 'y': p.y / 10}), lambda p: isfinite(p.x) AND isfinite(p.y)) AS r FROM a), "
+    "k AS (SELECT poly_seq, r, unnest(range(1, len(r) + 1)) AS n FROM v WHERE len(r) >= 3), "
+    "e AS (SELECT poly_seq, r[n].x AS x1, r[n].y AS y1, r[n % len(r) + 1].x AS x2, r[n % len(r) + 1].y AS y2 FROM k), "
+    "b AS (SELECT poly_seq, unnest(range(CAST(ceil(min(y1)) AS BIGINT) - 1, CAST(floor(max(y1)) AS BIGINT) + 1)) AS i FROM e GROUP BY poly_seq), "
+    "m AS (SELECT b.i, e.*, (x2 - x1) / nullif(y2 - y1, 0) AS s, least(greatest(CAST(b.i AS DOUBLE), least(y1, y2)), greatest(y1, y2)) AS lo, least(greatest(CAST(b.i + 1 AS DOUBLE), least(y1, y2)), greatest(y1, y2)) AS hi FROM b JOIN e USING (poly_seq) WHERE least(y1, y2) <= b.i + 1 AND greatest(y1, y2) >= b.i), "
+    "w AS (SELECT poly_seq, i, coalesce(x1 + (lo - y1) * s, x1) AS p, coalesce(x1 + (hi - y1) * s, x2) AS q FROM m), "
+    "c AS (SELECT poly_seq, i, x1 + (i + 0.5::DOUBLE - y1) * (x2 - x1) / (y2 - y1) AS x FROM m WHERE (y1 > i + 0.5::DOUBLE) <> (y2 > i + 0.5::DOUBLE)), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY poly_seq, i ORDER BY x) AS n FROM c), "
+    "h AS (SELECT poly_seq, i, CAST(ceil(min(x) - 0.5::DOUBLE) AS BIGINT) AS a, CAST(floor(max(x) - 0.5::DOUBLE) AS BIGINT) AS z FROM o GROUP BY poly_seq, i, (n - 1) // 2), "
+    "t AS (SELECT poly_seq, i, CAST(ceil(least(p, q)) AS BIGINT) - 1 AS a, CAST(floor(greatest(p, q)) AS BIGINT) AS z FROM w UNION ALL SELECT * FROM h), "
+    "j AS (SELECT DISTINCT poly_seq, i, unnest(range(a, z + 1)) AS j FROM t WHERE a <= z) SELECT poly_seq, count(*) AS n_pixels FROM j GROUP BY poly_seq"
+)

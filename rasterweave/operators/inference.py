@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import argmax, softmax
@@ -16,6 +19,35 @@ from rasterweave.operators.tiling import CUBE, OVERLAP, PADDING, crop_rim, is_wh
 Model = Callable[[np.ndarray], np.ndarray]
 
 
+class OnnxModel:
+    """A model from an ONNX file that was sent to the executors; the session is made once per Python worker."""
+
+    def __init__(self, file: str, dtype: str = "float32"):
+        self.file, self.dtype = file, dtype
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        session = _session(SparkFiles.get(self.file))
+        return session.run(None, {session.get_inputs()[0].name: np.asarray(x, dtype=self.dtype)})[0]
+
+
+@lru_cache(maxsize=4)
+def _session(path: str):
+    import onnxruntime
+
+    return onnxruntime.InferenceSession(path, providers=onnxruntime.get_available_providers())
+
+
+def load_model(spark: SparkSession, path: str, dtype: str = "float32") -> OnnxModel:
+    """A model for score_pixels (or, with tiles as input, score_tiles) from an ONNX file, its first input and first output.
+
+    The file is shipped with the job; a missing one raises. Needs onnxruntime on the executors.
+    """
+    if "://" not in path and not Path(path).is_file():
+        raise FileNotFoundError(path)
+    spark.sparkContext.addFile(path)
+    return OnnxModel(Path(path).name, dtype)
+
+
 def score_pixels(pixels: DataFrame, bands: Sequence[str], model: Model) -> DataFrame:
     """pixels with `scores`, from a model of single pixels, in Arrow batches; null bands are 0."""
     schema = f"{pixels._jdf.schema().toDDL()}, scores array<double>"

@@ -148,3 +148,38 @@ def test_batches_sets_and_running_metrics(spark):
     log = spark.createDataFrame([("r", 1, 2.0), ("r", 2, None), ("r", 3, 1.0), ("r", 4, 4.0)], "run string, step int, v double")
     got = [(r["running_mean"], r["best"], r["is_best"]) for r in metrics.running_metrics(log, ["run"], "step", "v").orderBy("step").collect()]
     assert got == [(2.0, 2.0, True), (2.0, 2.0, False), (1.5, 2.0, False), (7 / 3, 4.0, True)]
+
+
+def onnx_matmul(w: np.ndarray) -> bytes:
+    """An ONNX file for Y = X W, written field by field."""
+
+    def field(n: int, value: int | bytes | str) -> bytes:
+        def varint(v: int) -> bytes:
+            out = b""
+            while v > 127:
+                out, v = out + bytes([v & 127 | 128]), v >> 7
+            return out + bytes([v])
+
+        if isinstance(value, int):
+            return varint(n << 3) + varint(value)
+        value = value.encode() if isinstance(value, str) else value
+        return varint(n << 3 | 2) + varint(len(value)) + value
+
+    def tensor(name: str, width: int) -> bytes:
+        shape = field(1, field(2, "n")) + field(1, field(1, width))
+        return field(1, name) + field(2, field(1, field(1, 1) + field(2, shape)))
+
+    node = field(1, "X") + field(1, "W") + field(2, "Y") + field(4, "MatMul")
+    weights = field(1, w.shape[0]) + field(1, w.shape[1]) + field(2, 1) + field(8, "W") + field(9, w.astype("<f4").tobytes())
+    graph = field(1, node) + field(2, "g") + field(5, weights) + field(11, tensor("X", w.shape[0])) + field(12, tensor("Y", w.shape[1]))
+    return field(1, 8) + field(8, field(1, "") + field(2, 13)) + field(7, graph)
+
+
+def test_a_model_from_a_file(spark, tmp_path):
+    w = np.array([[1.0, 0.0, 2.0], [0.0, 3.0, 1.0]])
+    (tmp_path / "m.onnx").write_bytes(onnx_matmul(w))
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 1.0)], "id int, a double, b double")
+    got = {r["id"]: r["scores"] for r in inference.score_pixels(df, ["a", "b"], inference.load_model(spark, str(tmp_path / "m.onnx"))).collect()}
+    assert got == {1: [1.0, 6.0, 4.0], 2: [0.0, 3.0, 1.0]}
+    with pytest.raises(FileNotFoundError):
+        inference.load_model(spark, str(tmp_path / "none.onnx"))

@@ -128,3 +128,19 @@ def append_bands(pixels: DataFrame, names: Sequence[str]) -> DataFrame:
         if n not in DERIVED:
             raise NotImplementedError(f"no derived band {n}")
     return pixels.withColumns({n.lower(): DERIVED[n]() for n in names})
+
+
+# The band shown in each color, for true color and for the near infrared.
+COMPOSITES = {"rgb": {"red": "B4", "green": "B3", "blue": "B2"}, "nir": {"nir": "B8"}}
+
+
+def composite(pixels: DataFrame, keys: Sequence[str], kinds: Sequence[str] = ("rgb",)) -> DataFrame:
+    """keys and the colors of the named composites; an unknown one raises ValueError."""
+    if unknown := set(kinds) - set(COMPOSITES):
+        raise ValueError(f"unknown composites: {sorted(unknown)}")
+    return pixels.select(*keys, *[F.col(b.lower()).alias(color) for k in kinds for color, b in COMPOSITES[k].items()])
+
+
+def rescaled(c: Column, scale: float = 255.0) -> Column:
+    """A stored 0-255 value as a share."""
+    return c.cast("double") / F.lit(float(scale))

@@ -35,6 +35,24 @@ def footprint_join(images: DataFrame, areas: DataFrame, cell: float, spread: Seq
     return salted_join(ordered, asked, ["_cx", "_cy"], F.xxhash64("xmin", "ymin", "xmax", "ymax", *spread), corner & meet, few_spread=F.xxhash64("a_xmin", "a_ymin", "a_xmax", "a_ymax", *a_spread)).drop("_cx", "_cy")
 
 
+def clear_images(images: DataFrame, max_cloud: float) -> DataFrame:
+    """Images with strictly less cloud than max_cloud percent; those of unknown cloud are left out. Spark pushes it to the scan."""
+    return images.filter(F.col("cloud_pct") < F.lit(float(max_cloud)))
+
+
+def collection_sizes(images: DataFrame, per: Sequence[str]) -> DataFrame:
+    """per, n: the number of images of each group."""
+    return images.groupBy(*per).agg(F.count(F.lit(1)).alias("n"))
+
+
+def with_masks(values: DataFrame, masks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """values with the mask of the same image (and pixel, if it is a key): by key, never by position. Values without a mask are left out."""
+    clash = (set(values.columns) & set(masks.columns)) - set(keys)
+    if clash:
+        raise ValueError(f"columns of both tables that are no key: {sorted(clash)}")
+    return values.join(masks, list(keys))
+
+
 def latest(images: DataFrame, per: Sequence[str], n: int, ts: str = "ts", tie: str = "image_id") -> DataFrame:
     """The n latest images of each group, ties by the greatest id first."""
     order = Window.partitionBy(*per).orderBy(F.col(ts).desc(), F.col(tie).desc())

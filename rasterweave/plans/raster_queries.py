@@ -129,7 +129,7 @@ def cr_swir(s, d):
 
 @query
 def rescale(s, d):
-    return X.raw_pixels(s, d).select(*PIXEL, F.round(B.normalize(F.col("b8"), *B.BANDS["B8"]) / 255, 6).alias("v"))
+    return X.raw_pixels(s, d).select(*PIXEL, F.round(B.rescaled(B.normalize(F.col("b8"), *B.BANDS["B8"])), 6).alias("v"))
 
 
 @query
@@ -187,7 +187,7 @@ def date_filter(s, d):
 
 @query
 def cloud_filter(s, d):
-    return X.catalog(s, d).filter(F.col("cloud_pct") < 20).select("image_id", "cloud_pct")
+    return C.clear_images(X.catalog(s, d), 20).select("image_id", "cloud_pct")
 
 
 @query
@@ -213,7 +213,7 @@ def min_cloud_ladder(s, d):
 
 @query
 def collection_size(s, d):
-    return X.catalog(s, d).groupBy("tile_id").agg(F.count(F.lit(1)).alias("n"))
+    return C.collection_sizes(X.catalog(s, d), ["tile_id"])
 
 
 @query
@@ -232,7 +232,7 @@ def image_mask_join(s, d):
     pixels = X.raw_pixels(s, d)
     clouds = pixels.groupBy("image_id").agg(F.sum(M.cloudy(F.col("scl"))).alias("cloudy"))
     values = pixels.groupBy("image_id").agg(F.max("b8").alias("b8"))
-    return values.join(clouds, "image_id")
+    return C.with_masks(values, clouds, ["image_id"])
 
 
 @query
@@ -441,7 +441,7 @@ def band_contrast(s, d):
 
 @query
 def rgb_composite(s, d):
-    return X.raw_pixels(s, d).select(*PIXEL, F.col("b4").alias("red"), F.col("b3").alias("green"), F.col("b2").alias("blue"), F.col("b8").alias("nir"))
+    return B.composite(X.raw_pixels(s, d), PIXEL, ["rgb", "nir"])
 
 
 @query

@@ -164,3 +164,19 @@ def test_tile_models_see_whole_tiles(spark):
     tiled = tiling.overlap_tiles(pixels(spark, 20, 20), 20, 20, 16, 6)
     out = inference.score_tiles(tiled, ["v"], lambda x: np.concatenate([x, -x]), 16)
     assert out.filter("scores[0] <> i * 20 + j OR scores[1] <> -(i * 20 + j)").count() == 0 and out.count() == tiled.count()
+
+
+def test_masks_join_by_key_and_composites_know_their_bands(spark):
+    from rasterweave.functions import bands
+    from rasterweave.operators import catalog
+
+    a = spark.createDataFrame([(1, 5), (2, 6)], "image_id int, b8 int")
+    m = spark.createDataFrame([(2, 0), (3, 1)], "image_id int, cloudy int")
+    assert [tuple(r) for r in catalog.with_masks(a, m, ["image_id"]).collect()] == [(2, 6, 0)]
+    with pytest.raises(ValueError):
+        catalog.with_masks(a, m.withColumn("b8", F.lit(1)), ["image_id"])
+    assert bands.composite(spark.createDataFrame([(1, 2, 3, 4)], "b2 int, b3 int, b4 int, b8 int"), [], ["nir", "rgb"]).columns == ["nir", "red", "green", "blue"]
+    with pytest.raises(ValueError):
+        bands.composite(a, [], ["uv"])
+    images = spark.createDataFrame([(1, None), (2, 20.0), (3, 19.9)], "image_id int, cloud_pct double")
+    assert [r["image_id"] for r in catalog.clear_images(images, 20).collect()] == [3]

@@ -112,6 +112,13 @@ def places_within(places: DataFrame, id_col: str, lat: str, lon: str, radius_m:
     return _pairs(p, id_col, ["_x", "_y", "_z"], radius_m, lambda a, b: arc(a, b) <= F.lit(float(radius_m)), within, carry, rows_per_task)
 
 
+#: Cells that a region spans on a side at most, but for the one that its corner may touch as well.
+CELLS_ACROSS = 4
+
+#: Regions up to which Spark may broadcast their cells ((CELLS_ACROSS + 1)**2 rows of a region at most).
+BROADCAST_REGIONS = 2_000
+
+
 def edges_of(ring: Column) -> Column:
     """The sides of a ring of struct<x, y>, closed if it is not, without its null or non-finite vertices."""
     good = F.filter(ring, lambda v: finite(v["x"].cast("double")) & finite(v["y"].cast("double")))
@@ -131,7 +138,9 @@ def regions_containing(points: DataFrame, x: str, y: str, regions: DataFrame, re
     """points with region_id of each region that contains them, border included; a point in no region has no row.
 
     Regions are hashed to the cells of side `cell` that their box touches, points to their cell; the exact test
-    follows in the join; a cell with very many points or regions is dealt over several tasks. Regions with the same region_id are one region and must not disagree (the least ring counts); null ids and rings of
+    follows in the join; a cell with very many points or regions is dealt over several tasks. A region wider than
+    CELLS_ACROSS cells goes to cells twice as wide, or four times and so on, until it isn't, and points also to their cell
+    of each width that occurs; so a region has few rows, whatever its size. Regions with the same region_id are one region and must not disagree (the least ring counts); null ids and rings of
     fewer than three good vertices contain nothing. Points with null or non-finite coordinates lie nowhere. spread: the
     column that deals the points of a hot cell over several tasks. Columns of points are kept, whatever their names; one
     called like region_id gives way to the region's.
@@ -141,12 +150,19 @@ def regions_containing(points: DataFrame, x: str, y: str, regions: DataFrame, re
     lo = lambda k: F.array_min(F.transform("_edges", lambda e: e[k]))
     hi = lambda k: F.array_max(F.transform("_edges", lambda e: e[k]))
     r = r.select("*", lo("x1").alias("_x0"), hi("x1").alias("_x9"), lo("y1").alias("_y0"), hi("y1").alias("_y9"))
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / cell).cast("long"), F.floor(F.col(b) / cell).cast("long"))
+    width = F.greatest(F.col("_x9") - F.col("_x0"), F.col("_y9") - F.col("_y0"))
+    r = r.withColumn("_level", F.greatest(F.ceil(F.least(F.log2(width / (CELLS_ACROSS * cell)), F.lit(1000.0))).cast("int"), F.lit(0)))
+    side = F.lit(float(cell)) * F.pow(F.lit(2.0), F.col("_level"))
+    levels = {v["_level"]: v["n"] for v in r.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    span = lambda a, b: F.sequence(F.floor(F.col(a) / side).cast("long"), F.floor(F.col(b) / side).cast("long"))
     r = r.withColumn("_cx", F.explode(span("_x0", "_x9"))).withColumn("_cy", F.explode(span("_y0", "_y9"))).withColumn("_cell", _cell_key([F.col("_cx"), F.col("_cy")])).drop("_cx", "_cy")
+    if sum(levels.values()) > BROADCAST_REGIONS:  # Spark takes the size from before the cells
+        r = r.hint("merge")
     # The points' own columns travel as one struct, so none of them can clash with a helper column.
     kept = [F.col(c) for c in points.columns if c != region_id]
     p = points.select(F.struct(*kept).alias("_p"), F.col(x).cast("double").alias("_px"), F.col(y).cast("double").alias("_py"), F.col(spread).alias("_spread")).filter(finite(F.col("_px")) & finite(F.col("_py")))
-    p = p.select("*", _cell_key([F.floor(F.col("_px") / cell).cast("long"), F.floor(F.col("_py") / cell).cast("long")]).alias("_cell"))
+    p = p.withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels) or [0]))))
+    p = p.withColumn("_cell", _cell_key([F.floor(F.col("_px") / side).cast("long"), F.floor(F.col("_py") / side).cast("long")]))
     px, py = F.col("_px"), F.col("_py")
     inside = px.between(F.col("_x0"), F.col("_x9")) & py.between(F.col("_y0"), F.col("_y9")) & in_ring(F.col("_edges"), px, py)
-    return salted_join(p, r, ["_cell"], F.col("_spread"), inside, rows_per_task, few_spread=F.col("_region")).select("_p.*", F.col("_region").alias(region_id))
+    return salted_join(p, r, ["_level", "_cell"], F.col("_spread"), inside, rows_per_task, few_spread=F.col("_region")).select("_p.*", F.col("_region").alias(region_id))

@@ -148,3 +148,15 @@ def test_a_hot_place_among_regions_and_many_regions_in_a_cell(spark):
     p = spark.createDataFrame([(k, 5.0, 1.0) for k in range(80)], "id int, x double, y double")
     got = Counter((g["id"], g["name"]) for g in regions_containing(p, "x", "y", r, "name", "ring", cell=20.0, spread="id", rows_per_task=25).collect())
     assert len(got) == 4800 and set(got.values()) == {1}
+
+
+def test_regions_of_any_size_have_few_cells(spark):
+    """Squares of side 2 to 3,000,000,000 over cells of side 1: a region of n cells each way would have n * n rows."""
+    square = lambda a, b: [{"x": float(x), "y": float(y)} for x, y in ((a, a), (b, a), (b, b), (a, b))]
+    sides = (2, 9, 50, 3_000, 3_000_000_000)
+    r = spark.createDataFrame([(n, square(-n / 2, n / 2)) for n in sides] + [(0, square(7, 9))], "name long, ring array<struct<x: double, y: double>>")
+    points = [(k, x) for k, x in enumerate((0.0, 1.0, 4.5, 8.0, 25.0, 25.5, 1500.0, 1501.0, 1.5e9, 1.5e9 + 1))]
+    p = spark.createDataFrame([(k, x, x) for k, x in points], "id int, x double, y double")
+    found = regions_containing(p, "x", "y", r, "name", "ring", cell=1.0, spread="id")
+    want = sorted((k, n) for k, x in points for n, lo, hi in [(n, -n / 2, n / 2) for n in sides] + [(0, 7, 9)] if lo <= x <= hi)
+    assert sorted((v["id"], v["name"]) for v in found.collect()) == want

@@ -120,7 +120,7 @@ def ring_accuracy(pixels: DataFrame, n: int, zones: int = 15) -> DataFrame:
 def ring_confidence(rings: DataFrame, confidence: float = 0.99) -> DataFrame:
     """rings with half_width = t * std / sqrt(n); t by its expansion about the normal quantile."""
     z = NORMAL_QUANTILE[confidence]
-    v = F.greatest(F.col("n") - 1, F.lit(1))
+    v = F.greatest(F.col("n") - 1, F.lit(1)).cast("double")  # its cube leaves a bigint from 2.1 million pixels on
     t = F.lit(z) + F.lit((z**3 + z) / 4) / v + F.lit((5 * z**5 + 16 * z**3 + 3 * z) / 96) / (v * v) + F.lit((3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384) / (v * v * v)
     return rings.withColumn("half_width", t * F.col("std") / F.sqrt("n"))
 

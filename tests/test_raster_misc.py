@@ -180,3 +180,10 @@ def test_masks_join_by_key_and_composites_know_their_bands(spark):
         bands.composite(a, [], ["uv"])
     images = spark.createDataFrame([(1, None), (2, 20.0), (3, 19.9)], "image_id int, cloud_pct double")
     assert [r["image_id"] for r in catalog.clear_images(images, 20).collect()] == [3]
+
+
+def test_confidence_of_very_many_pixels(spark):
+    """The cube of n - 1 is above a bigint here; t is then the normal quantile."""
+    rings = spark.createDataFrame([(0, 40_000_000, 0.9, 0.3), (1, 5_000_000_000, 0.9, 0.3), (2, 1, 1.0, 0.0)], "zone int, n long, accuracy double, std double")
+    got = [r["half_width"] for r in metrics.ring_confidence(rings).orderBy("zone").collect()]
+    assert got == pytest.approx([metrics.NORMAL_QUANTILE[0.99] * 0.3 / n**0.5 for n in (40_000_000, 5_000_000_000)] + [0.0], rel=1e-6)

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterweave.functions.masks import edge_correction
-from rasterweave.session import cut_lineage
+from rasterweave.session import broadcast_if_small, cut_lineage
 
 # The four neighbours that give every pair of an 8-neighbourhood once, and those of a 4-neighbourhood.
 FORWARD_8, FORWARD_4 = ((1, 0), (0, 1), (1, 1), (-1, 1)), ((1, 0), (0, 1))
 
-#: Links between runs up to which a round's tables are broadcast (two rows of 16 bytes per link at most).
-BROADCAST_LINKS = 200_000
+#: Links (both directions counted) up to which the rest of the rounds is one task's (16 bytes per link).
+TASK_LINKS = 200_000
+
+#: Side of the tiles in which regions and outlines are found at once; what crosses a tile's border is joined afterwards.
+REGION_TILE = 256
 
 
 def pixel_vectors(series: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -115,31 +122,51 @@ def merge_order(sizes: dict, near: dict, distance, least: int, by: str = "size")
     return home
 
 
+def _connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least one that it hangs together with by the links a, b."""
+    name = np.arange(n)
+    while True:
+        x, y = name[a], name[b]
+        apart = x != y
+        if not apart.any():
+            return name
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(name, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(to := name[name], name):
+            name = to
+
+
+def _linked_in_task(batches):
+    """u, name of the links u, v of all batches."""
+    links = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    u, v = links["u"].to_numpy(), links["v"].to_numpy()
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    name = _connected(len(nodes), at[: len(u)], at[len(u) :])
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[name])], ["u", "name"])
+
+
 def _linked(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """u, name of every node of u, v links (bigint, in both directions): the least node that it hangs together with.
 
-    In every round each node takes the least name among its neighbours', and names are followed to where they point
-    (pointer jumping), until nothing changes; links within one name are settled and leave. The number of links proves
-    whether a round's tables are small.
+    In every round each node takes the least of itself and its neighbours and is followed to where that points; links
+    between the names go on, without those within one name, so the tables of the rounds shrink. When the number of links
+    proves that a task can hold them, one task does the rest. The names are put together from the last round to the first.
     """
     both = cut_lineage(links.select("u", "v").distinct())
-    n = both.count()
-    names = cut_lineage(both.select("u", F.col("u").alias("name")).distinct())
-    for _ in range(max_rounds):
-        if n == 0:
-            return names
-        small = F.broadcast if n <= BROADCAST_LINKS else (lambda df: df)
-        near = both.join(small(names.withColumnRenamed("u", "v")), "v").groupBy("u").agg(F.min("name").alias("least"))
-        hooked = names.join(small(near), "u", "left").select("u", "name", F.least("name", "least").alias("new"))
-        # A node takes the best name that any node of its name has found, and then the name which that one has itself.
-        better = hooked.groupBy("name").agg(F.min("new").alias("best"))
-        joined = cut_lineage(hooked.join(better, "name").select("u", F.least("new", "best").alias("name")))
-        to = joined.select(F.col("u").alias("name"), F.col("name").alias("next"))
-        names = cut_lineage(joined.join(to, "name").select("u", F.least("name", "next").alias("name")))
-        ends = both.join(small(names), "u").join(small(names.select(F.col("u").alias("v"), F.col("name").alias("_v"))), "v")
-        both = cut_lineage(ends.filter("name <> _v").select("u", "v"))
-        n = both.count()
-    raise RuntimeError(f"names still change after {max_rounds} rounds")
+    steps = []
+    while (n := both.count()) > TASK_LINKS:
+        if len(steps) == max_rounds:
+            raise RuntimeError(f"names still change after {max_rounds} rounds")
+        to = cut_lineage(both.groupBy("u").agg(F.least("u", F.min("v")).alias("name")))
+        for _ in range(2):
+            to = to.join(to.select(F.col("u").alias("name"), F.col("name").alias("next")), "name").select("u", F.col("next").alias("name"))
+        steps.append(cut_lineage(to))
+        end = lambda c: steps[-1].select(F.col("u").alias(c), F.col("name").alias("_" + c))
+        both = cut_lineage(both.join(end("u"), "u").join(end("v"), "v").filter("_u <> _v").select(F.col("_u").alias("u"), F.col("_v").alias("v")).distinct())
+    names = cut_lineage(both.repartition(1).mapInArrow(_linked_in_task, "u long, name long"))
+    for step in reversed(steps):
+        names = cut_lineage(step.join(names.select(F.col("u").alias("name"), F.col("name").alias("last")), "name", "left").select("u", F.coalesce("last", "name").alias("name")))
+    return names
 
 
 def merge_small_clusters(edges: DataFrame, partition: DataFrame, centroids: DataFrame, least: int = 8, by: str = "size", keys: Sequence[str] = ()) -> DataFrame:
@@ -325,16 +352,53 @@ def louvain_partition(edges: DataFrame, pixels: DataFrame, resolution: float = 1
     return names.select(*keys, F.lit(0).alias("grid"), F.col("name").alias("cluster_id"), "i", "j")
 
 
+def _codes(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal numbers for equal values, nulls included (-1)."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_floating(flat.type):
+        flat = pc.add(flat, pa.scalar(0.0, flat.type))  # no minus zero
+    return pc.fill_null(flat.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _places(table: pa.Table, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """i, j, one number per place in order of i and j, the distance of rows, the number of places; pad rows and columns stay free around."""
+    i, j = (table[c].to_numpy().astype(np.int64) for c in ("i", "j"))
+    wide = int(j.max() - j.min()) + 1 + 2 * pad
+    return i, j, (i - i.min() + pad) * wide + j - j.min() + pad, wide, (int(i.max() - i.min()) + 1 + 2 * pad) * wide
+
+
+def _found(places: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the wanted ones are in the sorted places, and whether they are there."""
+    at = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+    return at, places[at] == wanted
+
+
+def _regions_of_tile(offsets: Sequence[tuple[int, int]]):
+    """The function that adds _run to a tile's cells: the least i * 2**32 + j of the region within the tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        pad = max(max(abs(a), abs(b)) for a, b in offsets)
+        i, j, place, wide, places = _places(table, pad)
+        nodes, row, node = np.unique(_codes(table["_v"]) * places + place, return_index=True, return_inverse=True)
+        links = [(np.flatnonzero(there), at[there]) for at, there in (_found(nodes, nodes + a * wide + b) for a, b in offsets)]
+        least = row[_connected(len(nodes), *(np.concatenate(x) for x in zip(*links, strict=True)))][node]
+        return table.append_column("_run", pa.array(i[least] * (1 << 32) + j[least]))
+
+    return run
+
+
 def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 60, keys: Sequence[str] = ()) -> DataFrame:
     """keys, i, j, value, region: connected cells of equal value in each scene; a region is named by its least i * 2**32 + j.
 
-    Runs of a row are found with a window first, so links are between runs, and only runs with links take part in the rounds.
+    Each tile's regions are found first, in a task, so links are between regions of two tiles, and only those with links
+    take part in the rounds.
     """
-    run = Window.partitionBy(*keys, "i").orderBy("j")
-    marked = cells.filter(F.col(value).isNotNull()).select(*keys, "i", "j", F.col(value).alias("_v")).withColumn("_s", F.when((F.lag("j").over(run) == F.col("j") - 1) & (F.lag("_v").over(run) == F.col("_v")), 0).otherwise(1))
-    marked = marked.withColumn("_run", F.max(F.when(F.col("_s") == 1, F.col("i").cast("long") * (1 << 32) + F.col("j"))).over(run.rowsBetween(Window.unboundedPreceding, 0)))
-    marked = cut_lineage(marked.drop("_s"))
-    pairs = neighbours(marked, ["_v", "_run"], [o for o in offsets if o != (0, 1)], keys).filter("_v = _v2 AND _run <> _run2").select(*keys, F.col("_run").alias("a"), F.col("_run2").alias("b")).distinct()
+    tile = lambda c: F.floor(c / REGION_TILE)
+    rows = cells.filter(F.col(value).isNotNull()).select(*keys, "i", "j", F.col(value).alias("_v"))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields) + "_run long"
+    marked = cut_lineage(rows.groupBy(*keys, tile(F.col("i")), tile(F.col("j"))).applyInArrow(_regions_of_tile(offsets), kinds))
+    moved = [tile(F.col(c) + F.lit(sign * o)) != tile(F.col(c)) for step in offsets for c, o in zip("ij", step, strict=True) if o for sign in (1, -1)]
+    pairs = neighbours(marked.filter(reduce(or_, moved)), ["_v", "_run"], offsets, keys).filter("_v = _v2 AND _run <> _run2").select(*keys, F.col("_run").alias("a"), F.col("_run2").alias("b")).distinct()
     if keys:
         # Within the rounds a run of a scene is one number: scenes in order, runs as they are. A name is read back from it.
         linked = pairs.select(*keys, F.explode(F.array("a", "b")).alias("_run")).distinct()
@@ -348,32 +412,75 @@ def regions(cells: DataFrame, value: str, offsets=FORWARD_4, max_rounds: int = 6
     else:
         pairs = pairs.select(F.col("a").alias("u"), F.col("b").alias("v"))
         names = _linked(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))), max_rounds).withColumnRenamed("u", "_run")
-    out = marked.join(names, [*keys, "_run"], "left")
+    out = marked.join(broadcast_if_small(names, TASK_LINKS), [*keys, "_run"], "left")
     return out.select(*keys, "i", "j", F.col("_v").alias(value), F.coalesce("name", "_run").alias("region"))
 
 
+#: The sides of a cell; n is a side's place here.
+SIDES = ((-1, 0), (1, 0), (0, -1), (0, 1))
+
+
+def _segments_of_tile(columns: Sequence[str], tile: int, whole: bool):
+    """The function that gives the segments of a tile's own cells: those within the tile, or those that reach its border."""
+
+    def run(table: pa.Table) -> pa.Table:
+        i, j, place, wide, _ = _places(table, 1)
+        code = _codes(table["_v"])
+        own = (i // tile == table["_ti"].to_numpy()) & (j // tile == table["_tj"].to_numpy())
+        order = np.argsort(place, kind="stable")
+        i, j, place, code, own = i[order], j[order], place[order], code[order], own[order]
+        rows, sides, lines, begins, ends = [], [], [], [], []
+        for n, (a, b) in enumerate(SIDES):
+            at, there = _found(place, place + a * wide + b)
+            cut = np.flatnonzero(own & (np.where(there, code[at], -1) != code))
+            line, along = (i, j) if a else (j, i)
+            if b:
+                cut = cut[np.lexsort((i[cut], j[cut]))]
+            on, to, of = line[cut], along[cut], code[cut]
+            new = np.ones(len(cut), bool)
+            new[1:] = (on[1:] != on[:-1]) | (to[1:] != to[:-1] + 1) | (of[1:] != of[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(cut))[: len(first)] - 1
+            inner = (to[first] % tile != 0) & ((to[last] + 1) % tile != 0)
+            first, last = (x[inner if whole else ~inner] for x in (first, last))
+            rows.append(order[cut[first]])
+            sides.append(np.full(len(first), n))
+            lines.append(on[first] + (a + b > 0))
+            begins.append(to[first])
+            ends.append(to[last] + 1)
+        out = table.select(columns).take(pa.array(np.concatenate(rows)))
+        for name, parts in (("n", sides), ("line", lines), ("a", begins), ("b", ends)):
+            out = out.append_column(name, pa.array(np.concatenate(parts).astype(np.int64)))
+        return out
+
+    return run
+
+
 def outlines(regions_of: DataFrame, value: str = "region", keys: Sequence[str] = (), oriented: bool = False) -> DataFrame:
     """keys, value, x1, y1, x2, y2: the straight segments of the outline of every region, holes included.
 
     Cell (i, j) is the unit square from (j, i). A side between two cells belongs to the outline of each if they differ;
-    sides on a line are joined to segments by gaps and islands. No region is gathered anywhere, however large it is.
+    sides on a line are joined to segments tile by tile, with the cells next to the tile, and segments that reach a
+    tile's border by gaps and islands. No region is gathered anywhere, however large it is.
     oriented: each segment runs so that the region lies to its right (rows count downwards).
     """
-    cells = regions_of.select(*keys, "i", "j", F.col(value).alias("_v"))
-    row, column = Window.partitionBy(*keys, "i").orderBy("j"), Window.partitionBy(*keys, "j").orderBy("i")
-
-    def other(f, w, key: str, step: int) -> Column:
-        return F.when(f(key, 1).over(w) == F.col(key) + step, f("_v", 1).over(w))
-
-    near = cells.select(*keys, "i", "j", "_v", other(F.lag, row, "j", -1).alias("left"), other(F.lead, row, "j", 1).alias("right"), other(F.lag, column, "i", -1).alias("up"), other(F.lead, column, "i", 1).alias("down"))
-    # A side: does it run along a row (h), on which line, and from where.
-    sides = F.array(*[F.when(~F.col(n).eqNullSafe(F.col("_v")), F.struct(F.lit(h).alias("h"), line.alias("line"), at.alias("at"), F.lit(n).alias("n"))) for n, h, line, at in (("up", True, F.col("i"), F.col("j")), ("down", True, F.col("i") + 1, F.col("j")), ("left", False, F.col("j"), F.col("i")), ("right", False, F.col("j") + 1, F.col("i")))])
-    open_sides = near.select(*keys, "_v", F.explode(F.filter(sides, lambda s: s.isNotNull())).alias("s")).select(*keys, "_v", "s.*")
-    along = Window.partitionBy(*keys, "_v", "h", "line", "n").orderBy("at")
-    joined = open_sides.withColumn("_g", F.col("at") - F.row_number().over(along)).groupBy(*keys, "_v", "h", "line", "n", "_g").agg(F.min("at").alias("a"), (F.max("at") + 1).alias("b"))
-    x = lambda end: F.when(F.col("h"), F.col(end)).otherwise(F.col("line"))
-    y = lambda end: F.when(F.col("h"), F.col("line")).otherwise(F.col(end))
-    back = F.col("n").isin("down", "left") if oriented else F.lit(False)
+    tile = lambda c, by=0: F.floor((F.col(c) + by) / REGION_TILE)
+    own = F.struct(tile("i").alias("_ti"), tile("j").alias("_tj"))
+    beyond = [F.when((tile("i", a) != tile("i")) | (tile("j", b) != tile("j")), F.struct(tile("i", a).alias("_ti"), tile("j", b).alias("_tj"))) for a, b in SIDES]
+    sent = regions_of.select(*keys, "i", "j", F.col(value).alias("_v")).withColumn("_to", F.explode(F.filter(F.array(own, *beyond), lambda t: t.isNotNull())))
+    tiles = sent.select(*keys, "i", "j", "_v", "_to.*").groupBy(*keys, "_ti", "_tj")
+    columns = [*keys, "_v"]
+    kinds = "".join(f"`{c}` {sent.schema[c].dataType.simpleString()}, " for c in columns) + "n long, line long, a long, b long"
+    ready, open_ended = (tiles.applyInArrow(_segments_of_tile(columns, REGION_TILE, whole), kinds) for whole in (True, False))
+    along = Window.partitionBy(*columns, "n", "line").orderBy("a")
+    marked = open_ended.withColumn("_g", F.when(F.lag("b").over(along) == F.col("a"), 0).otherwise(1))
+    grouped = marked.withColumn("_g", F.sum("_g").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = ready.unionByName(grouped.groupBy(*columns, "n", "line", "_g").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_g"))
+    number = "int" if all(regions_of.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int") for c in "ij") else "bigint"
+    level = F.col("n") < 2
+    x = lambda end: F.when(level, F.col(end)).otherwise(F.col("line")).cast(number)
+    y = lambda end: F.when(level, F.col("line")).otherwise(F.col(end)).cast(number)
+    back = F.col("n").isin(1, 2) if oriented else F.lit(False)
     first, second = (F.when(back, F.col(p)).otherwise(F.col(q)) for p, q in (("b", "a"), ("a", "b")))
     joined = joined.withColumns({"_p": first, "_q": second})
     return joined.select(*keys, F.col("_v").alias(value), x("_p").alias("x1"), y("_p").alias("y1"), x("_q").alias("x2"), y("_q").alias("y2"))

@@ -153,3 +153,29 @@ def test_label_image_and_borders(spark):
     gap = spark.createDataFrame([(0, 0, 1), (0, 2, 2)], "i int, j int, cluster_id long")
     assert Z.cluster_borders(gap).filter("border").count() == 0
     assert Z.cluster_borders(image).filter(F.col("border")).count() == 3
+
+
+def test_broadcasts_of_linked_nodes_are_bounded(spark, monkeypatch):
+    """300 pairs settle in the first round, a chain goes on with few links: what is broadcast then must not hold all nodes."""
+    rng, sizes, broadcast = random.Random(2), [], F.broadcast
+    monkeypatch.setattr(G, "TASK_LINKS", 60, raising=False)
+    monkeypatch.setattr(F, "broadcast", lambda df: sizes.append(df.count()) or broadcast(df))
+    chain = rng.sample(range(10_000, 20_000), 150)
+    links = [(2 * k, 2 * k + 1) for k in range(300)] + list(zip(chain, chain[1:], strict=False))
+    found = G._linked(spark.createDataFrame([p for a, b in links for p in ((a, b), (b, a))], "u long, v long"))
+    assert {r["u"]: r["name"] for r in found.collect()} == {k: k - k % 2 for k in range(600)} | dict.fromkeys(chain, min(chain))
+    assert max(sizes, default=0) <= 60
+
+
+def test_regions_and_outlines_over_the_borders_of_tiles(spark, monkeypatch):
+    """Tiles of 3 against one tile, with scenes, gaps, negative places and a neighbourhood of 8."""
+    rng = random.Random(8)
+    cells = spark.createDataFrame([(s, i, j, rng.randrange(2)) for s in (0, 1) for i in range(-4, 12) for j in range(-2, 9) if rng.random() < 0.95], "s int, i int, j int, k int")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    both = []
+    for tile, links in ((64, 200_000), (3, 8)):
+        monkeypatch.setattr(G, "REGION_TILE", tile)
+        monkeypatch.setattr(G, "TASK_LINKS", links)
+        four, eight = G.regions(cells, "k", keys=["s"]), G.regions(cells, "k", G.FORWARD_8, keys=["s"])
+        both.append([rows(four), rows(eight), rows(G.outlines(four, keys=["s"])), rows(G.outlines(cells, "k", ["s"], oriented=True))])
+    assert both[0] == both[1] and all(both[0])

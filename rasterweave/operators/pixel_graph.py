@@ -516,19 +516,66 @@ def trace_rings(segments: list[tuple[int, int, int, int]]) -> list[list[tuple[in
     return sorted(rings, key=area, reverse=True)
 
 
+def _ring_lists(x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, of: np.ndarray, n: int) -> pa.Array:
+    """trace_rings of n regions at once: the segments' ends (whole numbers) and region (0 to n - 1); an array of lists of rings."""
+    # A vertex is a place of a region; its number follows region, x and y.
+    regions2, x, y = np.concatenate([of, of]), np.concatenate([x1, x2]), np.concatenate([y1, y2])
+    ranked = lambda v: np.unique(v, return_inverse=True)[1]
+    column, row = ranked(x), ranked(y)
+    vertex = ranked(ranked(regions2 * (column.max() + 1) + column) * (row.max() + 1) + row)
+    order = np.argsort(vertex[: len(x1)], kind="stable")
+    x1, y1, x2, y2, of = x1[order], y1[order], x2[order], y2[order], of[order]
+    begin, end = vertex[: len(order)][order], vertex[len(order) :][order]
+    # One or two segments leave a vertex; of two the one to the right goes on (rows count downwards).
+    first, last = np.searchsorted(begin, end), np.searchsorted(begin, end, side="right") - 1
+    turn = lambda to: np.sign(x2 - x1) * (y2[to] - y1[to]) - np.sign(y2 - y1) * (x2[to] - x1[to])
+    then = np.where(turn(last) > turn(first), last, first)
+    # A ring is named after its first segment, by pointer jumping; then how far each segment is from the ring's last one.
+    ring, to = np.arange(len(then)), then
+    while not np.array_equal(ring, ring[then]):
+        ring, to = np.minimum(ring, ring[to]), to[to]
+    ends = then == ring
+    left, to = (~ends).astype(np.int64), np.where(ends, np.arange(len(then)), then)
+    while left[to].any():
+        left, to = left + left[to], to[to]
+    starts, name, size = np.unique(ring, return_inverse=True, return_counts=True)
+    # Coordinates from the ring's first place, so that the area is exact.
+    u1, v1, u2, v2 = x1 - x1[ring], y1 - y1[ring], x2 - x1[ring], y2 - y1[ring]
+    area = np.zeros(len(starts), np.int64)
+    np.add.at(area, name, u1 * v2 - u2 * v1)
+    rank = np.lexsort((starts, -np.abs(area), of[starts]))
+    place = np.empty_like(rank)
+    place[rank] = np.arange(len(rank))
+    bounds = np.concatenate([[0], np.cumsum(size[rank] + 1)])
+    at = np.empty(bounds[-1], np.int64)
+    at[bounds[place[name]] + size[name] - 1 - left] = np.arange(len(then))
+    at[bounds[1:] - 1] = starts[rank]
+    points = pa.StructArray.from_arrays([pa.array(c[at].astype(np.float64)) for c in (x1, y1)], ["x", "y"])
+    rings = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), points)
+    counts = np.bincount(of[starts], minlength=n)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rings)
+
+
+def _ring_batches(batches):
+    """Replaces the last column, the segments of each row's region, by its rings."""
+    for batch in batches:
+        if batch.num_rows:
+            sides = batch.column(batch.num_columns - 1)
+            of = np.repeat(np.arange(batch.num_rows), pc.list_value_length(sides).to_numpy())
+            ends = [sides.flatten().field(c).to_numpy().astype(np.int64) for c in range(4)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], _ring_lists(*ends, of, batch.num_rows)], [*batch.schema.names[:-1], "rings"])
+
+
 def region_polygons(regions_of: DataFrame, value: str = "region", keys: Sequence[str] = ()) -> DataFrame:
     """keys, value, rings: every region as one polygon, an array of closed rings of struct<x, y>, the outer one first, then its holes.
 
-    A region's outline, never its cells, goes to one task and becomes one value, as the result asks.
+    A region's outline, never its cells, goes to one task and becomes one value, as the result asks. The rings of all
+    regions of a batch are traced together.
     """
     segments = outlines(regions_of, value, keys, oriented=True)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rings = trace_rings(list(zip(pdf["x1"].tolist(), pdf["y1"].tolist(), pdf["x2"].tolist(), pdf["y2"].tolist(), strict=True)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in [*keys, value]}, "rings": [[[{"x": float(x), "y": float(y)} for x, y in r] for r in rings]]})
-
+    sides = segments.groupBy(*keys, value).agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("rings"))
     kinds = ", ".join(f"`{k}` {regions_of.schema[k].dataType.simpleString()}" for k in [*keys, value])
-    return segments.groupBy(*keys, value).applyInPandas(run, kinds + ", rings array<array<struct<x: double, y: double>>>")
+    return sides.mapInArrow(_ring_batches, kinds + ", rings array<array<struct<x: double, y: double>>>")
 
 
 def modularity(edges: DataFrame, partition: DataFrame, resolution: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterweave.operators import pixel_graph as G
 from rasterweave.operators import zones as Z
+from rasterweave.session import cut_lineage
 
 
 def grid(spark, h, w):
@@ -179,3 +180,17 @@ def test_regions_and_outlines_over_the_borders_of_tiles(spark, monkeypatch):
         four, eight = G.regions(cells, "k", keys=["s"]), G.regions(cells, "k", G.FORWARD_8, keys=["s"])
         both.append([rows(four), rows(eight), rows(G.outlines(four, keys=["s"])), rows(G.outlines(cells, "k", ["s"], oriented=True))])
     assert both[0] == both[1] and all(both[0])
+
+
+def test_rings_of_many_regions_at_once(spark):
+    """As ring by ring, for regions that touch themselves in corners; and many small ones don't take a call each."""
+    rng = random.Random(4)
+    cells = spark.createDataFrame([(i, j, int(rng.random() < 0.4)) for i in range(40) for j in range(-9, 31)], "i int, j int, k int")
+    found = cut_lineage(G.regions(cells, "k"))
+    sides = defaultdict(list)
+    for r in G.outlines(found, oriented=True).collect():
+        sides[r["region"]].append((r["x1"], r["y1"], r["x2"], r["y2"]))
+    got = {r["region"]: [[(p["x"], p["y"]) for p in ring] for ring in r["rings"]] for r in G.region_polygons(found).collect()}
+    assert got == {k: G.trace_rings(v) for k, v in sides.items()} and max(map(len, got.values())) > 3
+    plan = G.region_polygons(found)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
